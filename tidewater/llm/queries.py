@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import fingerprints, sharding, url_filter
 from tidewater.llm.common import read
+from tidewater.llm.media import media_round_trip
 from tidewater.llm.packing import pack
 from tidewater.llm.token_counts import token_counts
 
@@ -62,5 +63,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op5_sharding, op7_packing, op8_token_counts)}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op5_sharding, op7_packing, op8_token_counts, op9_media)}
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
