@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import fingerprints, sharding, url_filter
+from tidewater.llm import fingerprints, sharding, toxicity, url_filter
 from tidewater.llm.common import read
 from tidewater.llm.media import media_round_trip
 from tidewater.llm.ngram_join import near_duplicates
 from tidewater.llm.packing import pack
+from tidewater.llm.suffix_dedup import remove_repeats
 from tidewater.llm.token_counts import token_counts
 
 URL_RULES = [
@@ -48,6 +49,37 @@ FROM urls LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (page_id)
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH hexes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+    SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM hexes WHERE length(h) >= 200)),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM strings),
+again AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM ranked WHERE k > 1),
+spans AS (
+    SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+    FROM (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM again)
+    GROUP BY doc_id, g),
+kept AS (
+    SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_byte, a AS to_byte FROM spans
+    UNION ALL SELECT doc_id, 1e18::BIGINT, max(b), length(any_value(h)) // 2 FROM spans JOIN hexes USING (doc_id) GROUP BY doc_id),
+texts AS (SELECT doc_id, string_agg(substr(h, 2 * from_byte + 1, 2 * (to_byte - from_byte)), '' ORDER BY a) AS t FROM kept JOIN hexes USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM hexes LEFT JOIN texts USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
@@ -114,5 +146,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op5_sharding, op6_ngram_join, op7_packing, op8_token_counts, op9_media)}
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_ngram_join": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_suffix_dedup, op4_toxicity, op5_sharding, op6_ngram_join, op7_packing, op8_token_counts, op9_media)}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL}
