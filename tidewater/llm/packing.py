@@ -197,7 +197,9 @@ def pack(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", sou
         return docs.sparkSession.createDataFrame([], out)
     per_block = max(windows, -(-2 * len(totals) ** 2 // size))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("queue", "part", "base")
+    # as a table of its own, so that Spark knows its size before it plans the join and, while it is small,
+    # does not shuffle the ids for it
+    base = materialize(sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("queue", "part", "base"), "packing-base")
     placed = tokens.join(base, ["queue", "part"]).select("id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
