@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import fingerprints, sharding, toxicity, url_filter
+from tidewater.llm import fingerprints, sentence_pieces, sharding, toxicity, url_filter
 from tidewater.llm.common import read
 from tidewater.llm.media import media_round_trip
 from tidewater.llm.ngram_join import near_duplicates
@@ -115,36 +115,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
-
-
-OP6_SQL = r"""
-WITH RECURSIVE words AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-    FROM documents),
-grams AS (
-    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram
-    FROM words),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-commons AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM commons JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
-least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
-counts AS (SELECT a, count(*) AS k FROM links GROUP BY a)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, coalesce(k, 0) AS n_links
-FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.a = d.doc_id LEFT JOIN counts c ON c.a = d.doc_id
-"""
-
-
-def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-
-
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_suffix_dedup, op4_toxicity, op5_sharding, op6_ngram_join, op7_packing, op8_token_counts, op9_media)}
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_suffix_dedup, op4_toxicity, op5_sharding, op6_ngram_join, op7_packing, op8_token_counts, op9_media, op10_sentence_pieces)}
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL}
