@@ -10,7 +10,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+FIRST = -(1 << 63)  #: the place of null ids in the order of ids
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -44,6 +46,16 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, bool]:
+    """doc, tie, _row of each row: doc and tie tell texts apart and order them. doc is the id (null: before
+    all others), tie a hash of the text where an id has several rows; whether there are such ids is told
+    too. _row has the row's own columns."""
+    repeated = bool(docs.where(F.col(id).isNull()).limit(1).count() or docs.groupBy(id).count().where("count > 1").limit(1).count())
+    tie = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if repeated else F.lit(0).cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(FIRST)).alias("doc"), tie.alias("tie"), row.alias("_row")), repeated
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts end to end, and the offsets of each text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks, grouped, materialize, utf8
+from tidewater.llm.common import blocks, grouped, keyed, materialize, utf8
 from tidewater.llm.components import connected_components
 from tidewater.llm.shingles import set_marks, shingle_sets
 
@@ -287,3 +287,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     known = nodes.join(least, "root").select("f1", "f2", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = texts.join(known, ["f1", "f2"], "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5) -> DataFrame:
+    """docs with one row of each component of near_duplicates(): that of the smallest id. All columns are
+    kept as they are.
+
+    Rows without words stay. A null id comes before all others; rows of one id are ordered by a hash of
+    their text, and of those with the same text too one stays."""
+    rows, repeated = keyed(docs, id, text)
+    if repeated:
+        rows = rows.dropDuplicates(["doc", "tie"])
+    key = F.struct("doc", "tie") if repeated else F.col("doc")
+    rows = rows.select(key.alias("_key"), "_row")
+    found = near_duplicates(rows.select("_key", F.col("_row").getField(text).alias("_text")), "_text", "_key", width)
+    kept = found.where(F.col("_key") == F.col("component_id")).select("_key")
+    return rows.join(kept, "_key", "left_semi").select("_row.*")

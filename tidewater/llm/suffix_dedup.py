@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import M1, blocks, materialize, mixed, utf8
+from tidewater.llm.common import M1, blocks, keyed, materialize, mixed, utf8
 
 STEP = 8  #: strings in a refined run
 GRAM = 32  #: bytes of the buckets that anchors are taken from
 BLOCK = 1_000_000
-FIRST = -(1 << 63)  #: the place of null ids in the order of ids
 
 
 @functools.cache
@@ -268,14 +267,6 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, ...]:
     return (np.concatenate([[0], np.cumsum(counts)]), *fields)
 
 
-def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """docs with doc and tie, which tell texts apart and order them: the id (null: before all others),
-    and where an id has several rows a hash of the text."""
-    repeated = docs.where(F.col(id).isNull()).limit(1).count() or docs.groupBy(id).count().where("count > 1").limit(1).count()
-    tie = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if repeated else F.lit(0).cast("long")
-    return docs.withColumns({"doc": F.coalesce(F.col(id).cast("long"), F.lit(FIRST)), "tie": tie})
-
-
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc, tie, spans: of each text that has some, the runs (at, n) of strings of `length` bytes that
     start earlier too: in a text before it, or in the same text further ahead. docs: doc, tie, text."""
@@ -308,11 +299,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     whole. Null text counts as empty (and stays null among `columns`). Null ids come before all others.
     Rows of one id are ordered by a hash of their text; equal ones are one text, so that each gets what
     the first would get alone."""
-    keys = keyed(docs, id, text)
-    mine = keys.select("doc", "tie", F.col(text).alias("text"))
+    keys, _ = keyed(docs, id, text)
+    own = F.col("_row").getField(text)
+    mine = keys.select("doc", "tie", own.alias("text"))
     spans = repeats(mine, length)
     rest = [c for c in docs.columns if c != text] if columns else [id]
-    rows = keys.select("doc", "tie", F.col(text).alias("_text"), F.struct(*[F.col(c) for c in rest]).alias("_rest")).join(spans, ["doc", "tie"], "left")
+    rows = keys.select("doc", "tie", own.alias("_text"), F.struct(*[F.col("_row").getField(c).alias(c) for c in rest]).alias("_rest")).join(spans, ["doc", "tie"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

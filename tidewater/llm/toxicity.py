@@ -312,3 +312,20 @@ def toxicity(docs: DataFrame, model: Field, text: str = "text", id: str = "doc_i
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, score double, spans array<struct<begin:long,end:long>>")
     return rows.select(F.col("id").alias(id), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def clean(docs: DataFrame, model: Field, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """docs without the rows whose score is `threshold` or more; all columns are kept as they are. Null
+    text counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            _, offsets = utf8(column)
+            for lo, hi in blocks(offsets, BLOCK):
+                score, _ = scored([t or "" for t in column.slice(lo, hi - lo).to_pylist()], shared.value)
+                yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
