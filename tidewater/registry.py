@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewater.plans import network
+
+PLANS = (network,)
+QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
