@@ -84,3 +84,25 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys([*range(41), 100], 0), 50: 50, 51: 50}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_linked_sets_share_a_signature():
+    import numpy as np
+
+    from tidewater.llm.ngram_join import signatures
+
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        n = int(rng.choice([rng.integers(4, 130), rng.integers(60, 700), 2000]))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+        a, rest = pool[rng.permutation(len(pool))[:n]], None
+        lost = int(rng.integers(0, n // 5 + 1))
+        rest = np.setdiff1d(pool, a)
+        more = max(0, min(len(rest), int((n - lost) / 0.8 + 1e-9) - n))
+        b = np.concatenate([a[lost:], rest[:more]])
+        common, both = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 100 * common < 80 * both:
+            continue
+        weight = dict(zip(pool.tolist(), rng.integers(1, 9000, len(pool)).tolist()))
+        found = [np.concatenate(signatures(s, np.array([weight[int(g)] for g in s], np.int64))) for s in (np.sort(a), np.sort(b))]
+        assert len(np.intersect1d(*found)), (n, len(b), common)

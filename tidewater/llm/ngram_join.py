@@ -1,14 +1,17 @@
 """Similarity self-join of texts by their word n-grams, with prefix trees.
 
-Two sets of Jaccard similarity 0.8 or more share one of the first fifth of their n-grams in any order of
-all n-grams; the order taken is rare ones first. Texts tied by such n-grams form clusters. The sets of a
-cluster are put into a prefix tree in the reverse order, common n-grams first, and all sets walk down the
-tree together: overlaps found on a shared path hold for all sets below it, and a branch is left as soon as
-its sets' remaining lengths can't bring a link any more.
+Two sets of Jaccard similarity 0.8 or more differ in a ninth of their sizes at most. So if the n-grams of
+both are dealt by hash to more fields than that, some fields hold the same n-grams in both, and of the
+fields in any order one of these is among the first ninth and one: the order taken is the least likely
+ones first, many and rare n-grams. (Small sets have an n-gram to a field.) Texts tied by such fields form
+clusters. The sets of a cluster are put into a prefix tree, common n-grams first, and all sets walk down
+the tree together: overlaps found on a shared path hold for all sets below it, and a branch is left as
+soon as its sets' remaining lengths can't bring a link any more.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -17,14 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks, grouped, keyed, materialize, utf8
+from tidewater.llm.common import M1, blocks, grouped, keyed, materialize, mixed, utf8
 from tidewater.llm.components import connected_components
 from tidewater.llm.shingles import set_marks, shingle_sets
 
 BLOCK = 4_000_000
 BUCKETS = 1 << 20  #: of the counts by which n-grams are ordered: 4 MB, whatever the input is
 PARTS = 64  #: in which the counts are summed
-SETS, GRAMS = 512, 1 << 17  #: about the most sets, and n-grams of sets, in a block of a cluster
+SETS, GRAMS = 2048, 1 << 21  #: about the most sets, and n-grams of sets, in a block of a cluster
+#: Sets are dealt to fields by classes of size, SMALL * GROWTH ** k and more n-grams. A class has FIELDS
+#: fields for each n-gram of its largest sets: some more than the 2/9 in which such sets can differ, so that
+#: nearly no set has fewer fields with n-grams than the first ones that are taken.
+SMALL, GROWTH, FIELDS = 80, 1.5, 0.28
 
 
 def least_common(n: int) -> int:
@@ -78,34 +85,67 @@ def summed(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def size_class(n: int) -> tuple[int, int]:
+    """The class of sets of n n-grams, and the least size beyond it."""
+    k = 0 if n < SMALL else 1 + int(math.log(n / SMALL) / math.log(GROWTH) + 1e-9)
+    while k and n < math.ceil(SMALL * GROWTH ** (k - 1)):
+        k -= 1
+    while n >= (beyond := math.ceil(SMALL * GROWTH**k)):
+        k += 1
+    return k, beyond
+
+
+def signatures(s: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Hashes of n-grams or fields, of which two sets that link share one. s: a set, ascending; weights:
+    of its n-grams, the larger the rarer."""
+    n = len(s)
+    k, beyond = size_class(n)
+    out = []
+    for k in (k, k + 1) if 5 * n >= 4 * beyond else (k,):  # the larger one of two sets may be in the next class
+        beyond = math.ceil(SMALL * GROWTH**k)
+        if k == 0:
+            most = n - least_common(n) + 1
+            hashes, key = s, weights
+        else:
+            fields = int(FIELDS * beyond) + 1
+            most = (n + min(5 * n // 4, beyond - 1)) // 9 + 1
+            field = ((s >> np.uint64(32)) * np.uint64(fields) >> np.uint64(32)).astype(np.int64)
+            first = np.flatnonzero(np.append(True, field[1:] != field[:-1]))
+            hashes, key = np.add.reduceat(mixed(s ^ M1), first), np.add.reduceat(weights, first)
+            if len(first) < most:  # then fields without n-grams, last in the order, are needed too
+                empty = np.setdiff1d(np.arange(fields), field[first])
+                hashes, key = np.append(hashes, empty.astype(np.uint64)), np.append(key, np.zeros(len(empty), np.int64))
+            hashes = mixed(hashes + np.array([k], np.uint64) * M1)
+        if most < len(hashes):
+            hashes = hashes[np.lexsort((hashes, -key))[:most]]
+        out.append(hashes)
+    return out
+
+
 def tied(docs: DataFrame, counts, width: int) -> DataFrame:
-    """Edges a, b (marks f1) between texts that share one of their rare n-grams: of each n-gram, all its
-    texts with the one of least mark. Within a batch they are tied at once and the n-gram is sent on
-    once, so that no n-gram gathers more rows than there are batches."""
+    """Edges a, b (marks f1) between texts that share one of their signatures: of each signature, all its
+    texts with the one of least mark. Within a batch they are tied at once and the signature is sent on
+    once, so that no signature gathers more rows than there are batches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
+        total = np.log2(counts.value.sum(dtype=np.float64) + 2)
+        weights = np.rint(1024 * (total - np.log2(counts.value + 1.0))).astype(np.int64)
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
             grams, nodes, seen = [], [], set()
             for lo, hi in blocks(offsets, BLOCK):
                 for s in shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width):
-                    n = len(s)
-                    if n < 4:  # links with equal sets alone
+                    if len(s) < 4:  # links with equal sets alone
                         continue
                     f1, _ = mark = set_marks(s)
                     if mark in seen:
                         continue
                     seen.add(mark)
-                    k = n - least_common(n) + 1
-                    rank = counts.value[s & np.uint64(BUCKETS - 1)]
-                    if k < n:  # s is in ascending order: equal counts are ordered by the n-gram
-                        edge = np.partition(rank, k - 1)[k - 1]
-                        below = s[rank < edge]
-                        s = np.concatenate([below, s[rank == edge][: k - len(below)]])
-                    grams.append(s)
-                    nodes.append(np.full(k, f1, np.int64))
+                    for found in signatures(s, weights[s & np.uint64(BUCKETS - 1)]):
+                        grams.append(found)
+                        nodes.append(np.full(len(found), f1, np.int64))
             if not grams:
                 continue
             gram, node = np.concatenate(grams).view(np.int64), np.concatenate(nodes)
@@ -119,7 +159,7 @@ def tied(docs: DataFrame, counts, width: int) -> DataFrame:
 
     rows = docs.select("text").mapInArrow(run, "gram long, a long, b long")
     own = Window.partitionBy("gram")
-    # rows with a = b are an n-gram's; the others are ties and keep their end
+    # rows with a = b are a signature's; the others are ties and keep their end
     end = F.when(F.col("a") == F.col("b"), F.min(F.when(F.col("a") == F.col("b"), F.col("a"))).over(own)).otherwise(F.col("b"))
     return rows.select("a", end.alias("b")).where("a != b").distinct()
 
@@ -257,7 +297,8 @@ def verified(docs: DataFrame, wanted: DataFrame, counts, width: int) -> DataFram
             found = [i for i, r in enumerate(roots) if r >= 0]
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in found], pa.string()), pa.array([nodes[roots[i]] for i in found], pa.string()), pa.array([int(links[i]) for i in found], pa.int64())], names=["node", "root", "links"])
 
-    rows = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"])).select("text", "f1", "f2", "weight", "cluster", "parts")
+    # the sets to be joined grow with the input: never broadcast, at any size
+    rows = docs.join(wanted.hint("merge"), docs["id"].eqNullSafe(wanted["id"])).select("text", "f1", "f2", "weight", "cluster", "parts")
     dealt = rows.mapInArrow(sets_of, "cluster long, pair long, one boolean, side int, node string, weight long, grams binary")
     return dealt.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(run, "node string, root string, links long")
 
