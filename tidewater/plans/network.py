@@ -6,26 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import forecast, panels, ranks, relations, rerouting
+from tidewater.plans.common import Plan, pct
 from tidewater.sources.tables import FLOWS_SQL, LANES_SQL, flows, lane_days
 
 SPLIT = "2001-01-01"  #: history ends here, what follows stands for the forecast
 EPS = 1e-9
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def pct(v: str) -> str:
-    """The SQL of percent_rank_average()."""
-    return f"((rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0::DOUBLE) / count(*) OVER ())"
+plan = Plan()
+query = plan.query
+QUERIES, ORACLES = plan.queries, plan.oracles
 
 
 def edge_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater.plans import network
+from tidewater.plans import network, river
 
-PLANS = (network,)
+PLANS = (network, river)
 QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
