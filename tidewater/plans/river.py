@@ -261,7 +261,7 @@ def template_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A season's template: weighted means and quantiles of the days around a day of the year, near and
     recent ones weighing more."""
     lanes = lane_days(spark, sf_dir).where(F.year("day") <= 2000)
-    # the targets within 15 days of a day are a handful: it is sent to those alone
+    # a day meets 25 targets and stays with those within 15 days of it
     rows = lanes.withColumn("target", F.explode(F.sequence(F.lit(1), F.lit(365), F.lit(15))))
     gap = F.abs(F.dayofyear("day") - F.col("target"))
     rows = rows.withColumn("d", F.least(gap, 366 - gap)).where("d <= 15")
