@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater.plans import glass, network, pricing, river
+from tidewater.plans import glass, layouts, network, pricing, river, sections
 
-PLANS = (network, river, pricing, glass)
+PLANS = (network, river, pricing, glass, sections, layouts)
 QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
