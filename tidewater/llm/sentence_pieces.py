@@ -4,16 +4,18 @@ White space is a visible mark, and no piece has the mark after another character
 chunks (marks and the characters up to the next mark) that are encoded alone. The chunks of a batch that
 were not met before are put end to end and indexed by a suffix array; every piece is searched in it, all by
 one binary search, and each place where it occurs is an edge from its beginning to its end. Edges are sorted
-by position and relaxed: a prefix of a chunk has one encoding, which ends in one piece, and an edge extends
-the encoding of its beginning's prefix if the model, given that last piece and the edge's alone, keeps the
-two. That holds for one edge at each position, which makes the result the model's own: merges inside the
-pieces come in the same order in the whole chunk, and one across two pieces would come in the two alone.
+by position and relaxed, longest first: a prefix of a chunk has one encoding, which ends in one piece, and an
+edge extends the encoding of its beginning's prefix if the model, given that last piece and the edge's alone,
+keeps the two. That holds for one edge into each position, so that a position is reached once, and the path
+to the chunk's end is the model's own: merges inside the pieces come in the same order in the whole chunk,
+and one across two pieces would come in the two alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,18 +51,18 @@ class PieceModel:
             raise ValueError("a byte-pair model that keeps the text as it is is needed")
         self.prefix = MARK if spec.add_dummy_prefix else ""
         kinds = pb.ModelProto.SentencePiece
-        self.pieces = [p.piece for p in model.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
-        self.unknown_text = model.trainer_spec.unk_surface
-        self.silent = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
+        surface = {kinds.BYTE: lambda p: bytes([int(p[3:5], 16)]), kinds.UNKNOWN: lambda p: model.trainer_spec.unk_surface.encode(), kinds.CONTROL: lambda p: b""}
+        self.surface = [surface.get(p.type, lambda p: p.replace(MARK, " ").encode())(p.piece) for p in model.pieces]
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.score = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces that go on past white space are not known here")
         self.keep, self.known, self.pairs = keep, {}, {}
         alphabet = sorted({c for p in self.id for c in p})
+        if not all(c in self.id for c in alphabet):
+            raise ValueError("every character of a piece must be a piece")
         self.number = np.full(0x110000, OTHER, np.uint16)
         self.number[[ord(c) for c in alphabet]] = np.arange(OTHER + 1, OTHER + 1 + len(alphabet))
         self.own = [p for p in self.id if self.merged(p) == [p]]  # others end no encoding
@@ -90,7 +92,7 @@ class PieceModel:
         return r
 
     def edges(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Beginning, end and piece of each occurrence, by end and then longest first."""
+        """Beginning, end and piece of each occurrence, by beginning and then longest first."""
         n = len(numbers)
         padded = np.concatenate([numbers, np.zeros(self.words * PACK, np.uint16)])
         packed = _packed(np.lib.stride_tricks.sliding_window_view(padded, PACK)[: n + PACK * (self.words - 1)])[:, 0]
@@ -110,47 +112,57 @@ class PieceModel:
         counts = high - low
         piece = np.repeat(np.arange(len(counts)), counts)
         begin = array[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(len(piece))]
-        end = begin + self.lengths[piece]
-        order = np.lexsort((begin, end))
+        # characters without a piece are edges too: of length 1, and nothing merges with them
+        alone = np.flatnonzero(numbers == OTHER)
+        begin, piece = np.append(begin, alone), np.append(piece, np.full(len(alone), -1))
+        end = begin + np.append(self.lengths, 1)[piece]
+        order = np.argsort((begin << 16) + (begin - end))
         return begin[order], end[order], piece[order]
 
-    def relaxed(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of each chunk."""
+    def relaxed(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, as 32-bit numbers."""
         cp, offsets = code_points([c + "\0" for c in chunks])
         numbers = self.number[cp]
         numbers[offsets[1:] - 1] = BARRIER
-        last = [-1] * (len(numbers) + 1)  # the piece that ends the encoding at a place; -1: none, -2: a character that no piece has
-        came = [0] * (len(numbers) + 1)
-        start = np.zeros(len(numbers) + 1, bool)
-        start[offsets[:-1]] = True
-        first = start.tolist()
-        alone = np.flatnonzero(numbers == OTHER)
-        begin, end, piece = self.edges(numbers)
-        # characters without a piece are edges too: of length 1, and nothing merges with them
-        at = np.searchsorted(end, alone + 1)
-        begin, end, piece = (np.insert(x, at, v) for x, v in ((begin, alone), (end, alone + 1), (piece, -2)))
-        pairs, n = self.pairs, len(self.own)
-        for b, e, p in zip(begin.tolist(), end.tolist(), piece.tolist(), strict=True):
-            if last[e] == -1:
-                before = last[b]
-                if first[b] or before == -2:
-                    last[e], came[e] = p, b
-                elif before >= 0:
-                    fits = True if p == -2 else pairs.get(before * n + p)
-                    if self.fits(before, p) if fits is None else fits:
-                        last[e], came[e] = p, b
+        begin, ends, pieces = self.edges(numbers)
+        heads = np.searchsorted(begin, np.arange(len(numbers) + 1)).tolist()
+        end, piece, n, pairs = ends.tolist(), pieces.tolist(), len(self.own), self.pairs
+        met = bytearray(len(numbers) + 1)
+        own_ids = [self.id[p] for p in self.own]
         out = []
         for a, e in zip(offsets.tolist(), (offsets[1:] - 1).tolist(), strict=False):
+            at, before, i = a, -1, heads[a]
+            path: list[int] = []  # edges up to here; what they began with is told by the one before
+            while at != e:
+                stop = heads[at + 1]
+                while i < stop:
+                    p = piece[i]
+                    if not met[end[i]]:
+                        if before < 0 or p < 0:
+                            break
+                        fits = pairs.get(before * n + p)
+                        if self.fits(before, p) if fits is None else fits:
+                            break
+                    i += 1
+                if i < stop:
+                    path.append(i)
+                    at, before = end[i], p
+                    met[at] = 1
+                    i = heads[at]
+                else:  # nothing goes on from here: the edge before was not the encoding's
+                    i = path.pop() + 1
+                    before = piece[path[-1]] if path else -1
+                    at = end[path[-1]] if path else a
             ids: list[int] = []
-            while e > a:
-                if last[e] >= 0:
-                    ids.append(self.id[self.own[last[e]]])
+            for i in path:
+                p = piece[i]
+                if p >= 0:
+                    ids.append(own_ids[p])
                 elif self.bytes:
-                    ids += [self.bytes[x] for x in reversed(chr(cp[e - 1]).encode())]
+                    ids += [self.bytes[x] for x in chr(cp[end[i] - 1]).encode()]
                 else:
                     ids.append(self.unknown)
-                e = came[e]
-            out.append(ids[::-1])
+            out.append(array("I", ids).tobytes())
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +192,7 @@ class PieceModel:
         if fresh:
             chunks = [joined[starts[where[k]] : starts[where[k]] + lengths[where[k]]] for k in fresh]
             for k, ids in zip(fresh, self.relaxed(chunks), strict=True):
-                self.known[kinds[k]] = np.array(ids, np.uint32).tobytes()
+                self.known[kinds[k]] = ids
         found = [self.known[h] for h in kinds]
         sizes = np.array([len(x) // 4 for x in found], np.int64)
         begins = np.cumsum(sizes) - sizes
@@ -191,15 +203,7 @@ class PieceModel:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids. Bytes that make no character become replacement characters."""
-        out: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                out.append(bytes([self.byte_of[i]]))
-            elif i == self.unknown:
-                out.append(self.unknown_text.encode())
-            elif i not in self.silent:
-                out.append(self.pieces[i].replace(MARK, " ").encode())
-        text = b"".join(out).decode(errors="replace")
+        text = b"".join(map(self.surface.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
