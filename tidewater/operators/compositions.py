@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 EPS = 0.01  #: the count that stands for an absent part, in %
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once for all its uses within."""
+    return F.transform(F.array(value), use)[0]
+
+
 def total(parts: str | Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
 
 
 def closed(parts: str | Column, whole: float = 100.0) -> Column:
-    t = total(parts)
-    return F.transform(parts, lambda v: whole * v / t)
+    parts = F.col(parts) if isinstance(parts, str) else parts
+    return let(parts, lambda x: let(total(x), lambda t: F.transform(x, lambda v: whole * v / t)))
 
 
 def clr(parts: str, before_closure: bool = True) -> Column:
     """Centred log-ratios. The pseudocount is added before closure, or after it."""
     x = closed(F.transform(parts, lambda v: v + EPS)) if before_closure else F.transform(closed(parts), lambda v: v + EPS)
     logs = F.transform(x, lambda v: F.log(v))
-    mean = total(logs) / F.size(logs)
-    return F.transform(logs, lambda v: v - mean)
+    return let(logs, lambda l: let(total(l) / F.size(l), lambda m: F.transform(l, lambda v: v - m)))
 
 
 def from_clr(values: str | Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators.compositions import closed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -93,8 +95,7 @@ def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A closed composition for each sample: id, artifact, glass, weathered, parts (in %)."""
     raw = F.transform(F.slice("embedding", 1, PARTS), lambda v: F.abs(v.cast("double")))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).alias("artifact"), F.pmod(F.col("label"), F.lit(2)).cast("int").alias("glass"), (F.pmod(F.col("vec_id"), F.lit(3)) == 0).cast("int").alias("weathered"), raw.alias("raw"))
-    total = F.aggregate("raw", F.lit(0.0), lambda a, v: a + v)
-    return rows.withColumn("total", total).select("id", "artifact", "glass", "weathered", F.transform("raw", lambda v: 100 * v / F.col("total")).alias("parts"))
+    return rows.select("id", "artifact", "glass", "weathered", closed("raw").alias("parts"))
 
 
 #: The same in long form: a row for each sample and part.
