@@ -170,3 +170,37 @@ def test_stream_and_batch_agree(spark):
     stream = events.replayed(spark, sf, events.tumbling, "t")
     cols = ["start", "event_type", "n"]
     assert sorted(map(tuple, batch.select(cols).collect())) == sorted(map(tuple, stream.select(cols).collect()))
+
+
+def test_matching_and_selection_as_greedy_ones(spark):
+    import random
+
+    from tidewater.operators import choices
+
+    rng = random.Random(4)
+    edges = sorted({tuple(sorted(rng.sample(range(25), 2))) for _ in range(60)})
+    weighed = [(a, b, rng.randrange(5)) for a, b in edges]
+    df = spark.createDataFrame(weighed, "i int, j int, w int")
+    used, want = set(), set()
+    for a, b, w in sorted(weighed, key=lambda e: (-e[2], e[0], e[1])):
+        if not {a, b} & used:
+            used |= {a, b}
+            want.add((a, b))
+    assert {(r["i"], r["j"]) for r in choices.matched(df, "i", "j", -F.col("w")).collect()} == want
+    nodes = [(k, rng.randrange(4)) for k in range(25)]
+    near = {k: {b for a, b in edges if a == k} | {a for a, b in edges if b == k} for k, _ in nodes}
+    kept = []
+    for k, _ in sorted(nodes, key=lambda n: (n[1], n[0])):
+        if not near[k] & set(kept):
+            kept.append(k)
+    both = spark.createDataFrame([(a, b) for a, b in edges] + [(b, a) for a, b in edges], "a int, b int")
+    got = choices.independent(spark.createDataFrame(nodes, "id int, p int"), both, "id", F.col("p"))
+    assert sorted(r["id"] for r in got.collect()) == sorted(kept)
+
+
+def test_a_price_keeps_the_budget(spark):
+    from tidewater.operators import choices
+
+    o = spark.createDataFrame([(k, float(p), g * k, p * 1.0) for k in (1, 2, 3) for p, g in ((1, 1.0), (2, 1.6), (3, 1.9))], "k int, p double, gain double, cost double")
+    got = choices.priced_choice(o, "k", "p", "gain", "cost", 7.0, [x / 10 for x in range(40)]).collect()
+    assert len(got) == 3 and sum(r["cost"] for r in got) <= 7.0

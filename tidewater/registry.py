@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater.plans import glass, layouts, network, pricing, provenance, relational, river, sections, streams
+from tidewater.plans import glass, layouts, learning, network, pricing, provenance, relational, river, sections, streams
 
-PLANS = (network, river, pricing, glass, sections, layouts, provenance, relational, streams)
+PLANS = (network, river, pricing, glass, sections, layouts, learning, provenance, relational, streams)
 QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
