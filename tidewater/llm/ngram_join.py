@@ -24,7 +24,7 @@ from tidewater.llm.common import M1, blocks, grouped, keyed, materialize, mixed,
 from tidewater.llm.components import connected_components
 from tidewater.llm.shingles import set_marks, shingle_sets
 
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 BUCKETS = 1 << 20  #: of the counts by which n-grams are ordered: 4 MB, whatever the input is
 PARTS = 64  #: in which the counts are summed
 SETS, GRAMS = 2048, 1 << 21  #: about the most sets, and n-grams of sets, in a block of a cluster

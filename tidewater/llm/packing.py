@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from tidewater.llm.pretokens import PieceVocabulary, byte_letters
 
 # Fixed value: the pre-token pattern of byte_bpe_50k.json.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 MAX_QUEUES = 256  #: sources beyond so many share queues by a hash of their name
 
 _LOADED: dict[str, ByteVocabulary] = {}
@@ -54,9 +55,9 @@ class ByteVocabulary(PieceVocabulary):
         counts = np.zeros(0, np.int64)
         ids = np.zeros(0, np.int64)
         if len(starts):
-            kinds, lists = self.distinct(cp, starts, lengths, joined, self.ids)
-            per_kind = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.int64, int(per_kind.sum()))
+            kinds, lists = self.distinct(cp, starts, lengths, joined, lambda piece: array("I", self.ids(piece)).tobytes())
+            per_kind = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+            flat = np.frombuffer(b"".join(lists), np.uint32)
             counts = per_kind[kinds]
             begins = np.cumsum(per_kind) - per_kind
             ids = flat[np.repeat(begins[kinds] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]

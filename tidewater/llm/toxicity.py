@@ -22,7 +22,7 @@ from tidewater.llm.pretokens import LETTER, classes, code_points, spans
 
 BEGINNINGS = (3, 4, 5, 6)  #: lengths of word beginnings that are features, besides whole words
 AROUND = 20  #: words on each side of a labelled one in the field's training windows
-BLOCK = 4_000_000
+BLOCK = 1_000_000  #: bytes scored at once: some 100 MB of arrays
 
 
 @functools.cache
@@ -287,9 +287,9 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, m
     return [r[1] for r in got], [r[2] for r in got]
 
 
-def trained(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: tuple[int, int] = (5000, 1500), longest: int = 20_000) -> Field:
+def trained(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: tuple[int, int] = (3000, 1000), longest: int = 20_000) -> Field:
     """The field fitted to a sample of at most `most` clean and toxic labelled texts of `longest` bytes at
-    most: 130 MB on the driver in any case. Texts to be scored are scored whole, whatever their length."""
+    most: 80 MB on the driver in any case. Texts to be scored are scored whole, whatever their length."""
     return fit(*sample(docs, labels, text, id, label, most, longest))
 
 
