@@ -88,13 +88,13 @@ def before_and_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LANES_SQL}, m AS (SELECT origin, dest, date_trunc('month', day)::DATE AS month, sum(volume) AS total FROM lanes GROUP BY ALL), d AS (SELECT l.*, m.total, avg(l.volume) OVER (PARTITION BY l.origin, l.dest, l.day - date_trunc('month', l.day)::DATE) AS shape FROM lanes l JOIN m ON m.origin = l.origin AND m.dest = l.dest AND m.month = date_trunc('month', l.day)::DATE)
-SELECT origin, dest, day, round(shape * total / sum(shape) OVER (PARTITION BY origin, dest, date_trunc('month', day)), 6) AS calibrated FROM d""")
+SELECT origin, dest, day, round(shape * total / sum(shape) OVER (PARTITION BY origin, dest, date_trunc('month', day)) + 1e-9, 6) AS calibrated FROM d""")
 def month_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days in the mean shape of a month, at each month's own total."""
     l = lane_days(spark, sf_dir).withColumn("month", F.trunc("day", "MM"))
     own = Window.partitionBy(*LANE, "month")
     l = l.withColumns({"total": F.sum("volume").over(own), "shape": F.avg("volume").over(Window.partitionBy(*LANE, F.dayofmonth("day")))})
-    return l.select(*LANE, "day", F.round(F.col("shape") * F.col("total") / F.sum("shape").over(own), 6).alias("calibrated"))
+    return l.select(*LANE, "day", F.round(F.col("shape") * F.col("total") / F.sum("shape").over(own) + 1e-9, 6).alias("calibrated"))
 
 
 @query(f"""WITH {layouts.EFF_SQL}, p AS (SELECT id, round(avg(dni * cosine * air), 9) AS power FROM eff GROUP BY id), r AS (SELECT *, row_number() OVER (ORDER BY power, id) AS k, sum(power) OVER () AS whole, sum(power) OVER (ORDER BY power, id) AS gone, count(*) OVER () AS n FROM p)
