@@ -64,12 +64,10 @@ def words_of(texts: list[str]) -> Words:
     return Words(text, starts - offsets[text], lengths, np.stack(rows, 1), np.bincount(text, minlength=len(texts)))
 
 
-def gathered(texts: list[str], each: int = 500) -> Words:
-    """words_of() of many texts, a part of them at a time."""
-    parts = [words_of(texts[k : k + each]) for k in range(0, max(1, len(texts)), each)]
-    for k, w in enumerate(parts):
-        w.text += k * each
-    return Words(*(np.concatenate([getattr(w, name) for w in parts]) for name in ("text", "at", "length", "features", "counts")))
+def in_parts(texts: list[str], each: int = 250) -> Iterator[tuple[int, Words]]:
+    """words_of() of `each` texts at a time, with the first one's number."""
+    for k in range(0, len(texts), each):
+        yield k, words_of(texts[k : k + each])
 
 
 @dataclass
@@ -97,7 +95,10 @@ class Field:
         return out.reshape(features.shape)
 
     def emissions(self, known: np.ndarray) -> np.ndarray:
-        return self.bias + np.append(0.0, self.weights)[known].sum(1)
+        weights, out = np.append(0.0, self.weights), np.full(len(known), float(self.bias))
+        for column in known.T:
+            out += weights[column]
+        return out
 
 
 def marginals(emissions: np.ndarray, counts: np.ndarray, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -154,30 +155,39 @@ def summaries(p: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     return np.stack([np.ones(texts), np.log(top / (1 - top)), np.log1p(total)], 1)
 
 
-def telling(words: Words, toxic: np.ndarray, least: int = 5) -> np.ndarray:
+def _summed(h: np.ndarray, n: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct h, ascending, with the sums of n and hits."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return (h[first], np.add.reduceat(n[order], first), np.add.reduceat(hits[order], first)) if len(h) else (h, n, hits)
+
+
+def telling(texts: list[str], toxic: np.ndarray, least: int = 5) -> np.ndarray:
     """Features that stand in toxic texts far more often than chance allows, counted by texts: at least
     nine in ten of their texts are toxic, and that so many are is less likely than one in ten times the
     number of features tried."""
     base = min(0.999, max(1e-3, float(toxic.mean())))
-    tried, found = 0, []
-    for column in words.features.T:  # of each kind of feature
-        real = column != 0
-        h, text = column[real], words.text[real]
-        order = np.lexsort((text, h))
-        h, text = h[order], text[order]
-        once = np.ones(len(h), bool)
-        once[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        h, hit = h[once], toxic[text[once]]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        n = np.diff(np.append(first, len(h)))
-        hits = np.add.reduceat(hit, first) if len(h) else np.zeros(0)
+    kinds: list[list] = [[] for _ in range(1 + len(BEGINNINGS))]
+    for k, words in in_parts(texts):
+        for column, found in zip(words.features.T, kinds, strict=True):
+            real = column != 0
+            h, text = column[real], words.text[real]
+            order = np.lexsort((text, h))
+            h, text = h[order], text[order]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            found.append(_summed(h[once], np.ones(int(once.sum()), np.int64), toxic[k + text[once]]))
+    tried, chosen = 0, []
+    for found in kinds:  # each kind of feature
+        h, n, hits = _summed(*(np.concatenate(c) for c in zip(*found, strict=True)))
         often = n >= least
         tried += int(often.sum())
         share = np.clip(hits / np.maximum(n, 1), 1e-9, 1 - 1e-9)
         surprise = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
         good = often & (share >= 0.9) & (share > base)
-        found += zip(h[first][good].tolist(), surprise[good].tolist(), strict=True)
-    return np.array(sorted({k for k, s in found if s > np.log(max(1, tried)) + np.log(10)}), np.uint64)
+        chosen += zip(h[good].tolist(), surprise[good].tolist(), strict=True)
+    return np.array(sorted({k for k, s in chosen if s > np.log(max(1, tried)) + np.log(10)}), np.uint64)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 200) -> Field:
@@ -188,19 +198,20 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 200) -> Field:
     model = Field(np.zeros(0, np.uint64), np.zeros(0), score=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     if not 0 < y.sum() < len(y):
         return model
-    words = gathered(texts)
-    keys = telling(words, y)
+    keys = telling(texts, y)
     if not len(keys):
         return model
     model.keys, model.weights = keys, np.ones(len(keys))
-    known = model.known(words.features)
-    marked = known.any(1) & (y[words.text] == 1)
+    parts = [(model.known(w.features).astype(np.int32), (w.text + k).astype(np.int32), w.counts) for k, w in in_parts(texts)]
+    known, text, word_counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    marked = known.any(1) & (y[text] == 1)
     # windows around marked words and known features of clean texts, and each text's first words
-    ends = np.cumsum(words.counts)
-    begins = ends - words.counts
+    ends = np.cumsum(word_counts)
+    begins = ends - word_counts
     wanted = np.zeros(len(marked) + 1, np.int64)
     for i in np.flatnonzero(known.any(1)):
-        t = words.text[i]
+        t = text[i]
         wanted[max(begins[t], i - AROUND)] += 1
         wanted[min(ends[t], i + AROUND + 1)] -= 1
     first = np.minimum(begins + 2 * AROUND, ends)
@@ -208,7 +219,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 200) -> Field:
     np.add.at(wanted, first, -1)
     inside = np.cumsum(wanted)[:-1] > 0
     cut = np.ones(len(marked), bool)
-    cut[1:] = (words.text[1:] != words.text[:-1]) | ~inside[:-1]
+    cut[1:] = (text[1:] != text[:-1]) | ~inside[:-1]
     heads = np.flatnonzero(inside & cut)
     run = np.cumsum((inside & cut)[inside]) - 1
     counts = np.bincount(run, minlength=len(heads))
@@ -229,8 +240,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 200) -> Field:
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights, model.bias, model.moves = x[:size], float(x[size]), x[size + 1 :]
-    p, _ = marginals(model.emissions(known), words.counts, model.moves)
-    z = summaries(p, words.text, len(texts))
+    p, _ = marginals(model.emissions(known), word_counts, model.moves)
+    z = summaries(p, text, len(texts))
     model.score = _logistic(z, y)
     return model
 
