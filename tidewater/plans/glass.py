@@ -187,9 +187,9 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of log-ratios between weathered and clean samples, by 500 random flaggings, adjusted."""
+    """Differences of log-ratios between weathered and clean samples, by 200 random flaggings, adjusted."""
     rows = comp.long(ratios(spark, sf_dir), "c", "id", "weathered")
-    r = comp.permuted(rows, "id", "weathered", "v", 500, "part")
+    r = comp.permuted(rows, "id", "weathered", "v", 200, "part")
     return ranks.adjusted_p(r.withColumn("g", F.lit(0)), "p", ["g"], "q").drop("g").withColumn("difference", F.round("difference", 9))
 
 

@@ -329,8 +329,8 @@ def block_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """500 draws of a month's blocks with replacement; the interval of their totals."""
-    return signals.block_totals(pool(spark, sf_dir).select("station", "total"), KEY, "total", 500, 120)
+    """200 draws of a month of blocks, one a day, with replacement; the interval of their totals."""
+    return signals.block_totals(pool(spark, sf_dir).select("station", "total"), KEY, "total", 200, 31)
 
 
 TRIGGER_SQL = CAL_SQL + """, j AS (SELECT station, day, coalesce(abs(ln(1 + flow) - lag(ln(1 + flow)) OVER (PARTITION BY station ORDER BY day)) / 2.0::DOUBLE, 0) AS jump, (day - min(day) OVER (PARTITION BY station)) % 7 = 0 AS planned FROM days),
