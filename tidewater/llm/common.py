@@ -41,9 +41,12 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     # shuffle files go with the plans that made them, which are garbage once the table is written
+    schema = df.schema
+    del df
     gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    for _ in range(2):  # the second run collects what the first one has let go
+        spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, bool]:
