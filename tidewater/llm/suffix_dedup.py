@@ -156,14 +156,15 @@ def singled(raw: np.ndarray, offsets: np.ndarray, length: int, text: np.ndarray,
 #: Kinds of rows: a run to be sorted; a mark where a batch has several runs that share their bytes; a run
 #: that comes again; a run to be refined.
 RUN, MARK, AGAIN, REFINE = 0, 1, 2, 3
-ROWS = "kind int, shared long, whole long, doc long, tie long, at long, n int, shift int"
+#: n, shift and kind of a row are shuffled as one number: from the bits N on, from the bits SHIFT on, below.
+ROWS = "shared long, whole long, doc long, tie long, at long, packed long"
+N, SHIFT = 32, 2
 
 
 def _rows(kind, shared, ident, doc, tie, at, n, shift) -> pa.RecordBatch:
-    k = len(shared)
-    types = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32()]
-    cols = [np.full(k, kind), shared, ident, doc, tie, at, n, shift]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), t) for c, t in zip(cols, types, strict=True)], names=["kind", "shared", "whole", "doc", "tie", "at", "n", "shift"])
+    packed = np.asarray(n, np.int64) << N | np.asarray(shift, np.int64) << SHIFT | kind
+    cols = [shared, ident, doc, tie, at, packed]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols], names=["shared", "whole", "doc", "tie", "at", "packed"])
 
 
 def _batch(doc: np.ndarray, tie: np.ndarray, runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +210,10 @@ def _batch(doc: np.ndarray, tie: np.ndarray, runs: list[np.ndarray]) -> Iterator
 
 def settled(rows: DataFrame) -> DataFrame:
     """doc, tie, at, n, shift of the rows of kind AGAIN and REFINE after all batches' runs are sorted."""
+    word = F.col("packed")
+    fields = {"kind": word.bitwiseAND(F.lit((1 << SHIFT) - 1)), "n": F.shiftright(word, N), "shift": F.shiftright(word, SHIFT).bitwiseAND(F.lit((1 << N - SHIFT) - 1))}
+    # dealt here, so that the numbers are taken apart behind the shuffle
+    rows = rows.repartition("shared").select("shared", "whole", "doc", "tie", "at", *[c.cast("int").alias(k) for k, c in fields.items()])
     own = F.col("kind") == RUN
     bucket = Window.partitionBy("shared")
     run = F.when(own, F.col("whole"))
