@@ -92,6 +92,39 @@ def test_held_out_accuracy(spark, tables):
     assert hit > 0.95 and sum(caught) / len(caught) > 0.7 and sum(clean) / len(clean) < 0.02
 
 
+def test_long_stems_and_counts_tell():
+    """A stem of seven letters that clean texts have once and toxic ones often; its first six are no sign."""
+    rng = np.random.default_rng(5)
+    ending = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 4)))
+
+    def texts(n):
+        out, toxic = [], []
+        for i in range(n):
+            words = [f"{rng.choice(['la', 'bomenta', 'bomento', 'casa', 'rio'])}{ending()}" for _ in range(40)]
+            y = int(i % 8 == 0)
+            for _ in range(6 if y else int(rng.random() < 0.15)):
+                words[rng.integers(len(words))] = "bomente" + ending()
+            out.append(" ".join(words))
+            toxic.append(y)
+        return out, np.array(toxic)
+
+    model = fit(*texts(400))
+    held, toxic = texts(400)
+    told = scored(held, model)[0] >= 0.7
+    assert told[toxic == 1].mean() > 0.8 and told[toxic == 0].mean() < 0.02
+
+
+def test_held_out_recall_by_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = trained(docs, labels)
+    rows = toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in {r.lang for r in rows}:
+        caught = [r.predicted for r in rows if r.toxic and r.lang == lang]
+        assert len(caught) > 10 and sum(caught) / len(caught) >= 0.6, (lang, sum(caught), len(caught))
+    clean = [r.predicted for r in rows if not r.toxic]
+    assert sum(clean) / len(clean) < 0.02
+
+
 def test_odd_rows(spark, odd_docs):
     docs = odd_docs.withColumns({"score": F.lit(1), "spans": F.lit("x")})
     model = fit(*made(400, 1))

@@ -1,9 +1,10 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Labels are of whole texts, so words are labelled first: word forms and beginnings that stand in toxic texts
-far more often than chance allows are marked there. The field learns from these words and those around
-them. Its marginals (forward-backward) give a probability for each word; their sum and largest one make a
-text's score, and words more likely toxic than not give the offending offsets.
+Labels are of whole texts, so words are labelled first: those of toxic texts are marked if half their
+occurrences there, or a beginning's, are more than clean texts and chance account for. The field learns
+weights of all word forms and beginnings that stand in some toxic texts, from all words. Its marginals (forward-backward) give a probability for each word;
+their sum and largest one make a text's score, and words more likely toxic than not give the offending
+offsets.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import M1, M2, blocks, mixed, piece_hashes, utf8
 from tidewater.llm.pretokens import LETTER, classes, code_points, spans
 
-BEGINNINGS = (3, 4, 5, 6)  #: lengths of word beginnings that are features, besides whole words
-AROUND = 20  #: words on each side of a labelled one in the field's training windows
+BEGINNINGS = (3, 4, 5, 6, 7, 8)  #: lengths of word beginnings that are features, besides whole words
+LEAST = 3  #: toxic texts that a feature stands in
+PENALTY = 0.3  #: on half the squares of the field's weights
+SLACK = 1.0  #: standard deviations of a count that are not held for a sign
+BATCH = 300_000  #: words that the field learns from at once: some 30 MB of arrays
 BLOCK = 1_000_000  #: bytes scored at once: some 100 MB of arrays
 
 
@@ -155,21 +159,10 @@ def summaries(p: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     return np.stack([np.ones(texts), np.log(top / (1 - top)), np.log1p(total)], 1)
 
 
-def _summed(h: np.ndarray, n: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct h, ascending, with the sums of n and hits."""
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return (h[first], np.add.reduceat(n[order], first), np.add.reduceat(hits[order], first)) if len(h) else (h, n, hits)
-
-
-def telling(texts: list[str], toxic: np.ndarray, least: int = 5) -> np.ndarray:
-    """Features that stand in toxic texts far more often than chance allows, counted by texts: at least
-    nine in ten of their texts are toxic, and that so many are is less likely than one in ten times the
-    number of features tried."""
-    base = min(0.999, max(1e-3, float(toxic.mean())))
-    kinds: list[list] = [[] for _ in range(1 + len(BEGINNINGS))]
-    for k, words in in_parts(texts):
+def frequent(texts: list[str], least: int) -> np.ndarray:
+    """Features that stand in at least `least` of the texts, ascending."""
+    kinds: list[list[np.ndarray]] = [[] for _ in range(1 + len(BEGINNINGS))]
+    for _, words in in_parts(texts):
         for column, found in zip(words.features.T, kinds, strict=True):
             real = column != 0
             h, text = column[real], words.text[real]
@@ -177,71 +170,101 @@ def telling(texts: list[str], toxic: np.ndarray, least: int = 5) -> np.ndarray:
             h, text = h[order], text[order]
             once = np.ones(len(h), bool)
             once[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            found.append(_summed(h[once], np.ones(int(once.sum()), np.int64), toxic[k + text[once]]))
-    tried, chosen = 0, []
+            found.append(h[once])
+    out = []
     for found in kinds:  # each kind of feature
-        h, n, hits = _summed(*(np.concatenate(c) for c in zip(*found, strict=True)))
-        often = n >= least
-        tried += int(often.sum())
-        share = np.clip(hits / np.maximum(n, 1), 1e-9, 1 - 1e-9)
-        surprise = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-        good = often & (share >= 0.9) & (share > base)
-        chosen += zip(h[good].tolist(), surprise[good].tolist(), strict=True)
-    return np.array(sorted({k for k, s in chosen if s > np.log(max(1, tried)) + np.log(10)}), np.uint64)
-
-
-def fit(texts: list[str], toxic: list[int], rounds: int = 200) -> Field:
-    """The field from texts and their labels. Without texts of both kinds, or telling features, every text
-    gets the share of toxic ones as its score."""
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        out.append(h[n >= least])
+    return np.unique(np.concatenate(out))
+
+
+def typed(texts: list[str], model: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The known features of each distinct word (the first row: of words without one), the number of its
+    row for each word of the texts, and the words of each text."""
+    hashes, rows, of, counts = [], [], [], []
+    for _, words in in_parts(texts):
+        h, first, back = np.unique(words.features[:, 0], return_index=True, return_inverse=True)
+        known = model.known(words.features[first]).astype(np.int32)
+        hashes.append(np.where(known.any(1), h, np.uint64(0)))
+        rows.append(known)
+        of.append((back + sum(map(len, hashes[:-1]))).astype(np.int32))
+        counts.append(words.counts)
+    none = np.zeros((1, 1 + len(BEGINNINGS)), np.int32)
+    _, first, back = np.unique(np.concatenate([np.zeros(1, np.uint64), *hashes]), return_index=True, return_inverse=True)
+    back = back.astype(np.int32)
+    return np.concatenate([none, *rows])[first], np.concatenate([back[1 + o] for o in of]), np.concatenate(counts)
+
+
+def batches_of(counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of texts, those of like length together, with some BATCH words in each batch."""
+    order = np.argsort(counts, kind="stable")
+    batch = np.cumsum(counts[order]) // BATCH
+    yield from np.split(order, np.flatnonzero(batch[1:] != batch[:-1]) + 1)
+
+
+def excess(rows: np.ndarray, of: np.ndarray, text: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """For each row of features 1 if at least half a feature's occurrences in toxic texts are beyond its rate
+    in clean ones and chance, or else 0. A word's repeats in one text count as log2(1 + n)."""
+    pair, n = np.unique(text.astype(np.int64) * len(rows) + of, return_counts=True)
+    n, one = np.log2(1.0 + n), y[pair // len(rows)] == 1
+    sums = []
+    for those in (~one, one):
+        each = np.bincount(pair[those] % len(rows), n[those], len(rows))
+        sums.append((np.bincount(rows.ravel(), np.repeat(each, rows.shape[1]), size + 1), each.sum()))
+    (clean, all_clean), (there, all_there) = sums
+    ratio = all_there / max(1.0, all_clean)
+    share = (there - SLACK * np.sqrt(there) - (clean + 1) * ratio) / np.maximum(there, 1.0)
+    share[0] = 0.0
+    return (share[rows].max(1) >= 0.5).astype(np.float64)
+
+
+def fit(texts: list[str], toxic: list[int], rounds: int = 80) -> Field:
+    """The field from texts and their labels. Without texts of both kinds, or features of toxic texts, every
+    text gets the share of toxic ones as its score."""
     y = np.array(toxic, np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.05, 0.01, 0.99))
     model = Field(np.zeros(0, np.uint64), np.zeros(0), score=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     if not 0 < y.sum() < len(y):
         return model
-    keys = telling(texts, y)
-    if not len(keys):
+    model.keys = frequent([t for t, one in zip(texts, toxic, strict=True) if one], LEAST)
+    if not len(model.keys):
         return model
-    model.keys, model.weights = keys, np.ones(len(keys))
-    parts = [(model.known(w.features).astype(np.int32), (w.text + k).astype(np.int32), w.counts) for k, w in in_parts(texts)]
-    known, text, word_counts = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    marked = known.any(1) & (y[text] == 1)
-    # windows around marked words and known features of clean texts, and each text's first words
-    ends = np.cumsum(word_counts)
-    begins = ends - word_counts
-    wanted = np.zeros(len(marked) + 1, np.int64)
-    for i in np.flatnonzero(known.any(1)):
-        t = text[i]
-        wanted[max(begins[t], i - AROUND)] += 1
-        wanted[min(ends[t], i + AROUND + 1)] -= 1
-    first = np.minimum(begins + 2 * AROUND, ends)
-    np.add.at(wanted, begins, 1)
-    np.add.at(wanted, first, -1)
-    inside = np.cumsum(wanted)[:-1] > 0
-    cut = np.ones(len(marked), bool)
-    cut[1:] = (text[1:] != text[:-1]) | ~inside[:-1]
-    heads = np.flatnonzero(inside & cut)
-    run = np.cumsum((inside & cut)[inside]) - 1
-    counts = np.bincount(run, minlength=len(heads))
-    known_in, label = known[inside], marked[inside].astype(np.float64)
-    last = np.zeros(len(run), bool)
-    last[np.cumsum(counts) - 1] = True
-    l0, l1 = label[:-1][~last[:-1]], label[1:][~last[:-1]]
-    steps = np.array([((1 - l0) * l1).sum(), (l0 * (1 - l1)).sum(), (l0 * l1).sum()])
-    size = len(keys)
+    size = len(model.keys)
+    rows, of, word_counts = typed(texts, model)
+    marks = excess(rows, of, np.repeat(np.arange(len(texts), dtype=np.int32), word_counts), y, size)
+    begins = np.cumsum(word_counts) - word_counts
+    parts, wanted, steps = [], np.zeros(len(rows)), np.zeros(3)
+    for those in batches_of(word_counts):
+        counts = word_counts[those]
+        text = np.repeat(np.arange(len(those)), counts)
+        at = np.repeat(begins[those], counts) + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        kinds = of[at]
+        label = marks[kinds] * y[those][text]
+        wanted += np.bincount(kinds, label, len(rows))
+        inner = text[1:] == text[:-1]
+        l0, l1 = label[:-1][inner], label[1:][inner]
+        steps += [((1 - l0) * l1).sum(), (l0 * (1 - l1)).sum(), (l0 * l1).sum()]
+        parts.append((those, kinds, text, counts))
+    del of, begins
     x = np.concatenate([np.ones(size), [-4.0], np.zeros(3)])
     m, v = np.zeros_like(x), np.zeros_like(x)
     for k in range(1, rounds + 1):
         model.weights, model.bias, model.moves = x[:size], float(x[size]), x[size + 1 :]
-        p, moved = marginals(model.emissions(known_in), counts, model.moves, pairs=True)
-        error = label - p
-        g = np.bincount(known_in.ravel(), np.repeat(error, known_in.shape[1]), size + 1)[1:]
-        g = np.concatenate([g, [error.sum()], steps - moved]) - 0.1 * x
+        e = model.emissions(rows)
+        errors, moved = wanted.copy(), steps.copy()
+        for _, kinds, _, counts in parts:
+            p, there = marginals(e[kinds], counts, model.moves, pairs=True)
+            errors -= np.bincount(kinds, p, len(rows))
+            moved -= there
+        g = np.bincount(rows.ravel(), np.repeat(errors, rows.shape[1]), size + 1)[1:]
+        g = np.concatenate([g, [errors.sum()], moved]) - PENALTY * x
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x = x + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        x = x + 0.3 * (1 - k / (rounds + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights, model.bias, model.moves = x[:size], float(x[size]), x[size + 1 :]
-    p, _ = marginals(model.emissions(known), word_counts, model.moves)
-    z = summaries(p, text, len(texts))
+    e, z = model.emissions(rows), np.zeros((len(texts), 3))
+    for those, kinds, text, counts in parts:
+        p, _ = marginals(e[kinds], counts, model.moves)
+        z[those] = summaries(p, text, len(those))
     model.score = _logistic(z, y)
     return model
 
