@@ -119,46 +119,43 @@ def geometry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.count(F.lit(1)).alias("mirrors")).join(F.broadcast(out))
 
 
-@query()
-def ray_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of rays that other mirrors neither shade nor block, by state, for every 16th mirror of the
-    field against all near ones. A state's rays are one bounded group of the design's own size."""
-    mirrors = field(spark)
-    near = spatial.radius_pairs(mirrors.where("pmod(id, 16) = 0"), mirrors, 40.0).where("l.id <> r.id")
-    near = near.groupBy("l").agg(F.collect_list(F.struct("r.x", "r.y")).alias("near")).select("l.*", "near")
-    states = F.broadcast(sun(spark).where("hour IN (9.0, 12.0)").agg(F.collect_list(F.struct("month", "hour", "sx", "sy", "sz")).alias("states")))
-    rows = near.join(states).select("id", "x", "y", "near", F.explode("states").alias("s")).select("id", "x", "y", "near", "s.*")
+def kept_rays(mirrors: DataFrame, states: DataFrame) -> DataFrame:
+    """month, hour, rays, lit, kept: shares of each state's rays that other mirrors neither shade nor block,
+    over all mirrors. A row is a mirror in a state, dealt by both; near mirrors are bounded by the spacing."""
+    near = spatial.radius_pairs(mirrors, mirrors, 40.0).where("l.id <> r.id")
+    near = near.groupBy(F.col("l.id").alias("id")).agg(F.collect_list(F.struct("r.x", "r.y")).alias("near"))
+    states = F.broadcast(states.agg(F.collect_list(F.struct("month", "hour", "sx", "sy", "sz")).alias("states")))  # 60 states
+    rows = mirrors.join(near, "id", "left").join(states).select("id", "x", "y", "near", F.explode("states").alias("s")).select("id", "x", "y", "near", "s.*")
+    rows = rows.repartition("id", "month", "hour")
 
     def run(batches):
         import numpy as np
 
         offsets = np.stack(np.meshgrid(np.linspace(-2.5, 2.5, 5), np.linspace(-2.5, 2.5, 5)), -1).reshape(-1, 2)
 
-        def frame(p, s):
+        def frames(p, s):
             t = np.array([0, 0, TOWER]) - p
-            t /= np.linalg.norm(t)
+            t /= np.linalg.norm(t, axis=1, keepdims=True)
             n = s + t
-            n /= np.linalg.norm(n)
-            u = np.array([-n[1], n[0], 0]) / max(1e-9, math.hypot(n[0], n[1]))
+            n /= np.linalg.norm(n, axis=1, keepdims=True)
+            u = np.stack([-n[:, 1], n[:, 0], np.zeros(len(n))], 1) / np.maximum(1e-9, np.hypot(n[:, 0], n[:, 1]))[:, None]
             return t, n, u, np.cross(n, u)
 
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                s, p = np.array([r.sx, r.sy, r.sz]), np.array([r.x, r.y, 0.0])
-                t, n, u, v = frame(p, s)
-                start = p + offsets[:, :1] * u + offsets[:, 1:] * v
-                free = np.ones((2, len(start)), bool)
-                for q in r.near:
-                    c = np.array([q["x"], q["y"], 0.0])
-                    _, m, a, b = frame(c, s)
-                    for k, way in enumerate((s, t)):
-                        slope = way @ m
-                        if abs(slope) < 1e-9:
-                            continue
-                        along = ((c - start) @ m) / slope
-                        hit = start + along[:, None] * way - c
-                        free[k] &= ~((along > 1e-6) & (np.abs(hit @ a) <= 3) & (np.abs(hit @ b) <= 3))
+                s = np.array([r.sx, r.sy, r.sz])
+                c = np.array([[r.x, r.y, 0.0], *([q["x"], q["y"], 0.0] for q in (r.near if r.near is not None else []))])
+                t, m, a, b = frames(c, s)  # the mirror itself first
+                start = c[0] + offsets[:, :1] * a[0] + offsets[:, 1:] * b[0]
+                c, m, a, b = c[1:], m[1:], a[1:], b[1:]
+                free = []
+                for way in (s, t[0]):
+                    slope = m @ way
+                    level = np.abs(slope) < 1e-9
+                    along = ((c * m).sum(1)[:, None] - m @ start.T) / np.where(level, 1.0, slope)[:, None]
+                    inside = [np.abs(k @ start.T + along * (k @ way)[:, None] - (k * c).sum(1)[:, None]) <= 3 for k in (a, b)]
+                    free.append(~((along > 1e-6) & inside[0] & inside[1] & ~level[:, None]).any(0))
                 out.append((r.month, r.hour, len(start), int(free[0].sum()), int((free[0] & free[1]).sum())))
             yield pd.DataFrame(out, columns=["month", "hour", "rays", "lit", "kept"])
 
@@ -166,6 +163,13 @@ def ray_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("month", "hour").agg(F.sum("rays").alias("rays"), F.round(F.sum("lit") / F.sum("rays"), 6).alias("lit"), F.round(F.sum("kept") / F.sum("rays"), 6).alias("kept"))
 
 
+@query()
+def ray_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of rays that other mirrors neither shade nor block, of all mirrors in all 60 states. Truncation
+    at the receiver is not worked out."""
+    return kept_rays(field(spark), sun(spark))
+
+
 CHAINS = [("I", 0.078, 3.2), ("II", 0.105, 7.0), ("III", 0.12, 12.5), ("IV", 0.15, 19.5), ("V", 0.18, 28.12)]  #: kind, link in m, kg per m
 
 
