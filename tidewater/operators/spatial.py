@@ -117,29 +117,30 @@ def price_steps(tasks: DataFrame, budget: float, step: float, top: float, slope:
 
 
 def packages(tasks: DataFrame, radius: float, most: int) -> DataFrame:
-    """cell, package, id: tasks of a cell in packages, densest first, each of at most `most` tasks within
-    `radius` of its core. Cells four radii wide are worked on alone."""
+    """cell, package, id: tasks in packages, densest first, each of at most `most` free tasks within `radius`
+    of its core; package: the core's id, cell: the core's cell. Each round takes the free tasks that are
+    first among free ones within two radii: the same packages as in sequential order."""
+    from tidewater.operators.choices import written
+
+    t = tasks.select("id", "x", "y")
+    near = radius_pairs(t, t, 2 * radius)
+    edges = written(near.select(F.col("l.id").alias("id"), F.col("r.id").alias("_n"), "d"), "packages")
+    dense = edges.where(F.col("d") <= radius).groupBy("id").agg((-F.count(F.lit(1))).alias("_d"))
+    free = written(dense.select("id", F.struct("_d", "id").alias("_o")), "packages")
+    taken = []
+    while free.limit(1).count():
+        other = free.select(F.col("id").alias("_n"), F.col("_o").alias("_p"))
+        open_ = edges.join(free, "id").join(other, "_n")
+        cores = open_.groupBy("id").agg(F.min("_p").alias("_p"), F.first("_o").alias("_o")).where("_o = _p").select("id")
+        order = Window.partitionBy("id").orderBy("d", "_n")
+        members = open_.where(F.col("d") <= radius).join(cores, "id").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+        now = written(members.select(F.col("id").alias("package"), F.col("_n").alias("id")), "packages")
+        taken.append(now)
+        free = written(free.join(now, "id", "left_anti"), "packages")
+    if not taken:
+        return t.limit(0).select(F.lit("").alias("cell"), F.col("id").alias("package"), "id")
     cell = F.concat_ws(":", F.floor(F.col("x") / (4 * radius)), F.floor(F.col("y") / (4 * radius)))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values("id").reset_index(drop=True)
-        x, y, ids = rows["x"].to_numpy(), rows["y"].to_numpy(), rows["id"].to_numpy()
-        free = np.ones(len(ids), bool)
-        near = lambda i: np.flatnonzero(free & (np.hypot(x - x[i], y - y[i]) <= radius))
-        density = np.array([len(near(i)) for i in range(len(ids))])
-        out, k = [], 0
-        for i in np.lexsort((ids, -density)):
-            if free[i]:
-                members = near(i)
-                members = members[np.lexsort((ids[members], np.hypot(x[members] - x[i], y[members] - y[i])))][:most]
-                free[members] = False
-                out += [(key[0], k, int(ids[m])) for m in members]
-                k += 1
-        return pd.DataFrame(out, columns=["cell", "package", "id"])
-
-    return tasks.select("id", "x", "y", cell.alias("cell")).groupBy("cell").applyInPandas(run, "cell string, package int, id long")
+    return reduce(DataFrame.unionByName, taken).join(t.select(F.col("id").alias("package"), cell.alias("cell")), "package").select("cell", "package", "id")
 
 
 def spanning_lengths(members: DataFrame, by: list[str]) -> DataFrame:
