@@ -9,14 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.sources.shared import fresh
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, so that rounds don't pile up their plans."""
-    path = fresh(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tidewater.sources.shared import dropped, written
 
 
 def matched(pairs: DataFrame, i: str, j: str, *order: Column, rounds: int = 200) -> DataFrame:
@@ -32,7 +25,8 @@ def matched(pairs: DataFrame, i: str, j: str, *order: Column, rounds: int = 200)
         now = written(rest.join(a, i).join(b, j).where("_a = _o AND _b = _o").select(i, j, "_o"), "taken")
         taken.append(now.select(i, j))
         used = now.select(F.explode(F.array(i, j)).alias("_e"))
-        rest = written(rest.join(used, rest[i] == used["_e"], "left_anti").join(used, rest[j] == used["_e"], "left_anti"), "pairs")
+        last, rest = rest, written(rest.join(used, rest[i] == used["_e"], "left_anti").join(used, rest[j] == used["_e"], "left_anti"), "pairs")
+        dropped(last)
     else:
         raise RuntimeError("the matching did not settle")
     return reduce(DataFrame.unionByName, taken) if taken else pairs.select(i, j).limit(0)
@@ -52,7 +46,8 @@ def independent(nodes: DataFrame, conflicts: DataFrame, id: str, *order: Column,
         now = written(rest.join(first, id, "left").where("_first IS NULL OR _o < _first").select(id), "kept")
         kept.append(now)
         gone = edges.join(now, id).select(F.col("_n").alias(id)).distinct()
-        rest = written(rest.join(now, id, "left_anti").join(gone, id, "left_anti"), "nodes")
+        last, rest = rest, written(rest.join(now, id, "left_anti").join(gone, id, "left_anti"), "nodes")
+        dropped(last)
     else:
         raise RuntimeError("the selection did not settle")
     return reduce(DataFrame.unionByName, kept) if kept else nodes.select(id).limit(0)
