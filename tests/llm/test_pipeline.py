@@ -1,7 +1,11 @@
 import sys
+import zlib
 from pathlib import Path
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline
@@ -64,20 +68,26 @@ def test_suffix_stage(spark, docs):
 
 
 def test_whole_pipeline(spark, docs):
-    out = corpus_pipeline.run(spark, SF)
-    pieces = out.collect()
-    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
-    per = {}
-    for r in pieces:
-        per.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
-    for v in per.values():
+    """All stages in a row against a chain of plain ones over the same documents."""
+    model = toxicity.trained(docs, read(spark, SF, "labels"))
+    left = {r["doc_id"]: r["text"] for r in docs.collect()}
+    score, _ = toxicity.scored([t or "" for t in left.values()], model)
+    left = {k: t for (k, t), s in zip(left.items(), score, strict=True) if s < 0.7}
+    least = components(left)
+    left = plain_removed([(k, t) for k, t in left.items() if least[k] == k])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in left.items()}
+    pieces = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]))
+    assert pieces.keys() == want.keys()
+    for k, ids in want.items():
         at = 0
-        for start, length, total in sorted(v):
-            assert start == at
+        for start, length, total, crc in sorted(pieces[k]):
+            assert start == at and total == len(ids)
             at += length
-        assert at == total
-    tox = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
-    assert per.keys() <= tox
+            assert crc == zlib.crc32(np.array(ids[start:at], "<u4").tobytes())
+        assert at == len(ids)
 
 
 def test_stages_take_odd_rows(spark, odd_docs):

@@ -73,7 +73,8 @@ def tables(spark):
 
 def test_nothing_is_learned_from_held_out_rows(spark, tables):
     docs, labels = tables
-    texts, toxic = sample(docs, labels, "text", "doc_id", "toxic", (3000, 3000), 1 << 30)
+    rows = sample(docs, labels, "text", "doc_id", "toxic", (3000, 3000), 1 << 30).collect()
+    texts, toxic = [r.text for r in rows], [r.label for r in rows]
     held = {r.doc_id for r in docs.select("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
     want = [(r.text, r.toxic) for r in docs.join(labels, "doc_id").collect() if r.doc_id not in held]
     assert sorted(zip(texts, toxic)) == sorted(want)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from tidewater.sources.shared import dropped, written
+
+__all__ = ["dropped", "written"]  # steps are tables in the shared folder
 
 FIRST = -(1 << 63)  #: the place of null ids in the order of ids
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -20,40 +22,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only in local mode with none set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: lineage ends there, and a
-    lost executor costs no earlier stage. The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    # shuffle files go with the plans that made them, which are garbage once the table is written
-    schema = df.schema
-    del df
-    gc.collect()
-    for _ in range(2):  # the second run collects what the first one has let go
-        spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+def free(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, bool]:
     """doc, tie, _row of each row: doc and tie tell texts apart and order them. doc is the id (null: before
     all others), tie a hash of the text where an id has several rows; whether there are such ids is told
-    too. _row has the row's own columns."""
-    repeated = bool(docs.where(F.col(id).isNull()).limit(1).count() or docs.groupBy(id).count().where("count > 1").limit(1).count())
+    too. _row has the row's own columns. Ids must be whole numbers; an error tells of others."""
+    if not isinstance(docs.schema[id].dataType, IntegralType):
+        raise TypeError(f"{id} must be a whole number, not {docs.schema[id].dataType.simpleString()}")
+    repeated = bool(docs.groupBy(id).count().where(F.col(id).isNull() | (F.col("count") > 1)).limit(1).count())
     tie = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if repeated else F.lit(0).cast("long")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(FIRST)).alias("doc"), tie.alias("tie"), row.alias("_row")), repeated

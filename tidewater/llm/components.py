@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize
+from tidewater.llm.common import dropped, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges as a table, and what tells whether they are the same as another round's: found as they are written."""
+    seen = Observation()
+    out = written(edges.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")), "edges")
+    return out, (seen.get.get("n"), seen.get.get("h"))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -19,8 +22,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large and small stars take turns until nothing changes: each node's neighbours are tied to its
     smallest one. The smallest is found by partial sums and joined, so that a node with very many
     neighbours is not gathered anywhere; each round's edges are written to the shared folder."""
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
+    now, state = _kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(rounds):
         if not state[0]:
             break
@@ -29,10 +31,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         ties = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = materialize(ties.select("e.*").where("a != b").distinct(), "edges")
-        last, state = state, _state(now)
+        before, last = now, state
+        now, state = _kept(ties.select("e.*").where("a != b"))
+        dropped(before)
         if state == last:
             break
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out.written_at = now.written_at  # what dropped() deletes
+    return out

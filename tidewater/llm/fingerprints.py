@@ -90,32 +90,44 @@ def written(fingerprint: np.ndarray) -> str:
     return base64.b64encode(fingerprint.astype("<u8").tobytes()).decode()
 
 
-def in_order(docs: DataFrame, rows_each: int = 2048, most: int = 4096) -> DataFrame:
+def in_order(docs: DataFrame, rows_each: int = 2048, most: int = 1 << 20, each: int = 20) -> DataFrame:
     """bucket, extra, id, text: the rows dealt to buckets of neighbouring ids. A bucket ends with a copy
     (extra = 1) of the row that comes after its last one, in the last bucket of the first row of all, so
     that each bucket is worked on alone. Rows are ordered by id, nulls first, then by text.
 
-    At most `most` buckets are made; their edges are quantiles of the ids."""
-    n = docs.where(F.col("id").isNotNull()).count()
-    count = min(most, max(1, n // rows_each))
-    edges = np.array(sorted(set(docs.stat.approxQuantile("id", [k / count for k in range(1, count)], 0.25 / count))) if count > 1 else [], np.int64)
-
-    def numbers(ids: pa.Array) -> np.ndarray:
-        found = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), "right") + 1
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, found)
-
-    @F.arrow_udf("long")
-    def bucket(ids: pa.Array) -> pa.Array:
-        return pa.array(numbers(ids), pa.int64())
-
-    first = sorted(tuple(r) for r in docs.groupBy(bucket("id").alias("bucket")).agg(F.min("id").alias("id")).collect())  # at most most + 1 rows
-    last = {i: first[k - 1][0] for k, (_, i) in enumerate(first)}
+    Buckets have some `rows_each` rows, or as many more as keep them to about `most`. They begin at ids of
+    a sample by hash with some `each` ids for a bucket: the driver gets 8 bytes for each of these, 160 MB
+    at most, and each task 8 bytes for each bucket."""
+    null = F.col("id").isNull()
+    facts = docs.agg(F.count("id").alias("n"), F.min("id").alias("least"), F.count_if(null).alias("nulls"), F.min(F.when(null, F.col("text"))).alias("text")).first()
+    count = min(most, max(1, facts["n"] // rows_each))
+    edges = np.zeros(0, np.int64)
+    if count > 1:
+        part = max(1, facts["n"] // (each * count))
+        found = docs.where(~null & (F.pmod(F.xxhash64("id"), F.lit(part)) == 0)).select(F.col("id").cast("long").alias("id")).toArrow()["id"].to_numpy()
+        found = np.sort(found)
+        edges = np.unique(found[np.arange(1, count) * len(found) // count]) if len(found) else edges
+        edges = edges[edges > facts["least"]]
+    # a bucket's first id is its edge; 1 is the bucket of the least id, 0 that of nulls
+    firsts, last = np.append(facts["least"] if facts["n"] else 0, edges), 1 + len(edges) if facts["n"] else 0
+    shared = docs.sparkSession.sparkContext.broadcast((edges, firsts))
 
     @F.arrow_udf("array<long>")
-    def places(ids: pa.Array) -> pa.Array:
-        return pa.array([[b, last[i]] if i in last else [b] for i, b in zip(ids.to_pylist(), numbers(ids).tolist(), strict=True)], pa.list_(pa.int64()))
-
-    dealt = docs.select("id", "text", F.posexplode(places("id")).alias("extra", "bucket"))
+    def places(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        edges, firsts = shared.value
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = np.where(null, 0, np.searchsorted(edges, known, "right") + 1)
+        first = ~null & (firsts[np.maximum(own - 1, 0)] == known)
+        before = np.where(own > 1, own - 1, 0 if facts["nulls"] else last)
+        out = [[a, b] if one else [a] for a, b, one in zip(own.tolist(), before.tolist(), first.tolist(), strict=True)]
+        for i in np.flatnonzero(null).tolist():
+            if texts[i].as_py() == facts["text"]:
+                out[i] = [0, last]
+        return pa.array(out, pa.list_(pa.int64()))
+
+    only_null = F.when(null, F.col("text"))  # texts are looked at where the id is null alone
+    dealt = docs.select("id", "text", F.posexplode(places("id", only_null)).alias("extra", "bucket"))
     return dealt.select("bucket", "extra", "id", "text").repartition("bucket").sortWithinPartitions("bucket", "extra", "id", "text")
 
 
@@ -124,9 +136,10 @@ def compare_edited(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     text in ascending id: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next (the shares of the text's chunks that the edit and the next text have).
 
-    Null text counts as empty; two empty texts are alike (1), an empty one and another are not (0).
-    Null ids come first and repeated ids follow each other by text, a row each; a single row is its own
-    next one. Other columns are not read."""
+    Null text counts as empty; two empty texts are alike (1), an empty one and another are not (0). Texts
+    of any length are taken whole, one at a time where they are long. Null ids come first and repeated ids
+    follow each other by text, a row each; a single row is its own next one. An empty table gives no rows.
+    Other columns are not read, whatever their names."""
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     names = [id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks, materialize, utf8
+from tidewater.llm.common import blocks, utf8, written
 from tidewater.llm.webp import decode_many, encode_texts, shape_of
 
 ROW = 192  #: samples of a row of pixels; payloads are padded to it
@@ -95,5 +95,5 @@ def media_round_trip(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     """What from_media() tells of each row's text after it was written as WebP to the shared folder and
     read again. Null text counts as empty; null and repeated ids give a row each; other columns are not
     read."""
-    stored = materialize(to_media(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text"), "media", compression="zstd")
+    stored = written(to_media(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text"), "media", compression="zstd")
     return from_media(stored, "id").withColumnRenamed("id", id)

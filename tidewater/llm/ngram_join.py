@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import M1, blocks, grouped, keyed, materialize, mixed, utf8
+from tidewater.llm.common import M1, blocks, dropped, grouped, keyed, mixed, utf8, written
 from tidewater.llm.components import connected_components
 from tidewater.llm.shingles import set_marks, shingle_sets
 
@@ -222,10 +222,11 @@ def _chunks(sets: list[np.ndarray], tokens: int) -> Iterator[tuple[int, int]]:
 
 
 def numbered(sets: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """The sets as ascending numbers of their n-grams, common ones first."""
+    """The sets as ascending numbers of their n-grams in the order that all blocks share: the commonest in
+    the corpus first, of equally common ones by their hash."""
     flat = np.concatenate(sets)
     kinds, at = np.unique(flat, return_inverse=True)
-    order = np.lexsort((kinds, -counts[kinds & np.uint64(BUCKETS - 1)].astype(np.int64), -np.bincount(at)))
+    order = np.lexsort((kinds, -counts[kinds & np.uint64(BUCKETS - 1)].astype(np.int64)))
     rank = np.empty(len(kinds), np.uint32)
     rank[order] = np.arange(len(kinds), dtype=np.uint32)
     out, k = [], 0
@@ -311,16 +312,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     without words, or a null one, has an empty set and links with nothing. Null and repeated ids give a
     row each; a component of null ids alone has a null component_id. Other columns are not read."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    facts = materialize(described(rows, width), "ngram-sets")
+    facts = written(described(rows, width), "ngram-sets")
     texts = facts.where(F.col("part").isNull()).select("id", "n", "f1", "f2")
     counts = docs.sparkSession.sparkContext.broadcast(summed(facts))
-    classes = materialize(texts.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.max("n").alias("n")), "ngram-classes")
-    clusters = connected_components(tied(rows, counts, width)).withColumnsRenamed({"node": "f1", "root": "cluster"})
-    members = classes.join(clusters, "f1")
+    classes = written(texts.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.max("n").alias("n")), "ngram-classes")
+    clusters = connected_components(tied(rows, counts, width))
+    members = classes.join(clusters.withColumnsRenamed({"node": "f1", "root": "cluster"}), "f1")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams")).where("k > 1")
     parts = F.greatest(F.ceil(F.col("k") / SETS), F.ceil(F.col("grams") / GRAMS)).cast("long").alias("parts")
-    wanted = materialize(members.join(sizes.select("cluster", parts), "cluster").select("id", "f1", "f2", "weight", "cluster", "parts"), "ngram-clusters")
-    links = materialize(verified(rows, wanted, counts, width), "ngram-links")
+    wanted = written(members.join(sizes.select("cluster", parts), "cluster").select("id", "f1", "f2", "weight", "cluster", "parts"), "ngram-clusters")
+    dropped(clusters)
+    links = written(verified(rows, wanted, counts, width), "ngram-links")
+    dropped(wanted)
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = classes.withColumn("node", F.concat_ws(":", "f1", "f2")).join(roots, "node", "left").join(sums, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -3,7 +3,8 @@
 Each source is a queue of tokens. The queues are cut into blocks of windows by exact integer shares, so
 that every block holds each source in proportion and the fraction that is left carries on to the next
 block, wherever that one is worked on. Within a block, deficit round-robin fills each window from the
-queues and carries the deficits from window to window.
+queues and carries the deficits from window to window. Sources that are due fewer than two tokens a block
+stand in one queue, one after another, as no window could hold their shares.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks, grouped, materialize, utf8
+from tidewater.llm.common import blocks, grouped, utf8, written
 from tidewater.llm.pretokens import PieceVocabulary, byte_letters
 
 # Fixed value: the pre-token pattern of byte_bpe_50k.json.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1_000_000
-MAX_QUEUES = 256  #: sources beyond so many share queues by a hash of their name
+BUCKETS = 1024  #: in which sources are summed up
 
 _LOADED: dict[str, ByteVocabulary] = {}
 
@@ -108,40 +109,60 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     return docs.select("id", "queue", "text").mapInArrow(run, f"id {kind}, queue string, part int, at long, n long, ids binary")
 
 
-class Shares:
-    """Where the blocks cut each queue. Every block but the last has `size` tokens in all; of each queue
-    but the largest it has the exact share, rounded down at its end, and of the largest the rest."""
+class Lane:
+    """Where the blocks of `size` tokens cut a queue that has the tokens before : end of the corpus's `all`
+    when all queues are laid end to end. The cuts of all queues add up to whole blocks; the last block has
+    what is left. A queue's cuts ascend if it is due two tokens a block or is the last one."""
 
-    def __init__(self, totals: dict[str, int], size: int):
-        self.totals, self.size, self.all = totals, size, sum(totals.values())
-        self.count = max(1, self.all // size)
-        self.largest = max(totals, key=lambda q: (totals[q], q))
-        self.edge_of_largest = functools.lru_cache(4096)(lambda b: b * size - sum(b * size * n // self.all for q, n in totals.items() if q != self.largest))
+    def __init__(self, before: int, end: int, all: int, size: int):
+        self.before, self.end, self.all, self.size = before, end, all, size
+        self.count = max(1, all // size)
 
-    def edge(self, queue: str, block: int) -> int:
+    def edge(self, block: int) -> int:
         if block >= self.count:
-            return self.totals[queue]
-        return self.edge_of_largest(block) if queue == self.largest else block * self.size * self.totals[queue] // self.all
+            return self.end - self.before
+        return block * self.size * self.end // self.all - block * self.size * self.before // self.all
 
-    def block_at(self, queue: str, token: int) -> int:
+    def block_at(self, token: int) -> int:
         """The last block that begins at or before this token of the queue."""
-        b = min(self.count - 1, ((token + 1) * self.all - 1) // (self.size * self.totals[queue]))
-        while b > 0 and self.edge(queue, b) > token:
+        b = min(self.count - 1, token * self.all // (self.size * (self.end - self.before)))
+        while b > 0 and self.edge(b) > token:
             b -= 1
-        while b + 1 < self.count and self.edge(queue, b + 1) <= token:
+        while b + 1 < self.count and self.edge(b + 1) <= token:
             b += 1
         return b
 
 
+def lanes(sums: DataFrame, all: int, block: int) -> DataFrame:
+    """queue, part, before, end, base, tail: the place of each source's queue among all tokens, and of what a
+    part of the table has of it within the queue. sums: queue, part, n. Queues are ordered by a hash, those
+    of the tail last; sums run within the hash's buckets first, so that no task sees all sources."""
+    queues = sums.groupBy("queue").agg(F.sum("n").alias("n"))
+    tail = F.col("n").cast("decimal(38,0)") * F.lit(block) < F.lit(2 * all).cast("decimal(38,0)")
+    queues = queues.withColumns({"tail": tail, "bucket": F.pmod(F.xxhash64("queue"), F.lit(BUCKETS)).cast("int")})
+    buckets = queues.groupBy("tail", "bucket").agg(F.sum("n").alias("_n"))
+    ahead = lambda by: Window.partitionBy(*by[0]).orderBy(*by[1]).rowsBetween(Window.unboundedPreceding, -1)
+    # 2 * BUCKETS rows at most
+    buckets = buckets.withColumn("_base", F.coalesce(F.sum("_n").over(ahead(([], ["tail", "bucket"]))), F.lit(0))).drop("_n")
+    placed = queues.withColumn("_own", F.coalesce(F.sum("n").over(ahead((["tail", "bucket"], ["queue"]))), F.lit(0)))
+    placed = placed.join(F.broadcast(buckets), ["tail", "bucket"]).withColumn("at", F.col("_base") + F.col("_own"))
+    first = buckets.agg(F.min(F.when(F.col("tail"), F.col("_base"))).alias("_tail"))  # one row
+    placed = placed.join(F.broadcast(first)).select("queue", "tail", F.when(F.col("tail"), F.col("_tail")).otherwise(F.col("at")).alias("before"), F.when(F.col("tail"), F.lit(all)).otherwise(F.col("at") + F.col("n")).alias("end"), "at")
+    parts = sums.withColumn("_in", F.coalesce(F.sum("n").over(ahead((["queue"], ["part"]))), F.lit(0)))
+    return parts.join(placed, "queue").select("queue", "part", "tail", "before", "end", (F.col("at") - F.col("before") + F.col("_in")).alias("base"))
+
+
 def fill(queues: dict[str, list], windows: list[int], piece: int) -> Iterator[tuple[int, int, object, int, int]]:
     """Deficit round-robin: (window, offset, item, from, to) of each piece. queues: lists of (item,
     length), whose lengths are those of the windows in all. A queue whose turn it is and that is owed
     tokens gives what it is owed or `piece` tokens, whichever is more, unless its text or the window
-    ends first; what it gave too much is taken off its next turns."""
+    ends first; what it gave too much is taken off its next turns. Where no queue is owed tokens, the one
+    that lacks least to it gives. Queues begin with a debt below `piece`, told by a hash of their names, so
+    that many small ones do not all give at once."""
     names = sorted(queues)
     total = sum(windows)
     share = {q: sum(n for _, n in queues[q]) for q in names}
-    owed = dict.fromkeys(names, 0)  # times total
+    owed = {q: -(zlib.crc32(q.encode()) % 1000 * min(piece, share[q]) * total // 1000) for q in names}  # times total
     head = dict.fromkeys(names, 0)
     done = dict.fromkeys(names, 0)
     turn = 0
@@ -150,6 +171,8 @@ def fill(queues: dict[str, list], windows: list[int], piece: int) -> Iterator[tu
             owed[q] += size * share[q]
         room, idle = size, 0
         while room:
+            if idle >= len(names):
+                turn = max((k for k, q in enumerate(names) if head[q] < len(queues[q])), key=lambda k: owed[names[k]])
             q = names[turn]
             if head[q] < len(queues[q]) and (owed[q] > 0 or idle >= len(names)):
                 item, n = queues[q][head[q]]
@@ -182,53 +205,60 @@ def pack(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", sou
     offset, source_queue.
 
     Null text counts as empty (its closing id is packed), null source is a source of its own. Repeated
-    rows and null ids are packed row by row; other columns are not read. Only the last block's last
-    sequences are shorter than `size`: powers of two, so that nothing is padded. No rows: no pieces."""
+    rows and null ids are packed row by row; other columns are not read. Texts of any length are cut where
+    a block or a window ends. Only the last block's last sequences are shorter than `size`: powers of two,
+    so that nothing is padded. No rows: no pieces. There may be any number of sources, each of them with the
+    share of the corpus that it has; source_queue is the piece's source."""
     rows = docs.select(F.col(id).alias("id"), F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source))).alias("queue"), F.col(text).alias("text"))
-    known = rows.select("queue").distinct().limit(MAX_QUEUES + 1).count()
-    if known > MAX_QUEUES:
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
     width = vocabulary(path).width
     kind = rows.schema["id"].dataType.simpleString()
-    tokens = materialize(tokenised(rows, path, end), "packing-ids", compression="zstd")
+    tokens = written(tokenised(rows, path, end), "packing-ids", compression="zstd")
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
+    total = tokens.agg(F.sum("n")).first()[0]
     out = f"{id} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source_queue string"
-    if not totals:
+    if not total:
         return docs.sparkSession.createDataFrame([], out)
-    per_block = max(windows, -(-2 * len(totals) ** 2 // size))
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    block = windows * size
     # as a table of its own, so that Spark knows its size before it plans the join and, while it is small,
     # does not shuffle the ids for it
-    base = materialize(sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("queue", "part", "base"), "packing-base")
-    placed = tokens.join(base, ["queue", "part"]).select("id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
+    base = written(lanes(sums, total, block), "packing-base")
+    placed = tokens.join(base, ["queue", "part"]).select("id", "queue", "tail", "before", "end", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares, w = Shares(totals, per_block * size), width().itemsize
+        w, known = width().itemsize, {}
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), None, pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            ids, queues, ats, ns = (batch.column(i).to_pylist() for i in (0, 1, 2, 3))
-            rows = []
-            for i, (q, at, n) in enumerate(zip(queues, ats, ns, strict=True)):
-                b, g = shares.block_at(q, at), at
+            kinds[4] = batch.schema.field(0).type
+            rows, data = [], batch.column(7)
+            for i, (own, q, tail, before, end, at, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)):
+                if (before, end) not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[before, end] = Lane(before, end, total, block)
+                lane = known[before, end]
+                b, g = lane.block_at(at), at
                 while g < at + n:
-                    to = min(at + n, shares.edge(q, b + 1))
+                    to = min(at + n, lane.edge(b + 1))
                     if to > g:
-                        data = batch.column(4)[i].as_buffer()[(g - at) * w : (to - at) * w]
-                        rows.append((b, q, g, ids[i], g - at, n, data.to_pybytes()))
+                        rows.append((b, "" if tail else f"={q}", q, g, own, g - at, n, data[i].as_buffer()[(g - at) * w : (to - at) * w].to_pybytes()))
                         g = to
                     b += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, [pa.int64(), pa.string(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["block", "queue", "at", "id", "start", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=["block", "lane", "queue", "at", "id", "start", "n", "ids"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (block,), table in grouped(batches, ["block"]):
             queues: dict[str, list] = {}
-            cols = [table.column(c).to_pylist() for c in ("queue", "id", "start", "n", "ids")]
-            for q, i, start, n, data in zip(*cols, strict=True):
+            cols = [table.column(c).to_pylist() for c in ("lane", "queue", "id", "start", "n", "ids")]
+            for lane, q, i, start, n, data in zip(*cols, strict=True):
                 ids = np.frombuffer(data, width).astype("<u4")
-                queues.setdefault(q, []).append(((q, i, start, n, memoryview(ids.view(np.uint8))), len(ids)))
-            total = sum(n for x in queues.values() for _, n in x)
-            out = [(i, start + a, b - a, zlib.crc32(raw[4 * a : 4 * b]), n, block * per_block + w, offset, q[1:] if q[:1] == "=" else None if q == "" else q) for w, offset, (q, i, start, n, raw), a, b in fill(queues, windows_of(total, size), piece)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [table.schema.field("id").type, *[pa.int64()] * 6, pa.string()], strict=True)], names=[id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue"])
-
-    cuts = placed.mapInArrow(cut, f"block long, queue string, at long, id {kind}, start long, n long, ids binary")
-    return cuts.repartition("block").sortWithinPartitions("block", "queue", "at").mapInArrow(run, out)
+                queues.setdefault(lane, []).append(((q, i, start, n, memoryview(ids.view(np.uint8))), len(ids)))
+            here = sum(n for x in queues.values() for _, n in x)
+            out = [
+                (i, start + a, b - a, zlib.crc32(raw[4 * a : 4 * b]), n, block * windows + w, offset, q[1:] if q else None)
+                for w, offset, (q, i, start, n, raw), a, b in fill(queues, windows_of(here, size), piece)
+            ]
+            kinds = [table.schema.field("id").type, *[pa.int64()] * 6, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue"])
+
+    cuts = placed.mapInArrow(cut, f"block long, lane string, queue string, at long, id {kind}, start long, n long, ids binary")
+    return cuts.repartition("block").sortWithinPartitions("block", "lane", "at").mapInArrow(run, out)

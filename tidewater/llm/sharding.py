@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import free
+
 SLOTS = 65537  #: prime, at least 100 times the shards
 HEX = 15  #: hex digits of the key's digest that make its slot
 
@@ -64,15 +66,18 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """df's rows with the slot and the shard of their key; columns of df with those names are replaced.
 
-    The table has `slots` rows of some 40 bytes whatever the input is (2.6 MB by default), which is why
-    it may be broadcast. Rows of equal keys share a shard; every row is kept, null keys too."""
-    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    rows = df.drop(slot, shard).withColumn("_slot", slot_of(F.col(key), slots))
-    return rows.join(F.broadcast(table), "_slot").withColumnsRenamed({"_slot": slot, "_shard": shard})
+    The table has `slots` rows of some 40 bytes whatever the input is (2.6 MB by default), which is why it
+    may be broadcast. Rows of equal keys share a shard; every row is kept, null keys too, and an empty
+    table gives no rows."""
+    rows, value = df.drop(*(c for c in (slot, shard) if c != key)), free("_key", df)
+    rows = rows.withColumn(value, slot_of(F.col(key), slots)).drop(*(c for c in (slot, shard) if c == key)).withColumnRenamed(value, slot)
+    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    return rows.join(F.broadcast(table), slot)
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, parts: int = 8, **options: str) -> None:
     """Write df with a folder for each shard. A shard's rows are dealt to `parts` tasks by their slot, so
-    that no shard waits for one task."""
+    that no shard waits for one task. Null keys lie with empty ones; an empty table leaves a folder without
+    shards."""
     placed = place(df, key, shards)
     placed.repartition(len(set(shards)) * parts, "shard", F.pmod(F.col("slot"), F.lit(parts))).drop("slot").write.partitionBy("shard").options(**options).parquet(path)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import M1, blocks, keyed, materialize, mixed, utf8
+from tidewater.llm.common import M1, blocks, keyed, mixed, utf8, written
 
 STEP = 8  #: strings in a refined run
 GRAM = 32  #: bytes of the buckets that anchors are taken from
@@ -277,9 +277,9 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     start earlier too: in a text before it, or in the same text further ahead. docs: doc, tie, text."""
     if length < 2 * GRAM:
         raise ValueError(f"strings have {2 * GRAM} bytes at least")
-    runs = materialize(sorted_runs(docs, length), "suffix-runs")
-    fields = materialize(refined_runs(docs, runs, length, halved), "suffix-fields")
-    strings = materialize(refined_runs(docs, fields, length, singled), "suffix-strings")
+    runs = written(sorted_runs(docs, length), "suffix-runs")
+    fields = written(refined_runs(docs, runs, length, halved), "suffix-fields")
+    strings = written(refined_runs(docs, fields, length, singled), "suffix-strings")
     found = [x.where(F.col("kind") == AGAIN).select("doc", "tie", "at", "n") for x in (runs, fields, strings)]
     return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 

@@ -10,6 +10,7 @@ offsets.
 from __future__ import annotations
 
 import functools
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +27,7 @@ LEAST = 3  #: toxic texts that a feature stands in
 PENALTY = 0.3  #: on half the squares of the field's weights
 SLACK = 1.0  #: standard deviations of a count that are not held for a sign
 BATCH = 300_000  #: words that the field learns from at once: some 30 MB of arrays
+PART = 500_000  #: code points that features are found in at once: some 50 MB of arrays
 BLOCK = 1_000_000  #: bytes scored at once: some 100 MB of arrays
 
 
@@ -68,10 +70,11 @@ def words_of(texts: list[str]) -> Words:
     return Words(text, starts - offsets[text], lengths, np.stack(rows, 1), np.bincount(text, minlength=len(texts)))
 
 
-def in_parts(texts: list[str], each: int = 250) -> Iterator[tuple[int, Words]]:
-    """words_of() of `each` texts at a time, with the first one's number."""
-    for k in range(0, len(texts), each):
-        yield k, words_of(texts[k : k + each])
+def in_parts(texts: list[str]) -> Iterator[Words]:
+    """words_of() of texts of some PART code points in all at a time."""
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    for lo, hi in blocks(ends, PART):
+        yield words_of(texts[lo:hi])
 
 
 @dataclass
@@ -162,7 +165,7 @@ def summaries(p: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
 def frequent(texts: list[str], least: int) -> np.ndarray:
     """Features that stand in at least `least` of the texts, ascending."""
     kinds: list[list[np.ndarray]] = [[] for _ in range(1 + len(BEGINNINGS))]
-    for _, words in in_parts(texts):
+    for words in in_parts(texts):
         for column, found in zip(words.features.T, kinds, strict=True):
             real = column != 0
             h, text = column[real], words.text[real]
@@ -182,7 +185,7 @@ def typed(texts: list[str], model: Field) -> tuple[np.ndarray, np.ndarray, np.nd
     """The known features of each distinct word (the first row: of words without one), the number of its
     row for each word of the texts, and the words of each text."""
     hashes, rows, of, counts = [], [], [], []
-    for _, words in in_parts(texts):
+    for words in in_parts(texts):
         h, first, back = np.unique(words.features[:, 0], return_index=True, return_inverse=True)
         known = model.known(words.features[first]).astype(np.int32)
         hashes.append(np.where(known.any(1), h, np.uint64(0)))
@@ -305,9 +308,9 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, most: tuple[int, int], longest: int) -> tuple[list[str], list[int]]:
-    """At most `most` labelled texts that are clean and toxic, by a hash of their ids, none of them held
-    out and none longer than `longest` bytes."""
+def sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, most: tuple[int, int], longest: int) -> DataFrame:
+    """id, text, label of at most `most` labelled texts that are clean and toxic, by a hash of their ids,
+    none of them held out and none longer than `longest` bytes."""
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id)))
     known = known.groupBy(id).agg(F.max(label).alias("_label"))
     rows = docs.where(F.octet_length(F.coalesce(F.col(text), F.lit(""))) <= longest).select(F.col(id).alias("_id"))
@@ -316,15 +319,23 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, m
         of = known.where(F.col("_label") == value).join(rows, F.col(id) == F.col("_id"), "left_semi")
         lists.append(of.orderBy(F.xxhash64(id), id).limit(most[value]))
     chosen = F.broadcast(lists[0].unionByName(lists[1]).select(F.col(id).alias("_id"), "_label"))  # sum(most) rows at most
-    got = docs.join(chosen, F.col(id) == F.col("_id")).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), "_label").collect()
-    got = sorted({(r["id"], r["text"], r["_label"]) for r in got})
-    return [r[1] for r in got], [r[2] for r in got]
+    own = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return own.join(chosen, F.col("id") == F.col("_id")).select("id", "text", F.col("_label").alias("label"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: tuple[int, int] = (3000, 1000), longest: int = 20_000) -> Field:
     """The field fitted to a sample of at most `most` clean and toxic labelled texts of `longest` bytes at
-    most: 80 MB on the driver in any case. Texts to be scored are scored whole, whatever their length."""
-    return fit(*sample(docs, labels, text, id, label, most, longest))
+    most, in one task: 80 MB of texts and some 200 MB of arrays there in any case. The driver gets the field
+    alone, about 1 MB. Texts to be scored are scored whole, whatever their length."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+        model = fit([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["field"])
+
+    rows = sample(docs, labels, text, id, label, most, longest)
+    found = rows.select("id", "text", F.col("label").cast("int").alias("label")).repartition(1).mapInArrow(run, "field binary").collect()
+    return pickle.loads(found[0]["field"]) if found else fit([], [])
 
 
 def toxicity(docs: DataFrame, model: Field, text: str = "text", id: str = "doc_id", threshold: float = 0.7) -> DataFrame:

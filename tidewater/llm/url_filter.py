@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import M1, M2, mixed
+from tidewater.llm.common import M1, M2, free, mixed
 
 #: A rule: (host, path, verdict), the verdict allow or block.
 Rule = tuple[str, str, str]
-MOST_BITS = 1 << 31  #: of one level: 256 MB
+CLASS = 1 << 22  #: about the most rules of one class of hashes, which has a cascade of its own
 
 
 @dataclass(frozen=True)
@@ -35,8 +35,6 @@ class Level:
     def of(keys: np.ndarray, rate: float, salt: int = 0) -> Level:
         n = max(1, len(keys))
         bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-        if bits > MOST_BITS:
-            raise ValueError("the list is too long for one filter: split it by a hash of the host")
         level = Level(bits, max(1, round(bits / n * math.log(2))), np.zeros(-(-bits // 64), np.uint64), salt)
         for at in level._at(keys):
             np.bitwise_or.at(level.words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
@@ -77,6 +75,30 @@ def contains(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     return depth % 2 == 1
 
 
+@dataclass(frozen=True)
+class Cascades:
+    """A cascade for each class of hashes, so that no level grows with the whole list."""
+
+    classes: list[list[Level]]
+
+    @staticmethod
+    def classed(keys: np.ndarray, count: int) -> list[np.ndarray]:
+        of = (mixed(keys ^ M2) % np.uint64(count)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        return np.split(keys[order], np.searchsorted(of[order], np.arange(1, count)))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.classes) == 1:
+            return contains(self.classes[0], keys)
+        of = (mixed(keys ^ M2) % np.uint64(len(self.classes))).astype(np.int64)
+        out = np.zeros(len(keys), bool)
+        for k, levels in enumerate(self.classes):
+            own = np.flatnonzero(of == k)
+            if len(own):
+                out[own] = contains(levels, keys[own])
+        return out
+
+
 def host_of(url: Column) -> Column:
     found = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     return F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,8 +125,9 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
     null rule. A null url, or one without "://", has an empty host and path. Every row is kept.
 
     The universe is every key that some url of `pages` could be listed by. Rules are a list on the
-    driver; what is gathered there besides are the keys that the first level holds, which its rate keeps
-    to about the number of rules."""
+    driver; what is gathered there besides are 8 bytes for each unlisted key that the first level holds,
+    which its rate keeps to fewer than there are rules. What is broadcast grows with the list alone, by
+    some 40 bits a rule. An empty table gives no rows."""
     spark = pages.sparkSession
     if not rules:
         rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
@@ -112,49 +135,50 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
     kinds = {h + p: v for h, p, v in rules}
     if not {*kinds.values()} <= {"allow", "block"} or len(kinds) < len(rules):
         raise ValueError("each host and path has one rule, to allow or to block")
-    order = sorted(kinds, key=lambda k: (-len(k), -len(k.split("/")[0]), k))
-    hashed = spark.createDataFrame([(k,) for k in order], "key string").select("key", F.xxhash64("key").alias("h")).collect()
-    hash_of = {r["key"]: np.uint64(r["h"] % (1 << 64)) for r in hashed}
-    listed = np.array([hash_of[k] for k in order], np.uint64)
+    list_rows = spark.createDataFrame(pa.table({"key": [*kinds], "block": [v == "block" for v in kinds.values()]}))
+    hashed = list_rows.select(F.xxhash64("key").alias("h"), "block").toArrow()
+    listed, blocks = hashed["h"].to_numpy().view(np.uint64), hashed["block"].to_numpy(zero_copy_only=False)
 
     keys = pages.select(F.explode(probes(host_of(F.col(url)), path_of(F.col(url)), rules)).alias("key"))
     universe = keys.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
-    first = Level.of(listed, min(0.5, len(listed) / (math.sqrt(2) * max(universe, len(listed)))))
-    shared = spark.sparkContext.broadcast(first)
+    count = -(-len(listed) // CLASS)
+    rate = min(0.5, len(listed) / (math.sqrt(2) * max(universe, len(listed))))
+    firsts = [Level.of(own, rate) for own in Cascades.classed(listed, count)]
+    shared = spark.sparkContext.broadcast(Cascades([[level] for level in firsts]))
 
     @F.arrow_udf("boolean")
     def held(h: pa.Array) -> pa.Array:
         return pa.array(shared.value.has(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     taken = keys.where(held(F.xxhash64("key"))).distinct()
-    bound = 1_000_000 + 64 * len(listed)
-    mistaken = [r["key"] for r in taken.limit(bound).collect() if r["key"] not in kinds]
-    if len(mistaken) + len(listed) >= bound:
-        raise ValueError("the first level holds too many keys")
-    wrong = np.array([r["h"] % (1 << 64) for r in spark.createDataFrame([(k,) for k in mistaken], "key string").select(F.xxhash64("key").alias("h")).collect()], np.uint64) if mistaken else np.zeros(0, np.uint64)
-    levels = spark.sparkContext.broadcast(cascade(listed, wrong, first))
+    mistaken = taken.join(list_rows, "key", "left_anti").select(F.xxhash64("key").alias("h")).toArrow()["h"].to_numpy().view(np.uint64)
+    parts = zip(Cascades.classed(listed, count), Cascades.classed(mistaken, count), firsts, strict=True)
+    levels = spark.sparkContext.broadcast(Cascades([cascade(inside, outside, first) for inside, outside, first in parts]))
 
     @F.arrow_udf("array<boolean>")
     def known(h: pa.Array) -> pa.Array:
-        flat = contains(levels.value, h.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        flat = levels.value.has(h.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
         return pa.ListArray.from_arrays(pa.array(h.offsets.to_numpy() - h.offsets[0].as_py(), pa.int32()), pa.array(flat))
 
-    def of(v: str) -> np.ndarray:
-        return np.array([hash_of[k] for k in order if kinds[k] == v], np.uint64)
-
     # among the listed keys, those that block: the universe is the list itself
-    start = Level.of(of("block"), 0.5)
-    verdicts = spark.sparkContext.broadcast(cascade(of("block"), of("allow")[start.has(of("allow"))], start))
+    of_class = []
+    for block, allow in zip(Cascades.classed(listed[blocks], count), Cascades.classed(listed[~blocks], count), strict=True):
+        start = Level.of(block, 0.5)
+        of_class.append(cascade(block, allow[start.has(allow)], start))
+    verdicts = spark.sparkContext.broadcast(Cascades(of_class))
 
     @F.arrow_udf("boolean")
     def blocked(h: pa.Array) -> pa.Array:
-        return pa.array(contains(verdicts.value, h.to_numpy(zero_copy_only=False).view(np.uint64)))
+        return pa.array(verdicts.value.has(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    rows = rows.withColumn("_keys", probes(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("_known", known(F.transform("_keys", lambda k: F.xxhash64(k))))
-    hit = F.filter(F.zip_with("_keys", "_known", lambda k, x: F.when(x, k)), lambda k: k.isNotNull())
+    asked, listed_too = free("_keys", rows), free("_known", rows)
+    rows = rows.withColumn(asked, probes(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn(listed_too, known(F.transform(asked, lambda k: F.xxhash64(k))))
+    hit = F.filter(F.zip_with(asked, listed_too, lambda k, x: F.when(x, k)), lambda k: k.isNotNull())
     # of the keys found the longest, and of equal ones that with the longer host
     best = F.array_max(F.transform(hit, lambda k: F.struct(F.length(k).alias("n"), F.length(F.substring_index(k, "/", 1)).alias("host"), k.alias("key"))))
     rows = rows.withColumn("rule", best["key"])
-    return rows.withColumn("verdict", F.when(F.coalesce(blocked(F.xxhash64("rule")), F.lit(False)) & F.col("rule").isNotNull(), "block").when(F.col("rule").isNotNull(), "allow").otherwise(default)).drop("_keys", "_known")
+    rule = F.col("rule")
+    verdict = F.when(rule.isNotNull() & F.coalesce(blocked(F.xxhash64(rule)), F.lit(False)), "block").when(rule.isNotNull(), "allow").otherwise(default)
+    return rows.withColumn("verdict", verdict).drop(asked, listed_too)
