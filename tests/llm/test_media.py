@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import webp
@@ -10,6 +11,25 @@ from tidewater.llm.media import media_round_trip, padded, payloads
 from tidewater.llm.webp import Writer, decode, decode_many, encode_texts, near_pixels, write_lengths
 
 
+# Fixed values of the format: the pixels (to the left, up) that the distance codes 1 to 120 stand for.
+DISTANCE_MAP = [
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2),
+    (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0),
+    (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4),
+    (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2),
+    (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
+    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3),
+    (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4),
+    (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5),
+    (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
+    (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
+]
+
+
+def test_near_pixels_are_those_of_the_format():
+    assert list(near_pixels()) == DISTANCE_MAP
+
+
 def body(out: Writer) -> bytes:
     data = b"\x2f" + out.value.to_bytes(-(-out.n // 8), "little")
     data += b"\0" * (len(data) & 1)
@@ -254,6 +274,47 @@ def test_texts_come_back_by_both_decoders(monkeypatch):
     assert files[0] == files[0] and decode_many([]) == []
 
 
+def forms(files):
+    """How many files have a palette, literals alone, a cache; and the back-references and cache entries read."""
+    found = {"palette": 0, "literals": 0, "cache": 0}
+    for f in files:
+        plan = webp.plan_of(0, f)
+        found["palette" if plan is None else "cache" if plan.cache else "literals"] += 1
+    return found
+
+
+def test_every_form_is_used_over_the_documents(monkeypatch):
+    """Over a whole table each form is the shortest for some texts, files are smaller than literals alone, and
+    both decoders read them, with back-references and the cache."""
+    import pyarrow.parquet as pq
+
+    from tidewater.llm.common import utf8
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() + ["", "x" * 5000, "ab" * 700]
+    raw, offsets = utf8(pa.array(texts))
+    samples, at, sizes = payloads(raw, offsets)
+    files = encode_texts(samples, at)
+    found = forms(files)
+    assert found["palette"] >= 1 and found["literals"] > 50 and found["cache"] > 500, found
+    read = {"copies": 0, "cached": 0}
+    numbers, symbols = webp._Lanes.numbers, webp._Lanes.symbols
+    monkeypatch.setattr(webp._Lanes, "numbers", lambda self, lanes, s: (read.__setitem__("copies", read["copies"] + len(s)), numbers(self, lanes, s))[1])
+
+    def counted(self, lanes, code):
+        out = symbols(self, lanes, code)
+        read["cached"] += int((out >= 280).sum())
+        return out
+
+    monkeypatch.setattr(webp._Lanes, "symbols", counted)
+    for image, n, a in zip(decode_many(files), sizes, at, strict=False):
+        assert image[..., :3].tobytes()[:n] == samples[a : a + n].tobytes()
+    assert read["copies"] > 1000 and read["cached"] > 1000, read
+    for i in range(0, len(files), 50):
+        assert np.array_equal(decode(files[i]), decode_many([files[i]])[0])
+    monkeypatch.setattr(webp, "text_head", lambda rich, f=webp.text_head: f(False) if not rich else (f(True)[0], 1 << 40))
+    assert sum(map(len, files)) < 0.92 * sum(map(len, encode_texts(samples, at)))
+
+
 def test_damaged_files_are_refused():
     with pytest.raises(ValueError):
         decode(b"RIFF0000WEBPVP8 0000/")

@@ -16,7 +16,7 @@ from tidewater.llm.webp import decode_many, encode_texts, shape_of
 
 ROW = 192  #: samples of a row of pixels; payloads are padded to it
 FILL = 32
-ENCODE, DECODE = 1_000_000, 6_000_000  #: bytes worked on at once: some 100 MB of arrays
+ENCODE, DECODE = 1_000_000, 12_000_000  #: bytes worked on at once: some 150 MB of arrays
 
 
 def padded(n: int) -> int:
@@ -37,7 +37,9 @@ def payloads(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def to_media(docs: DataFrame, text: str, media: str = "media") -> DataFrame:
     """docs with the text's UTF-8 bytes as a lossless WebP in `media`, and its sizes in `media_n_bytes`
-    and `media_payload`, in place of the text. Null text counts as empty. Equal texts have equal files."""
+    and `media_payload`, in place of the text. Null text counts as empty. Equal texts have equal files. A
+    text of more than 805 million bytes is an error: the format has no larger images. An empty table gives
+    no rows; other columns are kept, but for those of the three names."""
     rest = [c for c in docs.columns if c not in (text, media, "media_n_bytes", "media_payload")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +95,7 @@ def from_media(rows: DataFrame, id: str, media: str = "media") -> DataFrame:
 
 def media_round_trip(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """What from_media() tells of each row's text after it was written as WebP to the shared folder and
-    read again. Null text counts as empty; null and repeated ids give a row each; other columns are not
-    read."""
+    read again. Null text counts as empty; null and repeated ids give a row each, an empty table none; a
+    text of any length up to to_media()'s most is one image. Other columns are not read."""
     stored = written(to_media(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text"), "media", compression="zstd")
     return from_media(stored, "id").withColumnRenamed("id", id)

@@ -2,7 +2,8 @@
 
 The decoder reads prefix codes, back-references and the colour cache, and undoes the predictor,
 cross-colour, subtract-green and palette transforms. Images of one batch whose prefix codes are the same
-and that hold literals only are decoded side by side, one array lane each.
+are decoded side by side, one array lane each. The encoder writes each image as literals, with colour cache
+and back-references, or as a palette, whichever is shortest.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 NEAR = 120  #: distance codes that stand for a near pixel
-FEW = 6  #: files from which decoding them at once is faster than one by one
+FEW = 80  #: files from which decoding them at once is faster than one by one
 SIDE = 16383  #: most columns that the encoder uses; the format's most is 16384
 
 
@@ -85,6 +86,7 @@ class PrefixCode:
         self.codes = {}
         if self.single is not None:
             self.codes[self.single] = (0, 0)
+            self.table = [(self.single, 0)]
             return
         if sum(1 << (self.most - n) for n, _ in used) != 1 << self.most:
             raise ValueError("a prefix code that is not complete")
@@ -100,8 +102,6 @@ class PrefixCode:
         self.table = list(zip(self.symbols.tolist(), self.sizes.tolist(), strict=True))
 
     def read(self, bits: Bits) -> int:
-        if self.single is not None:
-            return self.single
         s, n = self.table[bits.peek(self.most)]
         bits.skip(n)
         return s
@@ -153,14 +153,6 @@ class Image:
     coded_width: int = 0  #: of the pixels as they are stored
 
 
-def _prefixed(bits: Bits, symbol: int) -> int:
-    """A length or distance of back-references from its prefix symbol."""
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
-
-
 def _groups(bits: Bits, count: int, cache: int) -> list[Group]:
     return [Group([PrefixCode(read_lengths(bits, n)) for n in (256 + 24 + (1 << cache if cache else 0), 256, 256, 256, 40)]) for _ in range(count)]
 
@@ -176,47 +168,76 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         across = (width + (1 << block) - 1) >> block
         which = (read_pixels(bits, across, (height + (1 << block) - 1) >> block, False) >> 8 & 0xFFFF).tolist()
     groups = _groups(bits, max(which) + 1 if which else 1, cache_bits)
-    total, at = width * height, 0
-    out, cache, shift = [0] * total, [0] * (1 << cache_bits), 32 - cache_bits
-    cached = 0  # pixels that the cache has seen
-
-    def catch_up(to: int) -> None:
-        nonlocal cached
-        for p in out[cached:to]:
-            cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> shift] = p
-        cached = to
-
-    g = groups[0]
-    while at < total:
-        if which:
-            y, x = divmod(at, width)
-            g = groups[which[(y >> block) * across + (x >> block)]]
-        s = g.codes[0].read(bits)
+    total = width * height
+    if not which:
+        return np.array(_rest(bits, groups[0].codes, [], total, cache_bits, width), np.uint32)
+    out: list[int] = []
+    while len(out) < total:  # up to where the block changes
+        y, x = divmod(len(out), width)
+        end = min(total, y * width + min(width, ((x >> block) + 1) << block))
+        _rest(bits, groups[which[(y >> block) * across + (x >> block)]].codes, out, end, cache_bits, width, total)
+    return np.array(out, np.uint32)
+
+
+def _rest(bits: Bits, codes: list[PrefixCode], out: list[int], end: int, cache_bits: int, width: int, total: int | None = None) -> list[int]:
+    """out, the pixels so far, and those that follow up to `end`; a back-reference may go beyond it, but
+    not beyond `total`."""
+    total = end if total is None else total
+    shift, cached = 32 - cache_bits, 0  # pixels that the cache has seen
+    cache = [0] * (1 << cache_bits) if cache_bits else []
+    (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (far, far_mask) = ((c.table, (1 << c.most) - 1) for c in codes)
+    data, value, held, at = bits.data, bits.value, bits.held, bits.next
+    near = near_pixels()
+    while len(out) < end:
+        if held < 64:  # no pixel or back-reference takes more
+            value |= int.from_bytes(data[at : at + 8], "little") << held
+            held += 64
+            at += 8
+        s, n = green[value & green_mask]
+        value >>= n
+        held -= n
         if s < 256:
-            r, b, a = (c.read(bits) for c in g.codes[1:4])
-            out[at] = a << 24 | r << 16 | s << 8 | b
-            at += 1
+            r, n = red[value & red_mask]
+            value >>= n
+            held -= n
+            b, n = blue[value & blue_mask]
+            value >>= n
+            held -= n
+            a, n = alpha[value & alpha_mask]
+            value >>= n
+            held -= n
+            out.append(a << 24 | r << 16 | s << 8 | b)
         elif s < 280:
-            n = _prefixed(bits, s - 256)
-            d = _prefixed(bits, g.codes[4].read(bits))
+            found = []
+            for symbol in (s - 256, None):
+                if symbol is None:
+                    symbol, n = far[value & far_mask]
+                    value >>= n
+                    held -= n
+                extra = max(0, symbol - 2 >> 1)
+                found.append(symbol + 1 if symbol < 4 else ((2 + (symbol & 1)) << extra) + (value & ((1 << extra) - 1)) + 1)
+                value >>= extra
+                held -= extra
+            n, d = found
             if d > NEAR:
                 d -= NEAR
             else:
-                dx, dy = near_pixels()[d - 1]
+                dx, dy = near[d - 1]
                 d = max(1, dx + dy * width)
-            if d > at or at + n > total:
+            if d > len(out) or len(out) + n > total:
                 raise ValueError("a back-reference outside the image")
             if d >= n:
-                out[at : at + n] = out[at - d : at - d + n]
+                out += out[-d : len(out) - d + n]
             else:
-                for i in range(at, at + n):
-                    out[i] = out[i - d]
-            at += n
+                for _ in range(n):
+                    out.append(out[-d])
         else:
-            catch_up(at)
-            out[at] = cache[s - 280]
-            at += 1
-    return np.array(out, np.uint32)
+            for p in out[cached:]:
+                cache[(HASH * p & 0xFFFFFFFF) >> shift] = p
+            cached = len(out)
+            out.append(cache[s - 280])
+    bits.value, bits.held, bits.next = value, held, at
+    return out
 
 
 def undo_predictor(pixels: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
@@ -365,16 +386,37 @@ def rgba(pixels: np.ndarray) -> np.ndarray:
     return out[..., [2, 1, 0, 3]]
 
 
-# ---- encoding of sample columns: literals under fixed prefix codes
+# ---- encoding of sample columns
+
+CACHE = 8  #: bits of the colour cache's index
+LEAST_COPY, MOST_COPY = 3, 4096  #: pixels of a back-reference
+REACH = 1 << 20  #: pixels that a back-reference goes back at most
+HASH = 0x1E35A7BD  # Fixed value of the format: the factor of the colour cache's index.
+
+
+def _completed(lengths: list[int], most: int = 15) -> tuple[int, ...]:
+    """The same lengths made shorter, commonest first, until the code is complete."""
+    lengths = list(lengths)
+    room = (1 << most) - sum(1 << (most - n) for n in lengths)
+    if room < 0:
+        raise ValueError("lengths that no prefix code has")
+    while room:
+        for b in sorted(range(len(lengths)), key=lambda b: (lengths[b], b)):
+            gain = 1 << (most - lengths[b])  # one bit less doubles what the value takes
+            if lengths[b] > 1 and gain <= room:
+                lengths[b] -= 1
+                room -= gain
+                break
+        else:
+            raise ValueError("a code that can't be completed")
+    return tuple(lengths)
 
 
 @functools.cache
 def text_lengths() -> tuple[int, ...]:
     """Code lengths of the 256 sample values for texts, by rule: 3 bits for a blank, 5 for the commonest
     half of the lower-case letters, then letters, the rest of ASCII and other bytes in growing lengths."""
-    out = [0] * 256
-    for b in range(256):
-        out[b] = 13
+    out = [13] * 256
     for b in range(32, 127):
         out[b] = 11
     for b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,.\n":
@@ -387,26 +429,21 @@ def text_lengths() -> tuple[int, ...]:
     for b in b"etaoinshrdlcu":
         out[b] = 5
     out[32] = 3
-    return _completed(out)
+    return _completed(out, 14)
 
 
-def _completed(lengths: list[int]) -> tuple[int, ...]:
-    """The same lengths made shorter, commonest first, until the code is complete."""
-    most = 15
-    lengths = list(lengths)
-    room = (1 << most) - sum(1 << (most - n) for n in lengths)
-    if room < 0:
-        raise ValueError("lengths that no prefix code has")
-    while room:
-        for b in sorted(range(256), key=lambda b: (lengths[b], b)):
-            gain = 1 << (most - lengths[b])  # one bit less doubles what the value takes
-            if lengths[b] > 1 and gain <= room:
-                lengths[b] -= 1
-                room -= gain
-                break
-        else:
-            raise ValueError("a code that can't be completed")
-    return tuple(lengths)
+@functools.cache
+def green_lengths() -> tuple[int, ...]:
+    """Code lengths of the green alphabet: half of it are the sample values as text_lengths() has them, the
+    other half the entries of the colour cache and, by rule, the lengths of back-references."""
+    copies = [6] * 8 + [7] * 16  # a quarter of the code
+    return (*[n + 1 for n in text_lengths()], *copies, *[2 + CACHE] * (1 << CACHE))
+
+
+@functools.cache
+def distance_lengths() -> tuple[int, ...]:
+    """Code lengths of the 40 distance symbols: each takes the same part of the code, or half of it."""
+    return (5,) * 24 + (6,) * 16
 
 
 class Writer:
@@ -418,48 +455,156 @@ class Writer:
         self.n += bits
 
 
+def _turned(code: int, n: int) -> int:
+    return int(format(code, f"0{n}b")[::-1], 2) if n else 0
+
+
 def write_lengths(out: Writer, lengths: tuple[int, ...]) -> None:
-    """One prefix code with its lengths coded one by one in 4 bits each."""
-    if sum(map(bool, lengths)) == 1:
+    """One prefix code. One or two symbols below 256 are told by themselves; other lengths one by one, runs
+    of zeros and of the same length at once, under a code of 3 to 5 bits for the lengths."""
+    used = [i for i, n in enumerate(lengths) if n]
+    if len(used) <= 2 and used[-1] < 256 and all(lengths[i] == 1 for i in used):
         out.put(1, 1)
-        out.put(0, 1)
+        out.put(len(used) - 1, 1)
         out.put(1, 1)
-        out.put([i for i, n in enumerate(lengths) if n][0], 8)
+        for i in used:
+            out.put(i, 8)
         return
+    steps: list[tuple[int, int, int]] = []  # symbol, extra value, its bits
+    at, last = 0, 8
+    while at < len(lengths):
+        n, run = lengths[at], 1
+        while at + run < len(lengths) and lengths[at + run] == n:
+            run += 1
+        if not n and run >= 3:
+            run = min(run, 138)
+            steps.append((17, run - 3, 3) if run < 11 else (18, run - 11, 7))
+        elif n and n == last and run >= 3:
+            run = min(run, 6)
+            steps.append((16, run - 3, 2))
+        else:
+            run = 1
+            steps.append((n, 0, 0))
+            last = n or last
+        at += run
+    kinds = sorted({s for s, _, _ in steps}, key=lambda s: (-sum(x == s for x, _, _ in steps), s))
+    if len(kinds) == 1:
+        kinds.append(next(k for k in range(19) if k != kinds[0]))
+    width = (len(kinds) - 1).bit_length()
+    short = (1 << width) - len(kinds)  # the commonest ones have a bit less
+    sizes = [0] * 19
+    for k, s in enumerate(kinds):
+        sizes[s] = width - (k < short)
+    codes = PrefixCode(sizes).codes
     out.put(0, 1)
-    order = CODE_LENGTH_ORDER
-    out.put(len(order) - 4, 4)
-    for s in order:
-        out.put(4 if s < 16 else 0, 3)
-    out.put(0, 1)
-    turned = [int(format(n, "04b")[::-1], 2) for n in range(16)]
-    for n in lengths:
-        out.put(turned[n], 4)
+    count = max(4, 1 + max(i for i, s in enumerate(CODE_LENGTH_ORDER) if sizes[s]))
+    out.put(count - 4, 4)
+    for s in CODE_LENGTH_ORDER[:count]:
+        out.put(sizes[s], 3)
+    out.put(0, 1)  # as many lengths as there are symbols
+    for s, extra, bits in steps:
+        out.put(*codes[s])
+        out.put(extra, bits)
 
 
 @functools.cache
-def text_head() -> tuple[int, int]:
-    """The stream between the image's size and its pixels, and its bits: no transform, no cache, one
-    group of codes, opaque."""
+def text_head(rich: bool) -> tuple[int, int]:
+    """The stream between the image's size and its pixels, and its bits: opaque, no transform, one group of
+    codes; if rich a colour cache and back-references."""
     out = Writer()
     out.put(0, 1)  # alpha is not used
     out.put(0, 3)
     out.put(0, 1)  # no transform
-    out.put(0, 1)  # no colour cache
+    out.put(rich, 1)
+    if rich:
+        out.put(CACHE, 4)
     out.put(0, 1)  # one group
     lengths = text_lengths()
-    write_lengths(out, (*lengths, *[0] * 24))
+    write_lengths(out, green_lengths() if rich else (*lengths, *[0] * 24))
     write_lengths(out, lengths)
     write_lengths(out, lengths)
     write_lengths(out, (*[0] * 255, 1))
-    write_lengths(out, (1, *[0] * 39))
+    write_lengths(out, distance_lengths() if rich else (1, *[0] * 39))
     return out.value, out.n
 
 
 @functools.cache
-def text_codes() -> tuple[np.ndarray, np.ndarray]:
-    code = PrefixCode(list(text_lengths()))
-    return np.array([code.codes[b][0] for b in range(256)], np.uint64), np.array([code.codes[b][1] for b in range(256)], np.int64)
+def _codes(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    codes = PrefixCode(list(lengths)).codes
+    return np.array([codes.get(s, (0, 0))[0] for s in range(len(lengths))], np.uint64), np.array(lengths, np.int64)
+
+
+def _number(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra value and extra bits of lengths or distances from 1 on."""
+    v = v - 1
+    top = np.maximum(np.frexp(v.astype(np.float64))[1] - 1, 0)  # place of the highest bit
+    extra = np.where(v < 4, 0, top - 1)
+    symbol = np.where(v < 4, v, 2 * top + (v >> np.maximum(extra, 0) & 1))
+    return symbol, v & ((1 << extra) - 1), extra
+
+
+@functools.cache
+def near_codes(width: int) -> dict[int, int]:
+    """The short code of each distance that has one in rows of `width` pixels."""
+    out: dict[int, int] = {}
+    for k, (dx, dy) in enumerate(near_pixels(), 1):
+        out.setdefault(max(1, dx + dy * width), k)
+    return out
+
+
+def cache_index(pixels: np.ndarray) -> np.ndarray:
+    return (pixels * np.uint32(HASH)) >> np.uint32(32 - CACHE)
+
+
+def _previous(keys: np.ndarray) -> np.ndarray:
+    """The place of the last equal key before each one, or -1."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1, np.int64)
+    same = keys[order][1:] == keys[order][:-1]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def copies(pixels: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, length and distance of the back-references of images end to end: from left to right, wherever
+    LEAST_COPY pixels stood before in the image, all that follows alike."""
+    n = len(pixels)
+    if n < LEAST_COPY:
+        return (np.zeros(0, np.int64),) * 3
+    file = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    keys = pixels.astype(np.uint64)
+    mixed = file.astype(np.uint64)
+    for k in range(LEAST_COPY):
+        mixed = (mixed[: n - k] ^ keys[k:]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    before = _previous(mixed)
+    end = offsets[1:][file[: len(before)]]
+    at = np.arange(len(before))
+    first = np.maximum(before, 0)
+    ok = (before >= 0) & (at + LEAST_COPY <= end) & (at - before <= REACH)
+    for k in range(LEAST_COPY):
+        ok &= pixels[first + k] == pixels[at + k]
+    found = np.flatnonzero(ok)
+    places, lengths, distances = [], [], []
+    done = 0
+    for i, b, e in zip(found.tolist(), before[found].tolist(), end[found].tolist(), strict=True):
+        if i < done:
+            continue
+        size, most, step = LEAST_COPY, min(MOST_COPY, e - i), 16
+        while size < most:
+            step = min(step, most - size)
+            differ = pixels[i + size : i + size + step] != pixels[b + size : b + size + step]
+            k = int(differ.argmax())
+            if differ[k]:
+                size += k
+                break
+            size += step
+            step *= 4
+        places.append(i)
+        lengths.append(size)
+        distances.append(i - b)
+        done = i + size
+    return np.array(places, np.int64), np.array(lengths, np.int64), np.array(distances, np.int64)
 
 
 def shape_of(samples: int, row: int = 64) -> tuple[int, int]:
@@ -472,123 +617,274 @@ def shape_of(samples: int, row: int = 64) -> tuple[int, int]:
     return width, -(-pixels // width)
 
 
+def _fields(rgb: np.ndarray, pixels: np.ndarray, offsets: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bits of three fields for each pixel: green, red and blue; an entry of the cache; length and
+    distance of a back-reference; nothing where one has copied the pixel."""
+    lits, bits = _codes(text_lengths())
+    green, green_bits = _codes(green_lengths())
+    far, far_bits = _codes(distance_lengths())
+    order = rgb[:, [1, 0, 2]]
+    values, sizes = lits[order], bits[order]
+    values[:, 0], sizes[:, 0] = green[order[:, 0]], green_bits[order[:, 0]]
+    index = cache_index(pixels)
+    file = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    before = _previous(file << CACHE | index.astype(np.int64))
+    hit = np.flatnonzero((before >= 0) & (pixels[np.maximum(before, 0)] == pixels) & (sizes.sum(1) > 2 + CACHE))
+    values[hit, 0], sizes[hit, 0] = green[280 + index[hit]], 2 + CACHE
+    values[hit, 1:] = sizes[hit, 1:] = 0
+    at, length, distance = copies(pixels, offsets)
+    if len(at):
+        inside = np.zeros(len(pixels) + 1, np.int64)
+        inside[at] += 1
+        np.add.at(inside, at + length, -1)
+        gone = np.cumsum(inside[:-1]) > 0
+        values[gone] = sizes[gone] = 0
+        code = distance + NEAR
+        # a few distances have short codes: within the rows of one image's width
+        for width in set(widths):
+            near = near_codes(width)
+            short = np.flatnonzero((distance <= 7 * width + 8) & (np.array(widths)[file[at]] == width))
+            code[short] = [near.get(d, d + NEAR) for d in distance[short].tolist()]
+        for column, (number, alphabet, alphabet_bits, first) in enumerate(((length, green, green_bits, 256), (code, far, far_bits, 0))):
+            symbol, extra, extra_bits = _number(number)
+            values[at, column] = alphabet[first + symbol] | extra.astype(np.uint64) << alphabet_bits[first + symbol].astype(np.uint64)
+            sizes[at, column] = alphabet_bits[first + symbol] + extra_bits
+    return values.ravel(), sizes.ravel()
+
+
+def _file(body: bytes, width: int, height: int, head: int, start: int, size: int) -> bytes:
+    """The file whose stream is `body` from the bit `start` on: what stands before it is put in."""
+    out = bytearray(body[: size + (size & 1)])
+    if size & 1:
+        out[size] = 0
+    top = int.from_bytes(b"RIFF" + (len(out) - 8).to_bytes(4, "little") + b"WEBPVP8L" + (size - 20).to_bytes(4, "little") + b"\x2f", "little")
+    top |= (width - 1 | height - 1 << 14 | head << 28) << 168
+    k = -(-start // 8)
+    out[:k] = (int.from_bytes(out[:k], "little") | top).to_bytes(k, "little")
+    return bytes(out)
+
+
+def plain_palette(pixel: int, width: int, height: int) -> bytes:
+    """The file of an image of one colour: a palette of it, and an index that takes no bits."""
+    out = Writer()
+    out.put(0, 4)
+    out.put(1, 1)
+    out.put(PALETTE, 2)
+    out.put(0, 8)  # one entry
+    out.put(0, 1)
+    for codes in ((pixel >> 8 & 255, pixel >> 16 & 255, pixel & 255, pixel >> 24), (0, 0, 0, 0)):
+        if codes == (0, 0, 0, 0):
+            out.put(0, 3)  # no other transform, no cache, one group
+        for symbol in (*codes, 0):
+            write_lengths(out, (*[0] * symbol, 1))
+    start = 21 * 8 + 28 + out.n
+    size = -(-start // 8)
+    return _file(bytes(size + 1), width, height, out.value, start, size)
+
+
 def encode_texts(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A file for each run of samples: red, green, blue of each pixel of an image as shape_of() gives."""
-    codes, sizes = text_codes()
-    head, head_bits = text_head()
-    start = 21 * 8 + 28 + head_bits
-    order = raw.reshape(-1, 3)[:, [1, 0, 2]].ravel()  # green comes first in the stream
-    n = sizes[order]
+    """A file for each run of samples: red, green, blue of each pixel of an image as shape_of() gives. Of its
+    forms (literals; cache and back-references; a palette for one colour) the shortest."""
+    rgb = raw.reshape(-1, 3)
+    wide = rgb.astype(np.uint32)
+    pixels = wide[:, 0] << np.uint32(16) | wide[:, 1] << np.uint32(8) | wide[:, 2] | np.uint32(0xFF000000)
+    shapes = [shape_of(n) for n in np.diff(offsets).tolist()]
+    places = offsets // 3
+    lits, bits = _codes(text_lengths())
+    order = rgb[:, [1, 0, 2]].ravel()
+    forms = [(lits[order], bits[order]), _fields(rgb, pixels, places, [w for w, _ in shapes])]
+    heads = [text_head(False), text_head(True)]
+    totals = []
+    for (_, sizes), (_, head_bits) in zip(forms, heads, strict=True):
+        ends = np.concatenate([[0], np.cumsum(sizes)])[offsets]
+        totals.append(np.diff(ends) + 21 * 8 + 28 + head_bits)
+    rich = totals[1] < totals[0]
+    owner = np.repeat(rich, np.diff(offsets))
+    values, n = np.where(owner, forms[1][0], forms[0][0]), np.where(owner, forms[1][1], forms[0][1])
+    total, start = np.where(rich, totals[1], totals[0]), np.where(rich, heads[1][1], heads[0][1]) + 21 * 8 + 28
     ends = np.cumsum(n)
     before = np.concatenate([[0], ends])[offsets]
-    total = np.diff(before) + start
     words = (total + 63) // 32 + 1
     base = np.concatenate([[0], np.cumsum(words)])
-    # where each code starts, in bits from the first word of all files
+    # where each field starts, in bits from the first word of all files
     at = ends - n + np.repeat(base[:-1] * 32 + start - before[:-1], np.diff(offsets))
+    some = np.flatnonzero(n)
+    at, values = at[some], values[some]
     word = at >> 5
-    value = codes[order] << (at & 31).astype(np.uint64)
+    shift = (at & 31).astype(np.uint64)
+    # a field is below 2 ** 31, so that it ends within the word after its own
+    value = values << shift
     firsts = np.flatnonzero(np.diff(word, prepend=-1))
-    low = np.add.reduceat(value & np.uint64(0xFFFFFFFF), firsts)
-    high = np.add.reduceat(value >> np.uint64(32), firsts)
     out = np.zeros(int(base[-1]) + 1, np.uint64)
-    out[word[firsts]] += low
-    out[word[firsts] + 1] += high
+    if len(firsts):
+        out[word[firsts]] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), firsts)
+        out[word[firsts] + 1] += np.add.reduceat(value >> np.uint64(32), firsts)
     data = out.astype("<u4").tobytes()
+    step = np.append(pixels[1:] != pixels[:-1], True)
+    step[places[1:] - 1] = False
+    plain = np.add.reduceat(step, places[:-1]) == 0 if len(shapes) else np.zeros(0, bool)
     files = []
-    for i, (b, bits) in enumerate(zip(base.tolist(), total.tolist(), strict=False)):
-        width, height = shape_of(int(offsets[i + 1] - offsets[i]))
+    for i, (b, bits, first, own, one) in enumerate(zip(base.tolist(), total.tolist(), start.tolist(), rich.tolist(), plain.tolist(), strict=False)):
+        width, height = shapes[i]
         size = -(-bits // 8)
-        body = bytearray(data[b * 4 : b * 4 + size + (size & 1)])
-        if size & 1:
-            body[size] = 0
-        chunk = size - 20
-        top = int.from_bytes(b"RIFF" + (len(body) - 8).to_bytes(4, "little") + b"WEBPVP8L" + chunk.to_bytes(4, "little") + b"\x2f", "little")
-        top |= (width - 1 | height - 1 << 14 | head << 28) << 168
-        k = -(-start // 8)
-        body[:k] = (int.from_bytes(body[:k], "little") | top).to_bytes(k, "little")
-        files.append(bytes(body))
+        if one:
+            files.append(plain_palette(int(pixels[places[i]]), width, height))
+        else:
+            files.append(_file(data[b * 4 : b * 4 + size + 1], width, height, heads[own][0], first, size))
     return files
 
 
 # ---- decoding of many files side by side
 
 
-_HEADS: dict[bytes, tuple] = {}
+_HEADS: dict[int, tuple] = {}
 
 
-def literal_codes(data: bytes) -> tuple[int, int, int, list[PrefixCode]] | None:
-    """Width, height, first bit of the pixels and the codes of green, red, blue and alpha, where the
-    image has no transform, cache or groups and its green code no back-references; else None. What
+@dataclass
+class Plan:
+    """An image without transforms and groups: its size, the first bit of its pixels, its codes and the
+    bits of its cache's index."""
+
+    file: int
+    width: int
+    height: int
+    at: int
+    codes: list[PrefixCode]
+    cache: int
+
+
+def plan_of(file: int, data: bytes) -> Plan | None:
+    """How to decode a file side by side with others; None for images with transforms or groups. What
     follows the size is parsed once for each distinct run of bits."""
     bits = start_of(data)
     size = bits.read(28)
     at = 21 * 8 + 28
     width, height = (size & 16383) + 1, (size >> 14) + 1
-    for head, (n, codes) in _HEADS.items():
+    for head, (n, codes, cache) in _HEADS.items():
         own = int.from_bytes(data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
         if own == head:
-            return width, height, at + n, codes
-    if bits.read(4) or bits.read(1) or bits.read(1) or bits.read(1):
+            return Plan(file, width, height, at + n, codes, cache)
+    if bits.read(4) or bits.read(1):
         return None
-    codes = _groups(bits, 1, 0)[0].codes
-    if any(codes[0].lengths[256:]):
+    cache = bits.read(4) if bits.read(1) else 0
+    if bits.read(1) or cache > 11:
         return None
+    codes = _groups(bits, 1, cache)[0].codes
     n = bits.position() - at
     head = int.from_bytes(data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
     if len(_HEADS) < 16:
-        _HEADS[head] = (n, codes[:4])
-    return width, height, at + n, codes[:4]
+        _HEADS[head] = (n, codes, cache)
+    return Plan(file, width, height, at + n, codes, cache)
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """The pixels of each file (height, width, RGBA)."""
     out: list[np.ndarray | None] = [None] * len(files)
-    alike: dict[int, list] = {}
+    alike: dict[int, list[Plan]] = {}
     for i, data in enumerate(files):
-        plan = literal_codes(data)
+        plan = plan_of(i, data)
         if plan is None:
             out[i] = decode(data)
         else:
-            alike.setdefault(id(plan[3]), []).append((i, *plan))
+            alike.setdefault(id(plan.codes), []).append(plan)
     for plans in alike.values():
         for i, pixels in _side_by_side(files, plans):
-            out[i] = pixels
+            out[i] = rgba(pixels)
     return out
 
 
-def _side_by_side(files: list[bytes], plans: list[tuple]) -> list[tuple[int, np.ndarray]]:
-    plans = sorted(plans, key=lambda p: (-p[1] * p[2], p[0]))
-    codes = plans[0][4]
-    sizes = np.array([p[1] * p[2] for p in plans])
-    starts = np.concatenate([[0], np.cumsum([len(files[p[0]]) + 8 for p in plans])])
-    raw = np.frombuffer(b"".join(files[p[0]] + bytes(8) for p in plans), np.uint8)
-    # 32 bits from every byte on
-    padded = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
-    words = padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24)
-    at = starts[:-1] * 8 + np.array([p[3] for p in plans])
+class _Lanes:
+    """The streams of many files, of which some are read at once."""
+
+    def __init__(self, files: list[bytes], plans: list[Plan]):
+        self.starts = np.concatenate([[0], np.cumsum([len(files[p.file]) + 8 for p in plans])])
+        raw = np.frombuffer(b"".join(files[p.file] + bytes(8) for p in plans), np.uint8)
+        # 32 bits from every byte on
+        padded = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
+        self.words = padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24)
+        self.at = self.starts[:-1] * 8 + np.array([p.at for p in plans])
+
+    def symbols(self, lanes, code: PrefixCode) -> np.ndarray:
+        a = self.at[lanes]
+        key = self.words[a >> 3] >> (a & 7).astype(np.uint32) & np.uint32((1 << code.most) - 1)
+        self.at[lanes] = a + code.sizes[key]
+        return code.symbols[key]
+
+    def numbers(self, lanes, symbol: np.ndarray) -> np.ndarray:
+        """Lengths or distances from their prefix symbols."""
+        extra = np.maximum(symbol - 2, 0) >> 1
+        a = self.at[lanes]
+        value = self.words[a >> 3] >> (a & 7).astype(np.uint32)
+        value = value.astype(np.int64) & ((1 << extra.astype(np.int64)) - 1)
+        self.at[lanes] = a + extra
+        return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)).astype(np.int64) << extra) + value + 1)
+
+
+def _side_by_side(files: list[bytes], plans: list[Plan]) -> list[tuple[int, np.ndarray]]:
+    """All files take a step at once, a pixel each: a lane reads a literal or an entry of its cache, or goes
+    on with the back-reference that it is in. Where few lanes are left, these are read one by one."""
+    plans = sorted(plans, key=lambda p: (-p.width * p.height, p.width))
+    codes, cache_bits = plans[0].codes, plans[0].cache
+    sizes = np.array([p.width * p.height for p in plans])
+    widths = np.array([p.width for p in plans])
+    lanes = _Lanes(files, plans)
     alive = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), "right")  # files that have a pixel of that number
     places = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.empty((int(sizes.sum()), 4), np.uint8)
-    tables = []
-    for code, channel in zip(codes, (1, 0, 2, 3), strict=True):
-        if code.single is not None:
-            out[:, channel] = code.single
+    out = np.empty(int(sizes.sum()), np.uint32)
+    rich = any(codes[0].lengths[256:])
+    green, channels, fixed = codes[0], [], np.uint32(0)
+    for code, shift in zip(codes[1:4], (16, 0, 24), strict=True):
+        if code.single is None:
+            channels.append((code, np.uint32(shift)))
         else:
-            tables.append((code.symbols.astype(np.uint8), code.sizes.astype(np.int64), np.uint32((1 << code.most) - 1), channel, code))
+            fixed |= np.uint32(code.single << shift)
+    cache = np.zeros(len(plans) << cache_bits, np.uint32)
+    rows = np.arange(len(plans)) << cache_bits
+    shift = np.uint32(32 - cache_bits)
+    left, back = np.zeros(len(plans), np.int64), np.zeros(len(plans), np.int64)  # of the lanes' back-references
+    near = np.array(near_pixels())
     wide = int(np.searchsorted(-alive, -FEW, "right"))  # pixels up to which many files are decoded at once
+
     for pixel, n in enumerate(alive[:wide].tolist()):
-        a = at[:n]
         to = places[:n] + pixel
-        for symbols, lengths, mask, channel, _ in tables:
-            key = words[a >> 3] >> (a & 7).astype(np.uint32) & mask
-            out[to, channel] = symbols[key]
-            a += lengths[key]
+        own = np.flatnonzero(left[:n] == 0) if rich else slice(0, n)
+        first = lanes.symbols(own, green) if green.single is None else np.full(n, green.single, np.int32)[own]
+        if rich:
+            copy = first >= 256
+            k = np.flatnonzero(copy)
+            if len(k):
+                cached, refs = own[k[first[k] >= 280]], own[k[first[k] < 280]]
+                if len(cached):
+                    out[to[cached]] = cache[rows[cached] + first[k[first[k] >= 280]] - 280]
+                if len(refs):
+                    left[refs] = lanes.numbers(refs, first[k[first[k] < 280]] - 256)
+                    d = lanes.numbers(refs, lanes.symbols(refs, codes[4]) if codes[4].single is None else np.full(len(refs), codes[4].single))
+                    short = d <= NEAR
+                    pairs = near[np.minimum(d, NEAR) - 1]
+                    back[refs] = np.where(short, np.maximum(1, pairs[:, 0] + pairs[:, 1] * widths[refs]), d - NEAR)
+                    if (back[refs] > pixel).any() or (pixel + left[refs] > sizes[refs]).any():
+                        raise ValueError("a back-reference outside the image")
+                literal = np.flatnonzero(~copy)
+                own, first = own[literal], first[literal]
+        value = first.astype(np.uint32) << np.uint32(8) | fixed
+        for code, by in channels:
+            value |= lanes.symbols(own, code).astype(np.uint32) << by
+        if not rich:
+            out[to] = value
+            continue
+        out[to[own]] = value
+        going = np.flatnonzero(left[:n])
+        if len(going):
+            out[to[going]] = out[to[going] - back[going]]
+            left[going] -= 1
+        if cache_bits:
+            now = out[to]
+            cache[rows[:n] + ((now * np.uint32(HASH)) >> shift)] = now
     for k in range(int(alive[wide]) if wide < len(alive) else 0):
-        bits = Bits(files[plans[k][0]], int(at[k] - starts[k] * 8))
-        n = int(sizes[k]) - wide
-        read = [(channel, code.read) for *_, channel, code in tables]
-        rest = [[r(bits) for _, r in read] for _ in range(n)]
-        if read:
-            out[places[k] + wide : places[k + 1], [c for c, _ in read]] = rest
-    return [(p[0], out[places[k] : places[k + 1]].reshape(p[2], p[1], 4)) for k, p in enumerate(plans)]
+        bits = Bits(files[plans[k].file], int(lanes.at[k] - lanes.starts[k] * 8))
+        a, b = int(places[k]), int(places[k + 1])
+        known, d = out[a : a + wide].tolist(), int(back[k])
+        for _ in range(int(left[k])):
+            known.append(known[-d])
+        out[a:b] = _rest(bits, codes, known, b - a, cache_bits, plans[k].width)
+    return [(p.file, out[places[k] : places[k + 1]].reshape(p.height, p.width)) for k, p in enumerate(plans)]
