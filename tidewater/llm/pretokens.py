@@ -4,6 +4,7 @@ encoded once for each distinct pre-token of a batch."""
 from __future__ import annotations
 
 import functools
+import os
 import re
 import sys
 import unicodedata
@@ -97,6 +98,7 @@ class PieceVocabulary:
         self.keep_space, self.pattern, self.keep = keep_space, regex.compile(pattern), keep
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.hint = os.path.commonprefix([*self.special])  # what a text with a special string has in any case
         self.plain = self.tokenizer.normalizer is None
         self.known: dict[int, object] = {}
 
@@ -116,7 +118,7 @@ class PieceVocabulary:
         which it stands, id) of each special string."""
         out, owner, specials = [], [], []
         for i, text in enumerate(texts):
-            if "<|" not in text:
+            if not self.special or self.hint not in text or not self.split_special.search(text):
                 out.append(self.normal(text))
                 owner.append(i)
                 continue
@@ -158,3 +160,21 @@ class PieceVocabulary:
                 r = known[h] = result(joined[a : a + n])
             out.append(r)
         return codes, out
+
+    def kinds(self, cp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, joined: str) -> tuple[np.ndarray, list[str]]:
+        """The number of each pre-token's distinct kind, and the kinds' texts. Kinds are told apart by 64-bit
+        hashes; that pre-tokens of one hash have the same text is checked."""
+        import pandas as pd
+
+        codes, found = pd.factorize(hashes(cp, starts, lengths))
+        first = np.empty(len(found), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        own, model = lengths, first[codes]
+        same = np.array_equal(own, lengths[model])
+        if same:
+            at = np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            same = np.array_equal(cp[at], cp[at + np.repeat(starts[model] - starts, own)])
+        if not same:
+            codes, texts = pd.factorize(np.array([joined[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], object))
+            return codes, texts.tolist()
+        return codes, [joined[a : a + n] for a, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)]

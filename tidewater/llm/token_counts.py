@@ -1,4 +1,9 @@
-"""Token counts of whole texts without materialised ids."""
+"""Token counts of whole texts without materialised ids.
+
+Texts are kept as frequencies of pre-tokens, block by block: of each text which of the block's distinct
+pre-tokens it has and how often. The distinct pre-tokens of all blocks are one table; each is cut into pieces
+once and their number is joined back to the blocks that have it, where frequencies times numbers are summed.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks, utf8
+from tidewater.llm.common import blocks, utf8, written
 from tidewater.llm.pretokens import PieceVocabulary
 
 # Fixed value: the pre-token pattern of word_bpe_49k.json.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BLOCK = 4_000_000
+BLOCK = 2_000_000  #: bytes of text whose pre-tokens are kept together
 
 _LOADED: dict[str, PieceVocabulary] = {}
 
@@ -26,36 +32,77 @@ def vocabulary(path: str) -> PieceVocabulary:
     return _LOADED[path]
 
 
-def count_texts(texts: list[str], v: PieceVocabulary) -> np.ndarray:
-    """Pieces are counted once for each distinct pre-token, joined to each text's pre-tokens and summed."""
-    segments, owner, specials = v.segments(texts)
-    cp, starts, lengths, joined, offsets = v.pieces(segments)
-    out = np.zeros(len(texts), np.int64)
-    if len(starts):
-        kinds, counts = v.distinct(cp, starts, lengths, joined, lambda piece: len(v.ids(piece)))
-        at = owner[np.searchsorted(offsets, starts, "right") - 1]
-        out += np.bincount(at, np.array(counts, np.int64)[kinds], len(texts)).astype(np.int64)
-    for i, _, _ in specials:
-        out[i] += 1
-    return out
+def frequencies(docs: DataFrame, path: str) -> DataFrame:
+    """A row for each block of texts: block, its number; ids, n_bytes, specials (special strings) and kinds (how
+    many distinct pre-tokens) of its texts; the number of each such pre-token among `pieces` and how often the
+    text has it, as 32-bit numbers end to end."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, block = vocabulary(path), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            column = batch.column(1)
+            _, offsets = utf8(column)
+            for lo, hi in blocks(offsets, BLOCK):
+                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+                segments, owner, specials = v.segments(texts)
+                cp, starts, lengths, joined, ends = v.pieces(segments)
+                codes, pieces = v.kinds(cp, starts, lengths, joined)
+                text = owner[np.searchsorted(ends, starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
+                pair, times = np.unique(text * max(1, len(pieces)) + codes, return_counts=True)
+                own = np.bincount(pair // max(1, len(pieces)), minlength=len(texts))
+                one = [
+                    pa.array([block], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo)),
+                    pa.array([np.diff(offsets[lo : hi + 1])], pa.list_(pa.int64())),
+                    pa.array([np.bincount([i for i, _, _ in specials], minlength=len(texts))], pa.list_(pa.int64())),
+                    pa.array([own], pa.list_(pa.int64())),
+                    pa.array([(pair % max(1, len(pieces))).astype("<i4").tobytes()], pa.binary()),
+                    pa.array([times.astype("<i4").tobytes()], pa.binary()),
+                    pa.array([pieces], pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(one, names=["block", "ids", "n_bytes", "specials", "kinds", "numbers", "times", "pieces"])
+                block += 1
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, n_bytes array<long>, specials array<long>, kinds array<long>, numbers binary, times binary, pieces array<string>")
+
+
+def counted(pieces: DataFrame, path: str) -> DataFrame:
+    """piece, n: of distinct pre-tokens, how many pieces of the vocabulary each is."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v.ids(p)) for p in batch.column(0).to_pylist()], pa.int32())], names=["piece", "n"])
+
+    return pieces.mapInArrow(run, "piece string, n int")
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", limit: int = 2048) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of each row, by the vocabulary at `path`.
 
-    Null text counts as empty: 0 bytes and 0 tokens. Repeated rows and null ids give a row each; other
-    columns are not read. Special strings inside a text are one token each."""
+    Null text counts as empty: 0 bytes and 0 tokens. Repeated rows and null ids give a row each, an empty
+    table gives none; a text of any length is counted whole, in a block of its own if it is longer than one.
+    Other columns are not read, whatever their names. Special strings inside a text are one token each.
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+    A pre-token that all texts have is joined once for each block, not for each text."""
+    kept = written(frequencies(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), path), "token-blocks", compression="zstd")
+    pieces = kept.select("block", F.posexplode("pieces").alias("at", "piece"))
+    numbers = pieces.join(counted(pieces.select("piece").distinct(), path), "piece")
+    # as many numbers as a block has distinct pre-tokens
+    numbers = numbers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("each"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            _, offsets = utf8(column)
-            found = [np.zeros(0, np.int64)]
-            for lo, hi in blocks(offsets, BLOCK):
-                found.append(count_texts([t or "" for t in column.slice(lo, hi - lo).to_pylist()], v))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(np.concatenate(found))], names=["id", "n_bytes", "n_tokens"])
+            for k in range(batch.num_rows):
+                ids, n_bytes, specials, kinds = (batch.column(c).slice(k, 1).flatten() for c in range(4))
+                number, times = (np.frombuffer(batch.column(c)[k].as_buffer(), "<i4") for c in (4, 5))
+                each = batch.column(6).slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                text = np.repeat(np.arange(len(ids)), kinds.to_numpy())
+                n = np.bincount(text, each[number] * times, len(ids)).astype(np.int64) if len(text) else np.zeros(len(ids), np.int64)
+                yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(n + specials.to_numpy())], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    joined = kept.join(numbers, "block", "left").select("ids", "n_bytes", "specials", "kinds", "numbers", "times", "each")
+    rows = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return rows.select(F.col("id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
