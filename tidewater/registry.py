@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater.plans import glass, layouts, learning, network, planning, pricing, provenance, relational, river, sections, streams
+from tidewater.plans import bundles, glass, intake, layouts, learning, network, planning, pricing, provenance, relational, replays, river, samples, sections, streams, validation
 
-PLANS = (network, river, pricing, glass, sections, layouts, learning, planning, provenance, relational, streams)
+PLANS = (network, river, validation, replays, pricing, bundles, glass, samples, sections, layouts, learning, planning, provenance, intake, relational, streams)
 QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
