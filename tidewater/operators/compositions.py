@@ -89,3 +89,33 @@ def permuted(df: DataFrame, id: str, flag: str, value: str, draws: int, *by: str
     sums = rows.where("_place <= _k").groupBy(*keys, "draw", "difference", "_k", "_n", "_all").agg(F.sum(value).alias("_s"))
     made = F.col("_s") / F.col("_k") - (F.col("_all") - F.col("_s")) / (F.col("_n") - F.col("_k"))
     return sums.groupBy(*keys, "difference").agg(((F.count_if(F.abs(made) >= F.abs("difference") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+
+def silhouettes(rows: DataFrame, id: str, group: str, values: str, each: int = 256) -> DataFrame:
+    """id, group, silhouette under Euclidean distances. By definition every row meets every other one: rows
+    are dealt to blocks of about `each`, and a task adds up the distances between two blocks, so that what
+    is shuffled are blocks and sums, not pairs of rows."""
+    import numpy as np
+    import pandas as pd
+
+    count = max(1, -(-rows.count() // each))
+    block = F.pmod(F.xxhash64(id), F.lit(count)).cast("int")
+    blocks = rows.select(block.alias("b"), F.struct(F.col(id).alias("id"), F.col(group).alias("g"), F.col(values).alias("v")).alias("s")).groupBy("b").agg(F.collect_list("s").alias("s"))
+    pairs = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(blocks.select(F.col("b").alias("o"), F.col("s").alias("t")), "o")
+    kinds = [rows.schema[c].dataType.simpleString() for c in (id, group)]
+
+    def run(batches):
+        for pdf in batches:
+            for s, t in zip(pdf["s"], pdf["t"], strict=True):
+                x, y = (np.array([list(r["v"]) for r in part]) for part in (s, t))
+                d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(2))
+                groups = np.array([r["g"] for r in t])
+                for g in sorted(set(groups.tolist())):
+                    own = d[:, groups == g]
+                    yield pd.DataFrame({"id": [r["id"] for r in s], "g": [r["g"] for r in s], "k": g, "d": own.sum(1), "n": own.shape[1]})
+
+    sums = pairs.select("s", "t").mapInPandas(run, f"id {kinds[0]}, g {kinds[1]}, k {kinds[1]}, d double, n long").groupBy("id", "g", "k").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    own = F.col("g") == F.col("k")
+    mean = F.when(own & (F.col("n") == 1), 0.0).otherwise(F.col("d") / (F.col("n") - own.cast("int")))
+    s = sums.withColumn("m", mean).groupBy("id", "g").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
+    return s.select(F.col("id").alias(id), F.col("g").alias(group), ((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))

@@ -61,25 +61,31 @@ def dips(months: DataFrame, by: list[str], month: str, total: str, least: float,
 
 
 def reshaped(panel: DataFrame, by: list[str], day: str, value: str, first: str, last: str) -> DataFrame:
-    """The days first..last with `corrected`: their total in the shape of the mean of the same days of the
-    month before and after (the last day of shorter months). All zero: spread evenly."""
+    """The days of a month, first..last, with `corrected`: the mean of the same days of the month before and
+    after (the last day of shorter months; where only one is in the panel, that one), scaled to the median
+    of the totals of the two months before and the two after. All zero: spread evenly."""
+    start = F.trunc(F.lit(first).cast("date"), "MM")
     target = panel.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     around = panel.select(*by, F.col(day).alias("_d"), F.col(value).alias("_v"))
     rows = target.withColumns({"_p": F.add_months(day, -1), "_n": F.add_months(day, 1)})
-    rows = rows.join(around.withColumnsRenamed({"_d": "_p", "_v": "_before"}), [*by, "_p"]).join(around.withColumnsRenamed({"_d": "_n", "_v": "_after"}), [*by, "_n"])
+    rows = rows.join(around.withColumnsRenamed({"_d": "_p", "_v": "_before"}), [*by, "_p"], "left").join(around.withColumnsRenamed({"_d": "_n", "_v": "_after"}), [*by, "_n"], "left")
+    months = panel.where(F.trunc(day, "MM").isin([F.add_months(start, k) for k in (-2, -1, 1, 2)]))
+    level = months.groupBy(*by, F.trunc(day, "MM").alias("_m")).agg(F.sum(value).alias("_t")).groupBy(*by).agg(F.median("_t").alias("_level"))  # of four months
     own = Window.partitionBy(*by)
-    shape = (F.col("_before") + F.col("_after")) / 2
-    total = F.sum(value).over(own)
-    part = F.when(F.sum("_shape").over(own) > 0, F.col("_shape") * total / F.nullif(F.sum("_shape").over(own), F.lit(0.0))).otherwise(total / F.count(F.lit(1)).over(own))
-    return rows.withColumn("_shape", shape).withColumn("corrected", part).select(*by, day, value, "corrected")
+    shape = F.coalesce((F.col("_before") + F.col("_after")) / 2, "_before", "_after", F.lit(0.0))
+    whole = F.sum("_shape").over(own)
+    part = F.when(whole > 0, F.col("_shape") * F.col("_level") / F.nullif(whole, F.lit(0.0))).otherwise(F.col("_level") / F.count(F.lit(1)).over(own))
+    return rows.join(level, by).withColumn("_shape", shape).withColumn("corrected", part).select(*by, day, value, "corrected")
 
 
-def holiday_aligned(panel: DataFrame, by: list[str], day: str, value: str, older: str, source: str, target: str, ahead: int = 21, after: int = 9, low: float = 0.8, high: float = 1.3) -> DataFrame:
+def holiday_aligned(panel: DataFrame, by: list[str], day: str, value: str, older: str, source: str, target: str, excluded: DataFrame, ahead: int = 21, after: int = 9, low: float = 0.8, high: float = 1.3) -> DataFrame:
     """Days around a target festival from the same days around the source one, times the growth between
-    the older and the source festival's windows, clipped."""
+    the older and the source festival's windows, clipped. Keys of `excluded` don't count for the growth;
+    without any volume in the older window it is 1."""
     at = lambda d: F.lit(d).cast("date")
     inside = lambda d: F.col(day).between(F.date_sub(at(d), ahead), F.date_add(at(d), after))
-    sums = panel.agg(F.sum(F.when(inside(source), F.col(value))).alias("_now"), F.sum(F.when(inside(older), F.col(value))).alias("_old"))
-    growth = F.least(F.lit(high), F.greatest(F.lit(low), F.col("_now") / (F.col("_old") + 1e-9)))
+    counted = panel.join(excluded.select(*by).distinct(), by, "left_anti")
+    sums = counted.agg(F.sum(F.when(inside(source), F.col(value))).alias("_now"), F.sum(F.when(inside(older), F.col(value))).alias("_old"))
+    growth = F.least(F.lit(high), F.greatest(F.lit(low), F.when(F.col("_old") > 0, F.col("_now") / F.nullif(F.col("_old"), F.lit(0.0))).otherwise(1.0)))
     rows = panel.where(inside(source)).select(*by, F.date_add(at(target), F.datediff(day, at(source))).alias(day), F.col(value).alias("source_volume"))
     return rows.join(F.broadcast(sums)).select(*by, day, "source_volume", (F.col("source_volume") * growth).alias("corrected"))

@@ -82,19 +82,23 @@ def staged_sites(nodes: DataFrame, edges: DataFrame, core: int, most: int) -> Da
     return once.withColumn("position", F.row_number().over(Window.orderBy("stage", "place", "site"))).where(F.col("position") <= most).select("site", "stage", "position")
 
 
-def diverted(edges: DataFrame, hub: str, first: str, days: int, split: str, part: float = 0.2) -> DataFrame:
-    """day, origin, dest, planned, amount: `part` of each edge's volume by way of the hub, in the order of
-    volumes, as far as both new edges and half the hub's room allow. A day is one group, of at most as many
-    rows as pairs of sites."""
+def diverted(edges: DataFrame, hub: str, first: str, days: int, split: str, sites: DataFrame, top: DataFrame, part: float = 0.2) -> DataFrame:
+    """day, origin, dest, planned, amount: `part` of each top edge's volume by way of the hub where both ends
+    are chosen sites, in the order of the edges, as far as both new edges and half the hub's room allow. A
+    day is one group, of at most as many rows as pairs of sites; sites and top edges are short lists."""
     caps = capacities(edges, split)
     rows = edges.where(_days(first, days)).join(caps, ["origin", "dest"], "left").fillna(0.0, ["capacity"])
+    ends = [F.broadcast(sites.select(F.col("site").alias(c), F.lit(True).alias(f"_{c}")).distinct()) for c in ("origin", "dest")]
+    rows = rows.join(ends[0], "origin", "left").join(ends[1], "dest", "left").join(F.broadcast(top.select("origin", "dest", F.lit(True).alias("_top"))), ["origin", "dest"], "left")
+    chosen = F.col("_origin").isNotNull() & F.col("_dest").isNotNull() & F.col("_top").isNotNull()
+    rows = rows.select("day", "origin", "dest", "volume", "capacity", chosen.alias("chosen"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         room = {(r.origin, r.dest): max(0.0, r.capacity - r.volume) for r in rows.itertuples()}
         touching = rows[(rows["origin"] == hub) | (rows["dest"] == hub)]
         hub_room = max(0.0, float((touching["capacity"] - touching["volume"]).sum()))
         out = []
-        for r in rows.sort_values(["volume", "origin", "dest"], ascending=[False, True, True]).itertuples():
+        for r in rows[rows["chosen"]].sort_values(["origin", "dest"]).itertuples():
             if hub in (r.origin, r.dest) or r.origin == r.dest:
                 continue
             planned = part * r.volume
@@ -118,13 +122,28 @@ def changes(edges: DataFrame, options: DataFrame, closed: str, day: str) -> Data
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("edges"), F.sum("volume").alias("volume"))
 
 
-def overload_draws(edges: DataFrame, split: str, sigmas: list[float], draws: int) -> DataFrame:
-    """sigma, mean_overloads, p95_overloads: edges whose mean volume times a normal multiplier (0.5 to 2)
-    is over nine tenths of their capacity. Draws come from hashes, the same in every run."""
-    stats = edges.groupBy("origin", "dest").agg(F.avg("volume").alias("mean"), F.max("volume").alias("capacity"))
-    grid = stats.withColumn("sigma", F.explode(F.array(*map(F.lit, sigmas)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = lambda k: (F.pmod(F.xxhash64("origin", "dest", "sigma", "draw", F.lit(k)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+def drawn(rows: DataFrame, sigmas: list[float], draws: int) -> DataFrame:
+    """rows for each sigma and draw with their multiplier: normal around 1, from 0.70 to 1.35. Draws come from
+    hashes, the same in every run."""
+    grid = rows.withColumn("sigma", F.explode(F.array(*map(F.lit, sigmas)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = lambda k: (F.pmod(F.xxhash64("origin", "dest", "day", "sigma", "draw", F.lit(k)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
     normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
-    load = F.col("mean") * F.least(F.lit(2.0), F.greatest(F.lit(0.5), 1 + F.col("sigma") * normal))
-    counts = grid.groupBy("sigma", "draw").agg(F.sum((load > 0.5 * F.col("capacity")).cast("long")).alias("n"))
-    return counts.groupBy("sigma").agg(F.avg("n").alias("mean_overloads"), F.percentile("n", 0.95).alias("p95_overloads"))
+    return grid.withColumn("multiplier", F.least(F.lit(1.35), F.greatest(F.lit(0.70), 1 + F.col("sigma") * normal)))
+
+
+def planned_loads(edges: DataFrame, diversion: DataFrame, first: str, days: int, split: str) -> DataFrame:
+    """origin, dest, day, volume, capacity, kept (the part of the volume that is not diverted)."""
+    rows = edges.where(_days(first, days) & (F.col("volume") > 0)).join(capacities(edges, split).where("capacity > 0"), ["origin", "dest"])
+    rows = rows.join(diversion.select("day", "origin", "dest", "amount"), ["day", "origin", "dest"], "left")
+    return rows.select("origin", "dest", "day", "volume", "capacity", (1 - F.coalesce("amount", F.lit(0.0)) / F.col("volume")).alias("kept"))
+
+
+def overload_draws(edges: DataFrame, diversion: DataFrame, first: str, days: int, split: str, sigmas: list[float], draws: int) -> DataFrame:
+    """sigma, and before and after the diversion the mean and 95th percentile over the draws of the edge-days
+    whose load is above the edge's capacity, and the mean volume above it."""
+    grid = drawn(planned_loads(edges, diversion, first, days, split), sigmas, draws)
+    load = F.col("volume") * F.col("multiplier")
+    over = {"before": load - F.col("capacity"), "after": load * F.col("kept") - F.col("capacity")}
+    counts = grid.groupBy("sigma", "draw").agg(*[F.count_if(x > 1e-9).alias(f"n_{k}") for k, x in over.items()], *[F.sum(F.greatest(x, F.lit(0.0))).alias(f"v_{k}") for k, x in over.items()])
+    out = [f(k) for k in over for f in (lambda k: F.avg(f"n_{k}").alias(f"{k}_overloads"), lambda k: F.percentile(f"n_{k}", 0.95).alias(f"{k}_p95"), lambda k: F.round(F.avg(f"v_{k}"), 6).alias(f"{k}_excess"))]
+    return counts.groupBy("sigma").agg(*out)

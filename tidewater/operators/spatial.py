@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources.shared import dropped, written
+
 
 def local_km(lon: str, lat: str, lon0: float, lat0: float) -> tuple[Column, Column]:
     """Equirectangular kilometres from an origin."""
@@ -32,8 +34,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str = "id", self_join: bool = False) -> DataFrame:
     """The k nearest right rows of each left row (structs l, r, d, rank; ties by the right key). Rows with k
-    partners within the radius are done; the others look again twice as far, until the whole extent is
-    covered."""
+    partners within the radius are done; the others, a table of their own, look again twice as far, until
+    none is left or the whole extent is covered."""
     span = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     own = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if span[0] is None or own[0] is None:
@@ -47,10 +49,15 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str =
             pairs = pairs.where(F.col(f"l.{key}") != F.col(f"r.{key}"))
         own = Window.partitionBy(f"l.{key}")
         ranked = pairs.withColumns({"n": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("d", f"r.{key}"))}).where(F.col("rank") <= k)
-        parts.append((ranked if last else ranked.where(F.col("n") >= k)).select("l", "r", "d", "rank"))
+        found = written((ranked if last else ranked.where(F.col("n") >= k)).select("l", "r", "d", "rank"), "nearest")
+        parts.append(found)
         if last:
             break
-        rest = rest.join(ranked.where(F.col("n") >= k).select(F.col(f"l.{key}").alias(key)).distinct(), key, "left_anti")
+        before, rest = rest, written(rest.join(found.select(F.col(f"l.{key}").alias(key)).distinct(), key, "left_anti"), "nearest-rest")
+        if hasattr(before, "written_at"):
+            dropped(before)
+        if rest.isEmpty():
+            break
         radius *= 2
     return reduce(DataFrame.unionByName, parts)
 
@@ -79,49 +86,36 @@ def assigned(points: DataFrame, polygons: dict[str, list[list[tuple[float, float
     return points.withColumns({out: F.coalesce(hit, fallback), "within": hit.isNotNull()})
 
 
-def price_steps(tasks: DataFrame, budget: float, step: float, top: float, slope: float) -> DataFrame:
-    """region, id, price: steps given to tasks by gain for cost until no step is affordable. Each step
-    depends on what is left, so a region is one group; of a task its id, price and logit alone are sent.
-
-    A region's tasks are bounded by what a platform offers in it at a time."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        p = lambda z: 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
-        left = budget * float((rows["price"] * rows["logit"].map(p)).sum())
-        price = dict(zip(rows["id"], rows["price"]))
-        logit = dict(zip(rows["id"], rows["logit"]))
-
-        def offer(i):
-            if price[i] + step > top + 1e-9:
-                return None
-            a, b = p(logit[i]), p(logit[i] + slope * step)
-            cost = (price[i] + step) * b - price[i] * a
-            return (-(b - a) / max(cost, 1e-12), i, cost)
-
-        heap = [o for i in sorted(price) if (o := offer(i))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, cost = heapq.heappop(heap)
-            if cost > left + 1e-12:  # a step too dear is skipped, others may still be had
-                continue
-            left -= cost
-            price[i] += step
-            logit[i] += slope * step
-            if o := offer(i):
-                heapq.heappush(heap, o)
-        return pd.DataFrame({"region": key[0], "id": list(price), "price": list(price.values()), "left": left})
-
-    return tasks.select("region", "id", "price", "logit").groupBy("region").applyInPandas(run, "region string, id long, price double, left double")
+def price_steps(tasks: DataFrame, budget: float, step: float, low: float, top: float, most: float, slope: float, fine: int = 20_000) -> DataFrame:
+    """id, price, limit, spent: steps of price by gain for cost within one budget, `budget` more than today's
+    expected payout. Prices start `most` below today's and end `most` above, within low..top; a task's steps
+    are had one after another, so a step counts with the least efficiency up to it, and the first that
+    costs or gains nothing ends them. Steps are taken by levels of efficiency (1 / `fine` wide), from the best
+    down while whole levels are within the budget: running sums go over levels, not over tasks."""
+    p = lambda price: 1 / (1 + F.exp(-F.least(F.lit(35.0), F.greatest(F.lit(-35.0), F.col("logit") + slope * (price - F.col("price"))))))
+    start, end = F.greatest(F.lit(low), F.col("price") - most), F.least(F.lit(top), F.col("price") + most)
+    t = tasks.select("id", "price", "logit", start.alias("start"), F.floor((end - start) / step + 1e-9).cast("int").alias("n"))
+    base = t.agg(F.sum(F.col("price") * p(F.col("price"))).alias("now"), F.sum(F.col("start") * p(F.col("start"))).alias("begun"))  # one row
+    steps = t.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    a, b = F.col("start") + step * (F.col("k") - 1), F.col("start") + step * F.col("k")
+    steps = steps.select("id", "k", (p(b) - p(a)).alias("gain"), (b * p(b) - a * p(a)).alias("cost"))
+    own = Window.partitionBy("id").orderBy("k")
+    worth = F.when((F.col("gain") > 0) & (F.col("cost") > 0), F.col("gain") / F.col("cost")).otherwise(0.0)
+    steps = steps.withColumn("least", F.min(worth).over(own)).where("least > 0").withColumn("level", F.floor(F.round(F.col("least") * fine, 6)))
+    levels = steps.groupBy("level").agg(F.sum("cost").alias("cost"))
+    # a row for each level, of which there are some thousands at most
+    levels = levels.withColumn("spent", F.sum("cost").over(Window.orderBy(F.desc("level")))).join(F.broadcast(base))
+    limit = F.col("now") * (1 + budget)
+    cut = levels.where(F.round(F.col("begun") + F.col("spent"), 6) <= F.round(limit, 6)).agg(F.min("level").alias("cut"), F.max("spent").alias("spent"))
+    taken = steps.join(F.broadcast(cut)).where("level >= cut").groupBy("id").agg(F.count(F.lit(1)).alias("taken"))
+    out = t.join(taken, "id", "left").join(F.broadcast(base)).join(F.broadcast(cut))
+    return out.select("id", (F.col("start") + step * F.coalesce("taken", F.lit(0))).alias("price"), limit.alias("limit"), (F.col("begun") + F.coalesce("spent", F.lit(0.0))).alias("spent"))
 
 
 def packages(tasks: DataFrame, radius: float, most: int) -> DataFrame:
     """cell, package, id: tasks in packages, densest first, each of at most `most` free tasks within `radius`
     of its core; package: the core's id, cell: the core's cell. Each round takes the free tasks that are
     first among free ones within two radii: the same packages as in sequential order."""
-    from tidewater.operators.choices import written
-
     t = tasks.select("id", "x", "y")
     near = radius_pairs(t, t, 2 * radius)
     edges = written(near.select(F.col("l.id").alias("id"), F.col("r.id").alias("_n"), "d"), "packages")

@@ -216,17 +216,9 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dict(fits)[best].select("id", F.col("prediction").alias("cluster"), F.lit(best).alias("k"), F.lit(round(score[best], 6)).alias("silhouette"))
 
 
-@query(f"""WITH {CLR_SQL}, d AS (SELECT a.id, a.glass, b.id AS o, b.glass AS g, sum((a.c - b.c) ** 2) AS d FROM clr a JOIN clr b USING (part) GROUP BY ALL), m AS (SELECT id, glass, g, sum(d) / (CASE WHEN glass = g THEN count(*) - 1 ELSE count(*) END) AS m FROM d GROUP BY id, glass, g),
+@query(f"""WITH {CLR_SQL}, d AS (SELECT a.id, a.glass, b.id AS o, b.glass AS g, sqrt(sum((a.c - b.c) ** 2)) AS d FROM clr a JOIN clr b USING (part) GROUP BY ALL), m AS (SELECT id, glass, g, CASE WHEN glass = g AND count(*) = 1 THEN 0 ELSE sum(d) / (CASE WHEN glass = g THEN count(*) - 1 ELSE count(*) END) END AS m FROM d GROUP BY id, glass, g),
 s AS (SELECT id, glass, max(CASE WHEN g = glass THEN m END) AS a, min(CASE WHEN g <> glass THEN m END) AS b FROM m GROUP BY ALL) SELECT id, glass, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""")
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silhouettes under squared distances, from each group's sums instead of pairs of rows."""
-    rows = ratios(spark, sf_dir).select("id", "glass", "c").withColumn("q", comp.total(F.transform("c", lambda v: v * v)))
-    sums = comp.long(rows, "c", "glass").groupBy("glass", "part").agg(F.sum("v").alias("s"))
-    groups = sums.groupBy("glass").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]).alias("s")).join(rows.groupBy("glass").agg(F.sum("q").alias("sq"), F.count(F.lit(1)).alias("n")), "glass")
-    groups = F.broadcast(groups.agg(F.collect_list(F.struct(F.col("glass").alias("g"), "s", "sq", "n")).alias("gs")))  # a row for each group of a fixed list
-    pairs = rows.join(groups).select("id", "glass", "c", "q", F.explode("gs").alias("k")).select("id", "glass", "c", "q", "k.*")
-    dot = comp.total(F.zip_with("c", "s", lambda a, b: a * b))
-    own = F.col("glass") == F.col("g")
-    m = (F.col("n") * F.col("q") - 2 * dot + F.col("sq")) / F.when(own, F.col("n") - 1).otherwise(F.col("n"))
-    s = pairs.withColumn("m", m).groupBy("id", "glass").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
-    return s.select("id", "glass", F.round((F.col("b") - F.col("a")) / F.greatest("a", "b"), 6).alias("silhouette"))
+    """Silhouettes under Euclidean distances; of a sample alone in its group the inner distance is 0."""
+    s = comp.silhouettes(ratios(spark, sf_dir), "id", "glass", "c")
+    return s.select("id", "glass", F.round("silhouette", 6).alias("silhouette"))

@@ -162,36 +162,41 @@ def long_shutdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.shutdowns(years, ["origin", "dest"], "year", "total", least=50.0, below=0.95)
 
 
-@query(f"""WITH {LANES_SQL}, m AS (SELECT origin, dest, date_trunc('month', day)::DATE AS month, sum(volume) AS total FROM lanes GROUP BY ALL),
+@query(f"""WITH {PANEL_SQL}, m AS (SELECT origin, dest, date_trunc('month', day)::DATE AS month, sum(volume) AS total FROM panel GROUP BY ALL),
 n AS (SELECT *, lag(total, 2) OVER w AS a, lag(total) OVER w AS b, lead(total) OVER w AS c, lead(total, 2) OVER w AS d FROM m WINDOW w AS (PARTITION BY origin, dest ORDER BY month)),
-o AS (SELECT *, list_median([a, b, c, d]) AS base FROM n WHERE a IS NOT NULL AND d IS NOT NULL)
-SELECT origin, dest, month, total, base FROM o WHERE base >= 50 AND total <= 0.85 * base AND b >= 0.35 * base AND c >= 0.35 * base""".replace("list_median([a, b, c, d])", "(a + b + c + d - greatest(a, b, c, d) - least(a, b, c, d)) / 2"))
+o AS (SELECT *, (a + b + c + d - greatest(a, b, c, d) - least(a, b, c, d)) / 2 AS base FROM n WHERE a IS NOT NULL AND d IS NOT NULL)
+SELECT origin, dest, month, total, base FROM o WHERE base >= 50 AND total <= 0.85 * base AND b >= 0.35 * base AND c >= 0.35 * base""")
 def short_month_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months far below the median of the two before and the two after (here below 0.85 of it)."""
-    months = lane_days(spark, sf_dir).groupBy("origin", "dest", F.trunc("day", "MM").alias("month")).agg(F.sum("volume").alias("total"))
+    """Months far below the median of the two before and the two after (here below 0.85 of it). A month
+    without any row counts as 0."""
+    months = panel_complete(spark, sf_dir).groupBy("origin", "dest", F.trunc("day", "MM").alias("month")).agg(F.sum("volume").alias("total"))
     return panels.dips(months, ["origin", "dest"], "month", "total", least=50.0, below=0.85, sides=0.35)
 
 
 @query(f"""WITH {PANEL_SQL}, target AS (SELECT origin, dest, day, volume FROM panel WHERE day BETWEEN DATE '2000-06-01' AND DATE '2000-06-30'),
-shaped AS (SELECT t.origin, t.dest, t.day, t.volume, (p.volume + q.volume) / 2 AS shape FROM target t
-    JOIN panel p ON p.origin = t.origin AND p.dest = t.dest AND p.day = (t.day - INTERVAL 1 MONTH)::DATE
-    JOIN panel q ON q.origin = t.origin AND q.dest = t.dest AND q.day = (t.day + INTERVAL 1 MONTH)::DATE)
-SELECT origin, dest, day, volume, round(CASE WHEN sum(shape) OVER w > 0 THEN shape * sum(volume) OVER w / sum(shape) OVER w ELSE sum(volume) OVER w / count(*) OVER w END, 6) AS corrected
+lv AS (SELECT origin, dest, median(t) AS level FROM (SELECT origin, dest, date_trunc('month', day) AS m, sum(volume) AS t FROM panel WHERE date_trunc('month', day)::DATE IN (DATE '2000-04-01', DATE '2000-05-01', DATE '2000-07-01', DATE '2000-08-01') GROUP BY ALL) GROUP BY ALL),
+shaped AS (SELECT t.origin, t.dest, t.day, t.volume, level, coalesce((p.volume + q.volume) / 2, p.volume, q.volume, 0) AS shape FROM target t JOIN lv USING (origin, dest)
+    LEFT JOIN panel p ON p.origin = t.origin AND p.dest = t.dest AND p.day = (t.day - INTERVAL 1 MONTH)::DATE
+    LEFT JOIN panel q ON q.origin = t.origin AND q.dest = t.dest AND q.day = (t.day + INTERVAL 1 MONTH)::DATE)
+SELECT origin, dest, day, volume, round(CASE WHEN sum(shape) OVER w > 0 THEN shape * level / sum(shape) OVER w ELSE level / count(*) OVER w END, 6) AS corrected
 FROM shaped WINDOW w AS (PARTITION BY origin, dest)""")
 def month_shape_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A month's days in the shape of the same days of the months around it, at the month's own total."""
+    """A month's days in the shape of the same days of the months around it, at the level of the four
+    months around it."""
     rows = panels.reshaped(panel_complete(spark, sf_dir), ["origin", "dest"], "day", "volume", "2000-06-01", "2000-06-30")
     return rows.withColumn("corrected", F.round("corrected", 6))
 
 
-@query(f"""WITH {PANEL_SQL},
-windows AS (SELECT origin, dest, sum(CASE WHEN day BETWEEN DATE '1999-02-16' - 21 AND DATE '1999-02-16' + 9 THEN volume END) AS old, sum(CASE WHEN day BETWEEN DATE '2000-02-05' - 21 AND DATE '2000-02-05' + 9 THEN volume END) AS now FROM panel GROUP BY ALL),
-growth AS (SELECT least(1.3::DOUBLE, greatest(0.8::DOUBLE, sum(now) / (sum(old) + 1e-9))) AS g FROM windows),
+@query(f"""WITH {PANEL_SQL}, shut AS (SELECT origin, dest FROM panel GROUP BY ALL HAVING sum(CASE WHEN year(day) = 1999 THEN volume ELSE 0 END) >= 50 AND sum(CASE WHEN year(day) = 2000 THEN volume ELSE 0 END) / (sum(CASE WHEN year(day) = 1999 THEN volume ELSE 0 END) + 1e-9) < 0.95),
+windows AS (SELECT sum(CASE WHEN day BETWEEN DATE '1999-02-16' - 21 AND DATE '1999-02-16' + 9 THEN volume END) AS old, sum(CASE WHEN day BETWEEN DATE '2000-02-05' - 21 AND DATE '2000-02-05' + 9 THEN volume END) AS now FROM panel ANTI JOIN shut USING (origin, dest)),
+growth AS (SELECT least(1.3::DOUBLE, greatest(0.8::DOUBLE, CASE WHEN old > 0 THEN now / old ELSE 1 END)) AS g FROM windows),
 target AS (SELECT origin, dest, day, day - DATE '2001-01-24' AS delta FROM panel WHERE day BETWEEN DATE '2001-01-24' - 21 AND DATE '2001-01-24' + 9)
 SELECT t.origin, t.dest, t.day, p.volume AS source_volume, round(p.volume * g, 6) AS corrected FROM target t JOIN panel p ON p.origin = t.origin AND p.dest = t.dest AND p.day = DATE '2000-02-05' + delta::INT CROSS JOIN growth""")
 def holiday_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A festival's days from those of the last one at the same distance, times a clipped growth."""
-    rows = panels.holiday_aligned(panel_complete(spark, sf_dir), ["origin", "dest"], "day", "volume", HOLIDAYS[0], HOLIDAYS[1], HOLIDAYS[2])
+    """A festival's days from those of the last one at the same distance, times a clipped growth that lanes
+    which shut down (here: fell below 0.95 of the year before) have no part in."""
+    shut = long_shutdown(spark, sf_dir).where("year = 2000")
+    rows = panels.holiday_aligned(panel_complete(spark, sf_dir), ["origin", "dest"], "day", "volume", HOLIDAYS[0], HOLIDAYS[1], HOLIDAYS[2], shut)
     return rows.withColumn("corrected", F.round("corrected", 6))
 
 
@@ -283,10 +288,22 @@ def connected_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerouting.staged_sites(node_scores(edges), edge_scores(edges), 3, 14)
 
 
+HUB = "NATION_3"
+
+
+def diversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = edge_days(spark, sf_dir)
+    scores = edge_scores(edges)
+    sites = rerouting.staged_sites(node_scores(edges), scores, 3, 14).select("site")
+    top = scores.orderBy(F.desc("score"), "origin", "dest").limit(80).select("origin", "dest")
+    return rerouting.diverted(edges, HUB, DAY, 31, SPLIT, sites, top)
+
+
 @query()
 def node_diversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fifth of each busy edge's volume by way of a hub, as far as both new edges and the hub have room."""
-    return rerouting.diverted(edge_days(spark, sf_dir), "NATION_3", DAY, 31, SPLIT)
+    """A fifth of the volume of the 80 most important edges between chosen sites by way of a hub, as far as
+    both new edges and the hub have room."""
+    return diversion(spark, sf_dir)
 
 
 @query(f"""WITH {DEMAND_SQL}, kinds AS (SELECT origin, dest, 'closed' AS status, volume FROM edges WHERE day = DATE '{DAY}' AND (origin = '{CLOSED}' OR dest = '{CLOSED}')
@@ -315,8 +332,9 @@ def line_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often edges are overloaded when volumes vary: 200 draws of clipped normal multipliers."""
-    return rerouting.overload_draws(edge_days(spark, sf_dir), SPLIT, [0.05, 0.1, 0.2], 200)
+    """How often edges are overloaded when volumes vary, before and after the diversion by the hub: 200 draws
+    of clipped normal multipliers."""
+    return rerouting.overload_draws(edge_days(spark, sf_dir), diversion(spark, sf_dir), DAY, 31, SPLIT, [0.0, 0.1, 0.15], 200)
 
 
 @query()

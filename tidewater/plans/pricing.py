@@ -147,11 +147,19 @@ def price_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("id", F.coalesce("p", F.lit(85.0)).alias("price"), F.col("p").isNotNull().alias("reachable"))
 
 
-@query()
+STEP_SQL = LOGIT_SQL + """, st AS (SELECT id, price, logit, greatest(65, price - 5) AS start, floor((least(85, price + 5) - greatest(65, price - 5)) / 0.5 + 1e-9)::INT AS n FROM logits),
+ba AS (SELECT sum(price / (1 + exp(-logit))) AS now, sum(start / (1 + exp(-(logit + 0.06::DOUBLE * (start - price))))) AS begun FROM st),
+sk AS (SELECT id, k, price, logit, start + 0.5 * (k - 1) AS a, start + 0.5 * k AS b FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM st)),
+sg AS (SELECT id, k, 1 / (1 + exp(-(logit + 0.06::DOUBLE * (b - price)))) - 1 / (1 + exp(-(logit + 0.06::DOUBLE * (a - price)))) AS gain, b / (1 + exp(-(logit + 0.06::DOUBLE * (b - price)))) - a / (1 + exp(-(logit + 0.06::DOUBLE * (a - price)))) AS cost FROM sk),
+sl AS (SELECT *, min(CASE WHEN gain > 0 AND cost > 0 THEN gain / cost ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS least FROM sg), sv AS (SELECT *, floor(round(least * 20000, 6)) AS level FROM sl WHERE least > 0),
+lv AS (SELECT level, sum(sum(cost)) OVER (ORDER BY level DESC) AS spent FROM sv GROUP BY level), cu AS (SELECT min(level) AS cut, max(spent) AS spent FROM lv, ba WHERE round(begun + spent, 6) <= round(now * 1.05::DOUBLE, 6)), tk AS (SELECT id, count(*) AS taken FROM sv, cu WHERE level >= cut GROUP BY id)"""
+
+
+@query(f"WITH {STEP_SQL} SELECT id, start + 0.5 * coalesce(taken, 0) AS price, round(now * 1.05::DOUBLE, 4) AS limit_, round(begun + coalesce(spent, 0), 4) AS spent FROM st LEFT JOIN tk USING (id), ba, cu")
 def price_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price steps by gain for cost, within 15 % more payout in each region."""
-    t = spatial.assigned(logits(spark, sf_dir), POLYGONS, "region")
-    return spatial.price_steps(t, 0.15, 0.5, 85.0, 0.06)
+    """Price steps by gain for cost within 5 % more payout in all, at most 5 off today's price."""
+    rows = spatial.price_steps(logits(spark, sf_dir), 0.05, 0.5, 65.0, 85.0, 5.0, 0.06)
+    return rows.select("id", "price", F.round("limit", 4).alias("limit_"), F.round("spent", 4).alias("spent"))
 
 
 @query(f"""WITH {LOGIT_SQL}, s AS (SELECT 'now' AS scheme, price, price AS before, logit FROM logits UNION ALL SELECT 'flat', 75::DOUBLE, price, logit + 0.06::DOUBLE * (75 - price) FROM logits)

@@ -17,9 +17,11 @@ LATE = "2 hours"  #: how late an event may come and still count
 
 
 def read_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    """The events as a stream of files, `files` of them a batch."""
+    """The events as a stream of files, `files` of them a batch, from one file or a folder of them. Files of
+    a folder should follow each other in time: what comes LATE behind the newest event may be left out."""
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files).parquet(sf_dir)
+    # a pattern, as the reader takes folders and patterns but no single file
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def tumbling(events: DataFrame, width: str = "6 hours") -> DataFrame:
@@ -83,10 +85,12 @@ def run_to_table(spark: SparkSession, stream: DataFrame, label: str, mode: str =
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", fresh(spark, f"{label}-checkpoint")).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{path}/all")
-    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")
+    at = f"{path}/all" if mode == "complete" else f"{path}/batch=*"
+    place = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):  # no batch at all
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(at)
 
 
-def replayed(spark: SparkSession, sf_dir: str, what: Callable[[DataFrame], DataFrame], label: str, mode: str = "complete") -> DataFrame:
-    return run_to_table(spark, what(read_stream(spark, sf_dir)), label, mode)
+def replayed(spark: SparkSession, sf_dir: str, what: Callable[[DataFrame], DataFrame], label: str, mode: str = "complete", files: int = 1) -> DataFrame:
+    return run_to_table(spark, what(read_stream(spark, sf_dir, files)), label, mode)
