@@ -20,7 +20,8 @@ from tidewater.llm.pretokens import PieceVocabulary
 
 # Fixed value: the pre-token pattern of word_bpe_49k.json.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BLOCK = 2_000_000  #: bytes of text whose pre-tokens are kept together
+BLOCK = 8_000_000  #: bytes of text whose pre-tokens are kept together
+PART = 1_000_000  #: bytes of them that are worked on at once: some 100 MB of arrays
 
 _LOADED: dict[str, PieceVocabulary] = {}
 
@@ -32,10 +33,19 @@ def vocabulary(path: str) -> PieceVocabulary:
     return _LOADED[path]
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as many bytes each as the largest one takes."""
+    return x.astype("<u1" if not len(x) or x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(data: memoryview, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def frequencies(docs: DataFrame, path: str) -> DataFrame:
     """A row for each block of texts: block, its number; ids, n_bytes, specials (special strings) and kinds (how
-    many distinct pre-tokens) of its texts; the number of each such pre-token among `pieces` and how often the
-    text has it, as 32-bit numbers end to end."""
+    many distinct pre-tokens) of its texts; of each such pre-token its number among the block's `pieces`, as the
+    step from the text's one before, and how often the text has it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, block = vocabulary(path), TaskContext.get().partitionId() << 33
@@ -43,28 +53,34 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
             column = batch.column(1)
             _, offsets = utf8(column)
             for lo, hi in blocks(offsets, BLOCK):
-                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
-                segments, owner, specials = v.segments(texts)
-                cp, starts, lengths, joined, ends = v.pieces(segments)
-                codes, pieces = v.kinds(cp, starts, lengths, joined)
-                text = owner[np.searchsorted(ends, starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
-                pair, times = np.unique(text * max(1, len(pieces)) + codes, return_counts=True)
-                own = np.bincount(pair // max(1, len(pieces)), minlength=len(texts))
+                known: dict[str, int] = {}
+                specials, kinds, steps, times = [], [], [], []
+                for a, b in blocks(offsets[lo : hi + 1], PART):
+                    texts = [t or "" for t in column.slice(lo + a, b - a).to_pylist()]
+                    segments, owner, found = v.segments(texts)
+                    cp, starts, lengths, joined, ends = v.pieces(segments)
+                    codes, pieces = v.kinds(cp, starts, lengths, joined)
+                    own = np.array([known.setdefault(p, len(known)) for p in pieces], np.int64)
+                    text = owner[np.searchsorted(ends, starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
+                    pair, n = np.unique(text << 32 | own[codes] if len(starts) else text, return_counts=True)
+                    number, fresh = pair & 0xFFFFFFFF, np.ones(len(pair), bool)
+                    fresh[1:] = pair[1:] >> 32 != pair[:-1] >> 32
+                    steps.append(np.where(fresh, number, np.diff(number, prepend=0)))
+                    times.append(n)
+                    kinds.append(np.bincount(pair >> 32, minlength=len(texts)))
+                    specials.append(np.bincount([i for i, _, _ in found], minlength=len(texts)))
                 one = [
                     pa.array([block], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo)),
-                    pa.array([np.diff(offsets[lo : hi + 1])], pa.list_(pa.int64())),
-                    pa.array([np.bincount([i for i, _, _ in specials], minlength=len(texts))], pa.list_(pa.int64())),
-                    pa.array([own], pa.list_(pa.int64())),
-                    pa.array([(pair % max(1, len(pieces))).astype("<i4").tobytes()], pa.binary()),
-                    pa.array([times.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([pieces], pa.list_(pa.string())),
+                    *(pa.array([x], pa.list_(pa.int64())) for x in (np.diff(offsets[lo : hi + 1]), np.concatenate(specials), np.concatenate(kinds))),
+                    *(pa.array([_narrow(np.concatenate(x))], pa.binary()) for x in (steps, times)),
+                    pa.array([[*known]], pa.list_(pa.string())),
                 ]
-                yield pa.RecordBatch.from_arrays(one, names=["block", "ids", "n_bytes", "specials", "kinds", "numbers", "times", "pieces"])
+                yield pa.RecordBatch.from_arrays(one, names=["block", "ids", "n_bytes", "specials", "kinds", "steps", "times", "pieces"])
                 block += 1
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"block long, ids array<{kind}>, n_bytes array<long>, specials array<long>, kinds array<long>, numbers binary, times binary, pieces array<string>")
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, n_bytes array<long>, specials array<long>, kinds array<long>, steps binary, times binary, pieces array<string>")
 
 
 def counted(pieces: DataFrame, path: str) -> DataFrame:
@@ -91,18 +107,22 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
     numbers = pieces.join(counted(pieces.select("piece").distinct(), path), "piece")
     # as many numbers as a block has distinct pre-tokens
     numbers = numbers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("each"))
+    numbers = written(numbers, "token-numbers", compression="zstd")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, n_bytes, specials, kinds = (batch.column(c).slice(k, 1).flatten() for c in range(4))
-                number, times = (np.frombuffer(batch.column(c)[k].as_buffer(), "<i4") for c in (4, 5))
+                kinds = kinds.to_numpy()
+                text = np.repeat(np.arange(len(ids)), kinds)
+                steps, times = (_wide(batch.column(c)[k].as_buffer(), len(text)) for c in (4, 5))
                 each = batch.column(6).slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                text = np.repeat(np.arange(len(ids)), kinds.to_numpy())
+                sums = np.concatenate([[0], np.cumsum(steps)])
+                number = sums[1:] - sums[np.cumsum(kinds) - kinds][text]
                 n = np.bincount(text, each[number] * times, len(ids)).astype(np.int64) if len(text) else np.zeros(len(ids), np.int64)
                 yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(n + specials.to_numpy())], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id].dataType.simpleString()
-    joined = kept.join(numbers, "block", "left").select("ids", "n_bytes", "specials", "kinds", "numbers", "times", "each")
+    joined = kept.join(numbers, "block", "left").select("ids", "n_bytes", "specials", "kinds", "steps", "times", "each")
     rows = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return rows.select(F.col("id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
