@@ -63,6 +63,33 @@ def test_against_brute_force(spark, monkeypatch, sets):
         assert sorted(map(tuple, near_duplicates(docs).collect()), key=str) == brute(docs.collect())
 
 
+def test_many_near_copies(spark, monkeypatch):
+    """5,000 near copies of one text, all different: links and component are right, and no set is sent on more
+    often than its cluster has blocks."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        words[3 + i % 100] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sent = []
+    real = ngram_join.written
+
+    def counted(df, label, **options):
+        out = real(df, label, **options)
+        if label == "ngram-clusters":
+            sent.append(out.agg({"parts": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    found = near_duplicates(docs).collect()
+    # each differs from another in two words at most: ten of 116 shingles on either side
+    assert {r.component_id for r in found} == {0} and {r.n_links for r in found} == {4999}
+    assert sent == [-(-5000 // ngram_join.SETS)] and sent[0] <= ngram_join.SENDS
+
+
 def test_odd_rows(spark, odd_docs):
     assert sorted(map(tuple, near_duplicates(odd_docs).collect()), key=str) == brute(odd_docs.collect())
     assert near_duplicates(odd_docs.limit(0)).collect() == []

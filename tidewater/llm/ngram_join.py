@@ -27,7 +27,10 @@ from tidewater.llm.shingles import set_marks, shingle_sets
 BLOCK = 2_000_000
 BUCKETS = 1 << 20  #: of the counts by which n-grams are ordered: 4 MB, whatever the input is
 PARTS = 64  #: in which the counts are summed
-SETS, GRAMS = 2048, 1 << 21  #: about the most sets, and n-grams of sets, in a block of a cluster
+#: A cluster's blocks have about SETS sets, so that no task has many more than others; in clusters of more
+#: than SENDS such blocks as many more as keep each set to SENDS copies, up to MOST_SETS. GRAMS: about the most
+#: n-grams of a block's sets.
+SETS, SENDS, MOST_SETS, GRAMS = 256, 64, 4096, 1 << 21
 #: Sets are dealt to fields by classes of size, SMALL * GROWTH ** k and more n-grams. A class has FIELDS
 #: fields for each n-gram of its largest sets: some more than the 2/9 in which such sets can differ, so that
 #: nearly no set has fewer fields with n-grams than the first ones that are taken.
@@ -319,7 +322,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     clusters = connected_components(tied(rows, counts, width))
     members = classes.join(clusters.withColumnsRenamed({"node": "f1", "root": "cluster"}), "f1")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams")).where("k > 1")
-    parts = F.greatest(F.ceil(F.col("k") / SETS), F.ceil(F.col("grams") / GRAMS)).cast("long").alias("parts")
+    k = F.col("k")
+    parts = F.greatest(F.least(F.lit(SENDS), F.ceil(k / SETS)), F.ceil(k / MOST_SETS), F.ceil(F.col("grams") / GRAMS)).cast("long").alias("parts")
     wanted = written(members.join(sizes.select("cluster", parts), "cluster").select("id", "f1", "f2", "weight", "cluster", "parts"), "ngram-clusters")
     dropped(clusters)
     links = written(verified(rows, wanted, counts, width), "ngram-links")
