@@ -204,3 +204,26 @@ def test_a_price_keeps_the_budget(spark):
     o = spark.createDataFrame([(k, float(p), g * k, p * 1.0) for k in (1, 2, 3) for p, g in ((1, 1.0), (2, 1.6), (3, 1.9))], "k int, p double, gain double, cost double")
     got = choices.priced_choice(o, "k", "p", "gain", "cost", 7.0, [x / 10 for x in range(40)]).collect()
     assert len(got) == 3 and sum(r["cost"] for r in got) <= 7.0
+
+
+def test_ranks_and_quantiles_over_ranges(spark):
+    """Against pandas, with ties, nulls, groups of one value and a group of one row."""
+    import numpy as np
+    import pandas as pd
+
+    from tidewater.operators import ranks
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 600), "v": np.where(rng.random(600) < 0.5, rng.integers(0, 9, 600), rng.normal(0, 1e6, 600)).round(3)})
+    pdf = pd.concat([pdf, pd.DataFrame({"g": [7, 8, 8, 8], "v": [3.5, 1.0, 1.0, 1.0]}), pd.DataFrame({"g": [1, 9], "v": [None, None]})], ignore_index=True)
+    pdf["id"] = range(len(pdf))
+    df = spark.createDataFrame([(int(i), int(g), None if v != v else float(v)) for g, v, i in pdf.itertuples(index=False)], "id long, g long, v double")
+    got = {r.id: r.p for r in ranks.percent_ranks(df, "v", "p", "g").collect()}
+    want = pdf.groupby("g")["v"].rank(pct=True, method="average")
+    assert len(got) == len(pdf)
+    for i, w in enumerate(want):
+        assert (got[i] is None and w != w) or abs(got[i] - w) < 1e-12
+    q = {r.g: r for r in ranks.quantiles(df, ["g"], "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}
+    for g, own in pdf.dropna().groupby("g")["v"]:
+        assert all(abs(x - y) < 1e-6 for x, y in zip((q[g].a, q[g].b, q[g].c), own.quantile([0.0, 0.37, 1.0])))
+    assert ranks.quantiles(df.limit(0), [], "v", {"a": 0.5}).first()["a"] is None

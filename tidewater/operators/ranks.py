@@ -83,3 +83,45 @@ def first_of_each(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
 
 def top_of_each(df: DataFrame, by: list[str], n: int, *order: Column, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
+
+
+RANGES = 1024  #: into which the values between a group's least and largest are dealt
+
+
+def running(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by..., value, n, below, total: of each distinct value how many rows have it, a smaller one, and any.
+    Null values are left out. Sums run over RANGES ranges of values and within each range, so that no
+    task sorts a group's all rows; equal rows are summed up before they are shuffled."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    span = counts.groupBy(*by).agg(F.min(value).cast("double").alias("_a"), F.max(value).cast("double").alias("_b"))
+    rows = counts.join(span, by) if by else counts.join(F.broadcast(span))
+    part = F.when(F.col("_b") > F.col("_a"), F.least(F.lit(RANGES - 1), F.floor((F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a")) * RANGES))).otherwise(0)
+    rows = rows.withColumn("_r", part).drop("_a", "_b")
+    sums = rows.groupBy(*by, "_r").agg(F.sum("n").alias("_n"))
+    own = Window.partitionBy(*by)
+    # RANGES rows of a group at most
+    sums = sums.withColumns({"_base": F.coalesce(F.sum("_n").over(own.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("_n").over(own)}).drop("_n")
+    inside = Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return rows.join(sums, [*by, "_r"]).select(*by, value, "n", (F.col("_base") + F.col("_in")).alias("below"), "total")
+
+
+def percent_ranks(df: DataFrame, value: str, out: str, *by: str) -> DataFrame:
+    """df with the rank of each value as a share of its group, ties averaged, as percent_rank_average() tells
+    it; rows without a value have none."""
+    r = running(df, list(by), value).select(*by, value, ((F.col("below") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total")).alias(out))
+    return df.join(r, [*by, value], "left")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """by..., and each wanted quantile of the values, exact, on the line between neighbouring values."""
+    r = running(df, by, value)
+
+    def at(p: float) -> Column:
+        h = (F.col("total") - 1) * F.lit(float(p))
+        lo, hi = F.floor(h), F.ceil(h)
+        one = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value).cast("double")))
+        a, b = one(lo), one(hi)
+        return a + (b - a) * F.max(h - lo)
+
+    return r.groupBy(*by).agg(*[at(p).alias(name) for name, p in wanted.items()])

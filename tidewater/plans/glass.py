@@ -35,8 +35,9 @@ effect AS (SELECT glass, part, greatest(-2.5::DOUBLE, least(2.5::DOUBLE, raw)) A
 
 def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = comp.long(ratios(spark, sf_dir), "c", "glass", "weathered")
-    m = lambda w: F.median(F.when(F.col("weathered") == w, F.col("v")))
-    return rows.groupBy("glass", "part").agg(F.greatest(F.lit(-2.5), F.least(F.lit(2.5), m(1) - m(0))).alias("effect"))
+    medians = ranks.quantiles(rows, ["glass", "part", "weathered"], "v", {"m": 0.5})
+    m = lambda w: F.max(F.when(F.col("weathered") == w, F.col("m")))
+    return medians.groupBy("glass", "part").agg(F.greatest(F.lit(-2.5), F.least(F.lit(2.5), m(1) - m(0))).alias("effect"))
 
 
 @query(f"WITH {EFFECT_SQL} SELECT glass, part::INT AS part, round(effect, 6) AS effect FROM effect")
@@ -152,7 +153,8 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ANSWERS_SQL}, r AS (SELECT lang, {pct("size", "lang")} AS a, {pct("doc_id", "lang")} AS b FROM answers) SELECT lang, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY lang""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = answers(spark, sf_dir).select("lang", ranks.percent_rank_average("size", "lang").alias("a"), ranks.percent_rank_average("doc_id", "lang").alias("b"))
+    rows = answers(spark, sf_dir).select("lang", "size", "doc_id")
+    rows = ranks.percent_ranks(ranks.percent_ranks(rows, "size", "a", "lang"), "doc_id", "b", "lang")
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a", "b"), 6).alias("rho"))
 
 

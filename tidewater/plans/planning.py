@@ -135,5 +135,7 @@ def group_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = answers(spark, sf_dir)
     expected = a.groupBy("lang").agg(F.avg("y").alias("expected"))
     a = a.join(F.broadcast(expected), "lang")  # a row for each language of a fixed list
-    s = a.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"), F.avg(F.col("y") - F.col("expected")).alias("gap"), F.median("size").alias("size"))
-    return s.select("source", "n", F.round("rate", 6).alias("rate"), F.round("gap", 6).alias("gap"), F.round("size", 6).alias("size"), F.round(ranks.percent_rank_average(F.round("rate", 9)), 6).alias("pct"))
+    s = a.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"), F.avg(F.col("y") - F.col("expected")).alias("gap"))
+    s = s.join(ranks.quantiles(a, ["source"], "size", {"size": 0.5}), "source")
+    s = ranks.percent_ranks(s.withColumn("_rate", F.round("rate", 9)), "_rate", "pct")
+    return s.select("source", "n", F.round("rate", 6).alias("rate"), F.round("gap", 6).alias("gap"), F.round("size", 6).alias("size"), F.round("pct", 6).alias("pct"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import ranks, spatial
 from tidewater.plans.common import Plan, pct
+from tidewater.sources.shared import written
 from tidewater.sources.tables import POINTS_SQL, points
 
 plan = Plan()
@@ -56,9 +57,9 @@ def competition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, supply, density of each task: members' strengths fall with distance."""
     m = members(spark, sf_dir)
-    middle = m.where("quota > 0").agg(F.median("quota").alias("_median"))  # one row
-    m = m.join(F.broadcast(middle))
-    m = m.withColumn("s", F.least(F.lit(3.0), F.greatest(F.lit(0.35), F.sqrt(F.col("quota") / F.col("_median")))) * (0.5 + ranks.percent_rank_average(F.round("credit", 9))))
+    middle = ranks.quantiles(m.where("quota > 0"), [], "quota", {"_median": 0.5})  # one row
+    m = ranks.percent_ranks(m.withColumn("_credit", F.round("credit", 9)), "_credit", "_rank").join(F.broadcast(middle))
+    m = m.withColumn("s", F.least(F.lit(3.0), F.greatest(F.lit(0.35), F.sqrt(F.col("quota") / F.col("_median")))) * (0.5 + F.col("_rank")))
     m = m.join(F.broadcast(m.agg(F.avg("s").alias("_mean")))).withColumn("s", F.col("s") / F.col("_mean"))
     t = tasks(spark, sf_dir).select("id", "x", "y", "price")
     pairs = spatial.radius_pairs(t, m.select("id", "x", "y", "s"), RADIUS)
@@ -85,8 +86,9 @@ SELECT id, CASE WHEN density <= ld THEN 2 WHEN pressure >= hp THEN 3 WHEN densit
 def adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Package size and spread by quartiles; the last rule that fits wins. A penalty for pressure beyond its
     95th percentile."""
-    rows = supply(spark, sf_dir).withColumn("pressure", F.col("density") / (F.col("supply") + 0.5))
-    q = rows.agg(F.percentile("pressure", 0.75).alias("hp"), F.percentile("density", 0.25).alias("ld"), F.percentile("density", 0.75).alias("hd"), F.percentile("supply", 0.5).alias("ms"), F.percentile("pressure", 0.95).alias("p95"))
+    rows = written(supply(spark, sf_dir).withColumn("pressure", F.col("density") / (F.col("supply") + 0.5)), "supply")
+    q = ranks.quantiles(rows, [], "pressure", {"hp": 0.75, "p95": 0.95})
+    q = q.join(F.broadcast(ranks.quantiles(rows, [], "density", {"ld": 0.25, "hd": 0.75}))).join(F.broadcast(ranks.quantiles(rows, [], "supply", {"ms": 0.5})))
     rows = rows.join(F.broadcast(q))  # one row
     few, high, dense = F.col("density") <= F.col("ld"), F.col("pressure") >= F.col("hp"), (F.col("density") >= F.col("hd")) & (F.col("supply") >= F.col("ms"))
     rule = lambda a, b, c, d: F.when(few, a).when(high, b).when(dense, c).otherwise(d)

@@ -94,7 +94,7 @@ def validated_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantile_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three classes by exact quantiles, closed on the right."""
     p = table(spark, sf_dir, "part").select("p_type", "p_retailprice")
-    q = p.groupBy("p_type").agg(F.percentile("p_retailprice", 1 / 3).alias("a"), F.percentile("p_retailprice", 2 / 3).alias("b"))
+    q = ranks.quantiles(p, ["p_type"], "p_retailprice", {"a": 1 / 3, "b": 2 / 3})
     price = F.round("p_retailprice", 9)
     level = F.when(price <= F.round("a", 9), "low").when(price <= F.round("b", 9), "medium").otherwise("high")
     return p.join(q, "p_type").groupBy("p_type", level.alias("level")).agg(F.count(F.lit(1)).alias("n"))

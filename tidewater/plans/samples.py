@@ -48,7 +48,9 @@ def subclass_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median centres of subclasses, named by the first rule that fits."""
     part = lambda i: F.element_at("parts", i)
     wide = composition(spark, sf_dir).select("glass", F.pmod("id", F.lit(4)).alias("sub"), part(1).alias("p1"), part(2).alias("p2"), part(3).alias("p3"))
-    c = wide.groupBy("glass", "sub").agg(F.count(F.lit(1)).alias("n"), *[F.median(p).alias(p) for p in ("p1", "p2", "p3")])
+    c = wide.groupBy("glass", "sub").agg(F.count(F.lit(1)).alias("n"))
+    for p in ("p1", "p2", "p3"):
+        c = c.join(ranks.quantiles(wide, ["glass", "sub"], p, {p: 0.5}), ["glass", "sub"])
     name = F.when(F.col("p1") >= 10, "rich").when(F.col("p2") >= F.col("p3") + 1, "second").when(F.col("p3") >= F.col("p2") + 1, "third").otherwise("mixed")
     return c.select("glass", "sub", "n", *[F.round(p, 6).alias(p) for p in ("p1", "p2", "p3")], name.alias("name"))
 
@@ -58,7 +60,8 @@ def subclass_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of a subclass's samples lie nearest to its own median centre. Centres are a fixed list."""
     part = lambda i: F.element_at("parts", i)
     wide = composition(spark, sf_dir).select("id", "glass", F.pmod("id", F.lit(4)).alias("sub"), F.array(part(1), part(2), part(3)).alias("p"))
-    c = wide.groupBy("glass", F.col("sub").alias("k")).agg(F.array(*[F.median(F.col("p")[i]) for i in range(3)]).alias("c"))
+    m = ranks.quantiles(wide.select("glass", "sub", F.posexplode("p").alias("i", "v")), ["glass", "sub", "i"], "v", {"m": 0.5})
+    c = m.groupBy("glass", F.col("sub").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))  # three numbers
     d = wide.join(F.broadcast(c), "glass").withColumn("d", comp.squared("p", "c"))
     b = d.groupBy("id", "glass", "sub").agg(F.min_by("k", F.struct("d", "k")).alias("nearest"))
     kept = F.count_if(F.col("sub") == F.col("nearest"))
