@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks, utf8, written
+from tidewater.llm.common import blocks, dropped, utf8, written
 from tidewater.llm.pretokens import PieceVocabulary
 
 # Fixed value: the pre-token pattern of word_bpe_49k.json.
@@ -104,10 +104,13 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
     A pre-token that all texts have is joined once for each block, not for each text."""
     kept = written(frequencies(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), path), "token-blocks", compression="zstd")
     pieces = kept.select("block", F.posexplode("pieces").alias("at", "piece"))
-    numbers = pieces.join(counted(pieces.select("piece").distinct(), path), "piece")
-    # as many numbers as a block has distinct pre-tokens
-    numbers = numbers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("each"))
+    counts = written(counted(pieces.select("piece").distinct(), path), "token-pieces", compression="zstd")
+    numbers = pieces.join(counts, "piece")
+    # as many numbers as a block has distinct pre-tokens; place and number are shuffled as one
+    packed = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
+    numbers = numbers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(packed)), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")).alias("each"))
     numbers = written(numbers, "token-numbers", compression="zstd")
+    dropped(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
