@@ -62,10 +62,110 @@ def test_rerouted_flows_balance_within_room(spark):
 def test_price_steps_keep_the_budget(spark):
     before = {r["id"]: (r["price"], r["logit"]) for r in pricing.logits(spark, SF).collect()}
     rows = pricing.price_greedy(spark, SF).collect()
-    assert all(r["left"] >= -1e-9 and before[r["id"]][0] <= r["price"] <= 85 + 1e-9 for r in rows)
+    p = lambda id, price: 1 / (1 + math.exp(-(before[id][1] + 0.06 * (price - before[id][0]))))
+    assert all(max(65, before[r["id"]][0] - 5) - 1e-9 <= r["price"] <= min(85, before[r["id"]][0] + 5) + 1e-9 for r in rows)
+    spent = sum(r["price"] * p(r["id"], r["price"]) for r in rows)
+    assert abs(spent - rows[0]["spent"]) < 1e-3 and spent <= rows[0]["limit_"] + 1e-3
+    assert abs(rows[0]["limit_"] - 1.05 * sum(q * p(i, q) for i, (q, _) in before.items())) < 1e-3
     assert len(rows) == len(before)
 
 
+def test_diversion_against_a_loop(spark):
+    from tidewater.operators import rerouting
+
+    edges = network.edge_days(spark, LARGER)
+    scores = network.edge_scores(edges)
+    sites = {r["site"] for r in rerouting.staged_sites(network.node_scores(edges), scores, 3, 14).collect()}
+    top = {(r["origin"], r["dest"]) for r in sorted(scores.collect(), key=lambda r: (-r["score"], r["origin"], r["dest"]))[:80]}
+    rows = edges.toPandas()
+    split, first = (__import__("datetime").date.fromisoformat(d) for d in (network.SPLIT, network.DAY))
+    caps = rows[rows["day"] < split].groupby(["origin", "dest"])["volume"].max().to_dict()
+    want = {}
+    for k in range(31):
+        day = first + __import__("datetime").timedelta(days=k)
+        now = rows[rows["day"] == day]
+        room = {(r.origin, r.dest): max(0.0, caps.get((r.origin, r.dest), 0.0) - r.volume) for r in now.itertuples()}
+        hub = max(0.0, sum(caps.get((r.origin, r.dest), 0.0) - r.volume for r in now.itertuples() if network.HUB in (r.origin, r.dest)))
+        for r in sorted(now.itertuples(), key=lambda r: (r.origin, r.dest)):
+            if (r.origin, r.dest) not in top or r.origin not in sites or r.dest not in sites or network.HUB in (r.origin, r.dest) or r.origin == r.dest:
+                continue
+            amount = min(0.2 * r.volume, room.get((r.origin, network.HUB), 0.0), room.get((network.HUB, r.dest), 0.0), hub / 2)
+            if amount > 0:
+                room[r.origin, network.HUB] -= amount
+                room[network.HUB, r.dest] -= amount
+                hub -= 2 * amount
+                want[day, r.origin, r.dest] = amount
+    got = {(r["day"], r["origin"], r["dest"]): r["amount"] for r in network.node_diversion(spark, LARGER).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_overloads_against_their_draws(spark):
+    from tidewater.operators import rerouting
+
+    edges = network.edge_days(spark, SF)
+    loads = rerouting.planned_loads(edges, network.diversion(spark, SF), network.DAY, 31, network.SPLIT)
+    draws = rerouting.drawn(loads, [0.0, 0.1, 0.15], 200).toPandas()
+    assert draws["multiplier"].between(0.70, 1.35).all() and abs(draws[draws["sigma"] == 0.1]["multiplier"].std() - 0.1) < 0.01
+    for r in network.robustness(spark, SF).collect():
+        own = draws[draws["sigma"] == r["sigma"]]
+        over = own["volume"] * own["multiplier"] - own["capacity"] > 1e-9
+        counts = over.groupby(own["draw"]).sum()
+        assert abs(counts.mean() - r["before_overloads"]) < 1e-9 and abs(np.quantile(counts, 0.95) - r["before_p95"]) < 1e-9
+        assert r["after_overloads"] <= r["before_overloads"] and r["after_excess"] <= r["before_excess"]
+
+
+def test_exact_intervals_by_binomial_sums(spark):
+    from math import comb
+
+    from tidewater.plans import samples
+
+    for r in samples.exact_intervals(spark, LARGER).collect():
+        n, k, low, high = r["n"], r["hits"], r["low"], r["high"]
+        at_least = lambda p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        at_most = lambda p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert low == 0 if k == 0 else abs(at_least(low) - 0.025) < 1e-5
+        assert high == 1 if k == n else abs(at_most(high) - 0.025) < 1e-5
+        assert r["weighted_low"] <= r["weighted_high"] and r["effective_n"] <= n + 1e-6
+
+
+def test_round_robin_against_a_loop(spark):
+    from tidewater.plans import bundles
+
+    t = pricing.tasks(spark, SF).collect()
+    lists = [[r["id"] for r in sorted(t, key=lambda r: (-r[c], r["id"]))] for c in ("price", "quota", "credit")]
+    want, turn = [], 0
+    while len(want) < min(12, len(t)):
+        want.append((len(want) + 1, turn % 3, next(i for i in lists[turn % 3] if i not in {w[2] for w in want})))
+        turn += 1
+    assert sorted(map(tuple, bundles.round_robin(spark, SF).collect())) == want
+
+
+def test_marginal_effects_as_numpy(spark):
+    from tidewater.operators import models
+    from tidewater.plans import samples
+    from tidewater.sources.tables import answers
+
+    rows = answers(spark, LARGER).select("y", "size", "lang").toPandas()
+    x = np.column_stack([np.ones(len(rows)), rows["size"], rows["lang"] == "en"]).astype(float)
+    b = np.zeros(3)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-x @ b))
+        held = np.diag([0.0, 1.0, 1.0])
+        b = b + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + held, x.T @ (rows["y"] - p) - held @ b)
+    at = lambda e: 1 / (1 + np.exp(-(b[0] + b[1] * rows["size"] + b[2] * e)))
+    p = at(x[:, 2])
+    r = samples.marginal_effects(spark, LARGER).first()
+    want = (at(0).mean(), at(1).mean(), at(1).mean() - at(0).mean(), (p * (1 - p) * b[1]).mean())
+    assert models and all(abs(a - w) < 2e-6 for a, w in zip(r, want))
+
+
+def test_factor_bootstrap_against_its_statistic(spark):
+    from tidewater.plans import glass, samples
+
+    r = samples.factor_bootstrap(spark, LARGER).first()
+    assert abs(r["chi2"] - glass.chi_square(spark, LARGER).first()["chi2"]) < 1e-4 and 1 / 201 - 1e-6 <= r["p"] <= 1
+
+
 def test_principal_scores_as_numpy(spark):
     rows = sorted((r["id"], r["c"]) for r in glass.ratios(spark, SF).collect())
     x = np.array([c for _, c in rows])
