@@ -36,7 +36,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet, row, cells (text by column letters) of xlsx files: each file is opened in the task that
+    """path, sheet, number (of the sheet), row, cells (text by column letters) of xlsx files: each file is opened in the task that
     reads it, rows come out in batches. Numbers and dates stay as they are stored."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +54,7 @@ def workbooks(spark: SparkSession, path: str) -> DataFrame:
                     shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
                 names = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
                 sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
-                for name, sheet in zip(names, sheets):
+                for place, (name, sheet) in enumerate(zip(names, sheets), 1):
                     out = []
                     for r in ET.fromstring(z.read(sheet)).iter(f"{ns}row"):
                         cells = {}
@@ -63,15 +63,15 @@ def workbooks(spark: SparkSession, path: str) -> DataFrame:
                             text = "".join(t.text or "" for t in c.iter(f"{ns}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
                             if text is not None:
                                 cells[re.match(r"[A-Z]+", c.get("r"))[0]] = shared[int(text)] if c.get("t") == "s" else text
-                        out.append((at, name, int(r.get("r")), cells))
+                        out.append((at, name, place, int(r.get("r")), cells))
                         if len(out) == 5000:
-                            yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"])
+                            yield pd.DataFrame(out, columns=["path", "sheet", "number", "row", "cells"])
                             out = []
                     if out:
-                        yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"])
+                        yield pd.DataFrame(out, columns=["path", "sheet", "number", "row", "cells"])
 
     b = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return b.mapInPandas(rows, "path string, sheet string, row int, cells map<string,string>")
+    return b.mapInPandas(rows, "path string, sheet string, number int, row int, cells map<string,string>")
 
 
 def clock(cell: str) -> Column:
