@@ -4,9 +4,10 @@ re-labellings. Random choices come from digests of ids, so that every run, and S
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.digests import digest, digest_sql
 from tidewater.operators import compositions as comp
 from tidewater.operators import models, ranks
 from tidewater.plans.common import Plan
@@ -18,16 +19,6 @@ query = plan.query
 QUERIES, ORACLES = plan.queries, plan.oracles
 
 
-def digest(*keys: Column) -> Column:
-    """A number below 2 ** 48 from the keys' text."""
-    text = F.concat_ws("/", *[k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
-
-
-def digest_sql(*keys: str) -> str:
-    return f"('0x' || substr(md5({' || chr(47) || '.join(f'({k})::VARCHAR' for k in keys)}), 1, 12))::BIGINT"
-
-
 @query("""WITH s AS (SELECT vec_id AS id, round(30 * list_sum([abs(v::DOUBLE) FOR v IN embedding[1:14]]), 6) AS total FROM embeddings)
 SELECT id, total, total BETWEEN 25 AND 55 AS valid, CASE WHEN total < 25 THEN 'low' WHEN total > 55 THEN 'high' ELSE 'valid' END AS state FROM s""")
 def valid_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

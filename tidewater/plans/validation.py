@@ -7,10 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.digests import digest, digest_sql
 from tidewater.operators import forecast, ordered, signals
 from tidewater.plans.common import Plan
 from tidewater.plans.river import CAL_SQL, MONTHS_SQL, PAIRS_SQL, POOL_SQL, calendar, months, pool
-from tidewater.sources.tables import HYDRO_SQL, hydro, table
+from tidewater.sources.tables import HYDRO_SQL, LANES_SQL, hydro, lane_days, table
 
 plan = Plan()
 query = plan.query
@@ -306,3 +307,27 @@ def block_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = slots.withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2))))).where("slot * 3 + k < n").select("station", (F.pmod(digest, F.greatest(F.lit(1).cast("long"), F.col("n") - 2)) + F.col("k")).cast("int").alias("i"))
     g = drawn.join(d.select("station", "i", "flow"), ["station", "i"])
     return g.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("flow"), 6).alias("mean"), F.round(F.min("flow"), 6).alias("low"), F.round(F.max("flow"), 6).alias("high"))
+
+
+YEAR_SQL = LANES_SQL + f""", dv AS (SELECT year(day)::INT AS year, day, sum(volume) AS v FROM lanes WHERE year(day) <= 2000 GROUP BY ALL), di AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY year) AS n FROM dv),
+kl AS (SELECT unnest([1, 3, 7]) AS k), bl AS (SELECT k, year, i, n, sum(v) OVER (PARTITION BY k, year ORDER BY i ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS t7, sum(v) OVER (PARTITION BY k, year ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS t3, v AS t1 FROM di, kl),
+po AS (SELECT k, year, i, n, CASE k WHEN 1 THEN t1 WHEN 3 THEN t3 ELSE t7 END AS t FROM bl WHERE i <= n - k), sz AS (SELECT k, year, any_value(n) AS n FROM po GROUP BY ALL),
+dw AS (SELECT k, year, n, d, unnest(range(0, (n + k - 1) // k)) AS s FROM sz, range(1, 501) r(d)), at AS (SELECT k, year, d, {digest_sql("year", "k", "d", "s")} % (n - k + 1) AS i FROM dw),
+tt AS (SELECT k, year, d, sum(t) AS total FROM at JOIN po USING (k, year, i) GROUP BY ALL)"""
+
+
+@query(f"WITH {YEAR_SQL} SELECT k::INT AS days, year, count(*) AS draws, round(avg(total), 4) AS mean, round(quantile_cont(total, 0.025), 4) AS low, round(quantile_cont(total, 0.975), 4) AS high FROM tt GROUP BY ALL")
+def year_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year's total from 500 draws of blocks of 1, 3 and 7 days out of the year, as many as fill it, and its
+    95 % interval. Draws come from digests; a block drawn often by one draw is joined once."""
+    own = Window.partitionBy("year").orderBy("day")
+    days = lane_days(spark, sf_dir).where(F.year("day") <= 2000).groupBy(F.year("day").alias("year"), "day").agg(F.sum("volume").alias("v"))
+    days = days.withColumns({"i": (F.row_number().over(own) - 1).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy("year"))})
+    days = days.withColumns({f"t{k}": F.sum("v").over(own.rowsBetween(0, k - 1)) for k in (1, 3, 7)})
+    pool = days.select("year", "i", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"t{k}").alias("t")) for k in (1, 3, 7)])).alias("b")).select("b.k", "year", "i", "n", "b.t").where("i <= n - k")
+    sizes = pool.select("k", "year", "n").distinct()
+    drawn = sizes.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(500)))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + F.col("k") - 1) / F.col("k")) - 1)))
+    at = drawn.select("k", "year", "d", F.pmod(digest(F.col("year"), F.col("k"), F.col("d"), F.col("s")), F.col("n") - F.col("k") + 1).alias("i"))
+    at = at.groupBy("k", "year", "d", "i").agg(F.count(F.lit(1)).alias("w"))
+    sums = at.join(pool.select("k", "year", "i", "t"), ["k", "year", "i"]).groupBy("k", "year", "d").agg(F.sum(F.col("t") * F.col("w")).alias("total"))
+    return sums.groupBy(F.col("k").alias("days"), "year").agg(F.count(F.lit(1)).alias("draws"), F.round(F.avg("total"), 4).alias("mean"), F.round(F.percentile("total", 0.025), 4).alias("low"), F.round(F.percentile("total", 0.975), 4).alias("high"))
