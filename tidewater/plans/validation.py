@@ -312,8 +312,8 @@ def block_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 YEAR_SQL = LANES_SQL + f""", dv AS (SELECT year(day)::INT AS year, day, sum(volume) AS v FROM lanes WHERE year(day) <= 2000 GROUP BY ALL), di AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY year) AS n FROM dv),
 kl AS (SELECT unnest([1, 3, 7]) AS k), bl AS (SELECT k, year, i, n, sum(v) OVER (PARTITION BY k, year ORDER BY i ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS t7, sum(v) OVER (PARTITION BY k, year ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS t3, v AS t1 FROM di, kl),
 po AS (SELECT k, year, i, n, CASE k WHEN 1 THEN t1 WHEN 3 THEN t3 ELSE t7 END AS t FROM bl WHERE i <= n - k), sz AS (SELECT k, year, any_value(n) AS n FROM po GROUP BY ALL),
-dw AS (SELECT k, year, n, d, unnest(range(0, (n + k - 1) // k)) AS s FROM sz, range(1, 501) r(d)), at AS (SELECT k, year, d, {digest_sql("year", "k", "d", "s")} % (n - k + 1) AS i FROM dw),
-tt AS (SELECT k, year, d, sum(t) AS total FROM at JOIN po USING (k, year, i) GROUP BY ALL)"""
+dw AS (SELECT k, year, n, d, unnest(range(0, (n + k - 1) // k)) AS s FROM sz, range(1, 501) r(d)), pk AS (SELECT k, year, d, {digest_sql("year", "k", "d", "s")} % (n - k + 1) AS i FROM dw),
+tt AS (SELECT k, year, d, sum(t) AS total FROM pk JOIN po USING (k, year, i) GROUP BY ALL)"""
 
 
 @query(f"WITH {YEAR_SQL} SELECT k::INT AS days, year, count(*) AS draws, round(avg(total), 4) AS mean, round(quantile_cont(total, 0.025), 4) AS low, round(quantile_cont(total, 0.975), 4) AS high FROM tt GROUP BY ALL")
