@@ -67,3 +67,6 @@ def test_decode_keeps_other_columns(spark, odd_docs, library):
     texts = sorted(r["text"] for r in odd_docs.where("text is not null").collect())
     assert sorted(r["text"] for r in back) == texts
     assert back[0].asDict().keys() == {"doc_id", "n_bytes", "text"}
+    empty = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert sorted((r["doc_id"], r["text"]) for r in decode(empty, PATH).collect()) == [(1, None), (2, "")]
+    assert decode(empty.limit(0), PATH).collect() == []

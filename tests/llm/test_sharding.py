@@ -1,9 +1,14 @@
 import hashlib
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
-from tidewater.llm.queries import SHARDS
+sys.path.insert(0, str(Path(__file__).parent))
+from oracle import same
+
+from tidewater.llm.queries import ORACLES, SHARDS, op5_sharding
 from tidewater.llm.sharding import SLOTS, filled, place, preference, write_shards
 
 
@@ -52,3 +57,14 @@ def test_bad_tables_are_refused():
     for shards, slots in (([], 307), (["a"], 306), (SHARDS, 307)):
         with pytest.raises(ValueError):
             filled(shards, slots)
+
+
+def test_against_sql(spark):
+    same(op5_sharding(spark, "/root/testdata/sf0.001"), ORACLES["op5_sharding"], "/root/testdata/sf0.001")
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), (None, 2, "y")], "shard string, slot int, _key string")
+    got = place(rows, "_key", SHARDS)
+    assert sorted(got.columns) == ["_key", "shard", "slot"] and got.count() == 2
+    assert place(rows, "slot", SHARDS).count() == 2

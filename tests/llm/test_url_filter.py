@@ -35,6 +35,18 @@ def test_many_rules_have_mistaken_keys_and_stay_exact(spark):
     assert got == sorted((plain(r.url, rules) for r in rows.collect()), key=str)
 
 
+def test_classes_of_hashes_and_clashing_names(spark, monkeypatch):
+    """A list beyond one class has a cascade for each: the same verdicts. Columns of the operator's own names stay."""
+    from tidewater.llm import url_filter
+
+    rules = [(f"h{i}.com", f"/p{i % 7}", ("allow", "block")[i % 3 == 0]) for i in range(0, 3000, 2)]
+    rows = spark.createDataFrame([(i, f"http://www.h{i}.com/p{i % 7 if i % 5 else 8}/x", "k", True) for i in range(6000)], "page_id long, url string, _keys string, _known boolean")
+    monkeypatch.setattr(url_filter, "CLASS", 200)
+    got = judge(rows, rules)
+    assert got.columns == ["page_id", "url", "_keys", "_known", "host", "path", "rule", "verdict"]
+    assert sorted(((r.url, r.host, r.path, r.rule, r.verdict) for r in got.collect()), key=str) == sorted((plain(r.url, rules) for r in rows.collect()), key=str)
+
+
 def test_cascade_tells_the_universe_exactly():
     keys = mixed(np.arange(1, 20001, dtype=np.uint64))
     listed, rest = keys[:1000], keys[1000:]

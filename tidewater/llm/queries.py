@@ -84,6 +84,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def _op5_sql() -> str:
+    """The table of slots as two hexadecimal digits each, as sharding.filled() fills it."""
+    table = "".join(f"{k:02x}" for k in sharding.filled(SHARDS).tolist())
+    return f"""
+WITH s AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {sharding.HEX}))::BIGINT % {sharding.SLOTS} AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad((('0x' || substr('{table}', 2 * slot + 1, 2))::INT)::VARCHAR, 3, '0') AS shard FROM s
+"""
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -124,4 +133,4 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_suffix_dedup, op4_toxicity, op5_sharding, op6_ngram_join, op7_packing, op8_token_counts, op9_media, op10_sentence_pieces)}
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_sharding": _op5_sql(), "op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL}

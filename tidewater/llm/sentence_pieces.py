@@ -243,8 +243,9 @@ def model(path: str) -> PieceModel:
 def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_bytes and ids (of the model at `path`) of each row's whole text.
 
-    Null text counts as empty: no ids. Null and repeated ids give a row each; other columns are not read.
-    Names of control pieces inside a text are ordinary text."""
+    Null text counts as empty: no ids. Null and repeated ids give a row each, an empty table none; a text of
+    any length is encoded whole, alone if it is longer than a block. Other columns are not read, whatever
+    their names. Names of control pieces inside a text are ordinary text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -262,7 +263,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """rows with the decoded text in place of the column of ids; null ids give a null text."""
+    """rows with the decoded text in place of the column of ids; null ids give a null text, empty lists an
+    empty one. Repeated rows give a row each, an empty table none; other columns are kept but for `text`."""
     rest = [c for c in rows.columns if c not in (ids, text)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +282,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
 
 def digests(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_bytes, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers) and
-    decoded_sha256 (of what decoding the ids gives) of each row, as encode() and decode() find them."""
+    decoded_sha256 (of what decoding the ids gives) of each row, as encode() and decode() find them.
+
+    Null text counts as empty: no ids, and what decodes from none. Null and repeated ids give a row each, an
+    empty table none; very long texts are whole. Other columns are not read."""
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)

@@ -14,6 +14,10 @@ bucket) and then by the identifier of all their bytes:
 - a run that is alone with its shared bytes is done;
 - the others are refined: first into runs of at most STEP strings, which share more bytes, then into
   single strings. What is left to refine gets rare fast.
+
+Runs count as the same where two identifiers of 64 bits are equal, that of the shared bytes and that of all
+bytes: only runs of one bucket are compared, so that a wrong match takes as many pairs within buckets as a
+64-bit number has values.
 """
 
 from __future__ import annotations
