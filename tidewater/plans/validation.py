@@ -11,6 +11,7 @@ from tidewater.functions.digests import digest, digest_sql
 from tidewater.operators import forecast, ordered, signals
 from tidewater.plans.common import Plan
 from tidewater.plans.river import CAL_SQL, MONTHS_SQL, PAIRS_SQL, POOL_SQL, calendar, months, pool
+from tidewater.sources.shared import written
 from tidewater.sources.tables import HYDRO_SQL, LANES_SQL, hydro, lane_days, table
 
 plan = Plan()
@@ -323,6 +324,7 @@ def year_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Window.partitionBy("year").orderBy("day")
     days = lane_days(spark, sf_dir).where(F.year("day") <= 2000).groupBy(F.year("day").alias("year"), "day").agg(F.sum("volume").alias("v"))
     days = days.withColumns({"i": (F.row_number().over(own) - 1).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy("year"))})
+    days = written(days, "year-days")  # a row for each day
     days = days.withColumns({f"t{k}": F.sum("v").over(own.rowsBetween(0, k - 1)) for k in (1, 3, 7)})
     pool = days.select("year", "i", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"t{k}").alias("t")) for k in (1, 3, 7)])).alias("b")).select("b.k", "year", "i", "n", "b.t").where("i <= n - k")
     sizes = pool.select("k", "year", "n").distinct()
