@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import dropped, written
 
 
+SALTS = 8  #: tasks that a node's neighbours are dealt to
+
+
 def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """Edges as a table, and what tells whether they are the same as another round's: found as they are written."""
     seen = Observation()
@@ -28,7 +31,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        # a node's many neighbours are dealt to several tasks, each of which gets the node's smallest one
+        least = least.withColumn("s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        salted = both.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = salted.join(least, ["a", "s"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         ties = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         before, last = now, state
