@@ -90,7 +90,7 @@ def written(fingerprint: np.ndarray) -> str:
     return base64.b64encode(fingerprint.astype("<u8").tobytes()).decode()
 
 
-def in_order(docs: DataFrame, rows_each: int = 2048, most: int = 1 << 20, each: int = 20) -> DataFrame:
+def in_order(docs: DataFrame, rows_each: int = 512, most: int = 1 << 20, each: int = 20) -> DataFrame:
     """bucket, extra, id, text: the rows dealt to buckets of neighbouring ids. A bucket ends with a copy
     (extra = 1) of the row that comes after its last one, in the last bucket of the first row of all, so
     that each bucket is worked on alone. Rows are ordered by id, nulls first, then by text.
