@@ -281,7 +281,7 @@ def season_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS_SQL}, t AS (SELECT * FROM points WHERE kind = 'task'), b AS (SELECT a.id AS i, b.id AS j, a.price + b.price AS price FROM t a JOIN t b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.1),
 f AS (SELECT i, min_by(j, (price, j)) AS j, min(price) AS price FROM b GROUP BY i), o AS (SELECT 'b' || i AS option, i::VARCHAR || ';' || j AS members, price, 2 AS n FROM f UNION ALL SELECT 's' || id, id::VARCHAR, price, 1 FROM t)
 SELECT option, unnest(string_split(members, ';'))::BIGINT AS task, round(price / n, 6) AS share FROM o""")
-def option_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def task_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single tasks and each task's cheapest bundle of two as options, and the tasks of every option with their
     part of its price."""
     t = tasks(spark, sf_dir).select("id", "x", "y", "price")
