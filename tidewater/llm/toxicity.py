@@ -26,9 +26,9 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)  #: lengths of word beginnings that are features
 LEAST = 3  #: toxic texts that a feature stands in
 PENALTY = 0.3  #: on half the squares of the field's weights
 SLACK = 1.0  #: standard deviations of a count that are not held for a sign
-BATCH = 300_000  #: words that the field learns from at once: some 30 MB of arrays
-PART = 500_000  #: code points that features are found in at once: some 50 MB of arrays
-BLOCK = 1_000_000  #: bytes scored at once: some 100 MB of arrays
+BATCH = 150_000  #: words that the field learns from at once: some 15 MB of arrays
+PART = 250_000  #: code points that features are found in at once: some 25 MB of arrays
+BLOCK = 500_000  #: bytes scored at once: some 50 MB of arrays
 
 
 @functools.cache
