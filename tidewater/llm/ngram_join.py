@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import M1, blocks, dropped, grouped, keyed, mixed, utf8, written
-from tidewater.llm.components import connected_components
+from tidewater.llm.components import SALTS, connected_components
 from tidewater.llm.shingles import set_marks, shingle_sets
 
 BLOCK = 2_000_000
@@ -332,7 +332,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     sums = links.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = classes.withColumn("node", F.concat_ws(":", "f1", "f2")).join(roots, "node", "left").join(sums, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
-    known = nodes.join(least, "root").select("f1", "f2", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # a component's many members are dealt to several tasks
+    least = least.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    nodes = nodes.withColumn("_salt", F.pmod("f2", F.lit(SALTS)).cast("int"))
+    known = nodes.join(least, ["root", "_salt"]).select("f1", "f2", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = texts.join(known, ["f1", "f2"], "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
 
