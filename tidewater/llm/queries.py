@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.llm import fingerprints, sentence_pieces, sharding, toxicity, url_filter
+from tidewater.llm.collocations import collocations
 from tidewater.llm.common import read
+from tidewater.llm.decontamination import contamination
+from tidewater.llm.lexical_search import ranked
 from tidewater.llm.media import media_round_trip
 from tidewater.llm.ngram_join import near_duplicates
 from tidewater.llm.packing import pack
@@ -132,5 +136,95 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_suffix_dedup, op4_toxicity, op5_sharding, op6_ngram_join, op7_packing, op8_token_counts, op9_media, op10_sentence_pieces)}
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_sharding": _op5_sql(), "op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS w FROM dfs, totals),
+lengths AS (SELECT doc_id, 50 + (50 * n * big_n) // big_l AS m FROM sizes, totals),
+scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (doc_id) GROUP BY ALL),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 50
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+ones AS (SELECT lang, w[i] AS x, count(*) AS f FROM places GROUP BY ALL),
+twos AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM places WHERE i + 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+threes AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM places WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM ones GROUP BY lang),
+covers AS (
+    SELECT lang, x, y, max(f) AS f
+    FROM (SELECT lang, x, y, f FROM threes UNION ALL SELECT lang, y, z, f FROM threes) GROUP BY ALL),
+cuts AS (
+    SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r
+    FROM twos t JOIN ones p ON p.lang = t.lang AND p.x = t.x JOIN ones q ON q.lang = t.lang AND q.x = t.y
+        LEFT JOIN covers c ON c.lang = t.lang AND c.x = t.x AND c.y = t.y
+    WHERE c.f IS NULL OR 100 * c.f < 50 * t.f
+    UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, q.f
+    FROM threes t JOIN ones p ON p.lang = t.lang AND p.x = t.x JOIN twos q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+    UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, q.f
+    FROM threes t JOIN twos p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN ones q ON q.lang = t.lang AND q.x = t.z),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS c FROM scored),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least WHERE c = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranks JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.expr("aggregate(spans, 0L, (s, x) -> s + (x.end - x.start))")
+    items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP13_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS s, least(10, len(w)) AS m FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM windows),
+places AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM texts, sizes WHERE len(w) >= m),
+hits AS (SELECT doc_id, i, m, item_id FROM places p JOIN windows USING (m) WHERE array_to_string(p.w[i:i + m - 1], ' ') = s),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS j FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_suffix_dedup, op4_toxicity, op5_sharding, op6_ngram_join, op7_packing, op8_token_counts, op9_media, op10_sentence_pieces, op11_lexical_search, op12_collocations, op13_decontamination)}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_sharding": _op5_sql(), "op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op11_lexical_search": OP11_SQL, "op12_collocations": OP12_SQL, "op13_decontamination": OP13_SQL}
