@@ -27,6 +27,8 @@ SHARD = 32_000_000  #: bytes of text of one language in a shard
 PART = 3_000_000  #: bytes that are worked on at once
 HOT = 1_000  #: a word of more than one in so many of a table's words has an identifier below 0
 SALTS = 64  #: parts of a pair of two such words
+#: Exact: squares of numbers of 16 digits times a million have 38 digits.
+SCORE = "cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * 1000000BD div (cast({} as decimal(19,0)) * cast({} as decimal(19,0)))"
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -202,9 +204,7 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, cover: int
     triple = triple.select(
         F.col("lang_a").alias("lang"), F.concat_ws(" ", "word_a", "word_b", "word_c").alias("phrase"), F.col("n").alias("a"), F.col("f_a").alias("l"), F.col("bc").alias("r"), F.col("ab").alias("l2"), F.col("f_c").alias("r2")
     )
-    # exact: squares of up to 16 digits times a million have 38 digits
-    score = "cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * 1000000BD div (cast({} as decimal(19,0)) * cast({} as decimal(19,0)))"
-    both = two.unionByName(triple).withColumns({"s1": F.expr(score.format("l", "r")), "s2": F.expr(score.format("l2", "r2"))})
+    both = two.unionByName(triple).withColumns({"s1": F.expr(SCORE.format("l", "r")), "s2": F.expr(SCORE.format("l2", "r2"))})
     other = F.col("s2") < F.col("s1")
     both = both.select(
         "lang", "phrase", "a", F.when(other, F.col("l2")).otherwise(F.col("l")).alias("l"), F.when(other, F.col("r2")).otherwise(F.col("r")).alias("r"), F.when(other, F.col("s2")).otherwise(F.col("s1")).alias("score")

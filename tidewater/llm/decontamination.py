@@ -43,7 +43,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     key = np.zeros(len(text), np.int64)
     for k in range(depth):
         key <<= bits
-        key[: len(text) - k] |= rank[k:]
+        key[: max(0, len(text) - k)] |= rank[k:]
     order = np.argsort(key)
     key = key[order]
     fresh = np.append(True, key[1:] != key[:-1])
