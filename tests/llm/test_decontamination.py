@@ -64,7 +64,7 @@ def test_small_shards_and_a_long_text(spark, monkeypatch):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(9999, "lorem " * 50_000 + items.first().text)], "doc_id long, text string"))
     want = plain(docs.collect(), items.collect(), 10)
-    assert sum(bool(s) for _, _, s, _ in want) > 5
+    assert sum(bool(s) for _, _, s, _ in want) > 3
     for size in (6_000_000, 30_000):
         monkeypatch.setattr(m, "SHARD", size)
         assert rows(m.contamination(docs, items)) == want
