@@ -78,19 +78,6 @@ def best_threshold(df: DataFrame, score: str, y: str, *by: str) -> DataFrame:
     return best.select(*by, (-F.col("b.t")).alias("threshold"), "b.youden", "b.accuracy")
 
 
-def permuted(df: DataFrame, id: str, flag: str, value: str, draws: int, *by: str) -> DataFrame:
-    """by..., difference, p: the difference of means between flagged and other rows, and how often a random
-    flagging of as many rows makes it as large. Orders come from hashes, the same in every run."""
-    keys = list(by)
-    base = df.groupBy(*keys).agg((F.avg(F.when(F.col(flag) == 1, F.col(value))) - F.avg(F.when(F.col(flag) == 0, F.col(value)))).alias("difference"), F.sum(F.col(flag).cast("long")).alias("_k"), F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_all"))
-    rows = df.select(*keys, id, value).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(F.xxhash64(id, "draw"), id)))
-    rows = rows.join(base, keys) if keys else rows.join(F.broadcast(base))
-    sums = rows.where("_place <= _k").groupBy(*keys, "draw", "difference", "_k", "_n", "_all").agg(F.sum(value).alias("_s"))
-    made = F.col("_s") / F.col("_k") - (F.col("_all") - F.col("_s")) / (F.col("_n") - F.col("_k"))
-    return sums.groupBy(*keys, "difference").agg(((F.count_if(F.abs(made) >= F.abs("difference") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
-
-
 def silhouettes(rows: DataFrame, id: str, group: str, values: str, each: int = 256) -> DataFrame:
     """id, group, silhouette under Euclidean distances. By definition every row meets every other one: rows
     are dealt to blocks of about `each`, and a task adds up the distances between two blocks, so that what

@@ -187,14 +187,6 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("source", "n", "hits", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query()
-def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of log-ratios between weathered and clean samples, by 200 random flaggings, adjusted."""
-    rows = comp.long(ratios(spark, sf_dir), "c", "id", "weathered")
-    r = comp.permuted(rows, "id", "weathered", "v", 200, "part")
-    return ranks.adjusted_p(r.withColumn("g", F.lit(0)), "p", ["g"], "q").drop("g").withColumn("difference", F.round("difference", 9))
-
-
 @query()
 def pca2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sample's place on the two directions of most variance."""

@@ -160,28 +160,6 @@ def pseudocounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-PERMUTE_SQL = CLR_SQL + f""", ids AS (SELECT DISTINCT id, glass FROM clr), dr AS (SELECT id, k, CASE WHEN k = 0 THEN glass ELSE {digest_sql("id", "k")} % 2 END AS g FROM ids, range(0, 21) r(k)),
-pr AS (SELECT a.id, a.part AS i, b.part AS j, a.c AS x, b.c AS y FROM clr a JOIN clr b ON a.id = b.id AND a.part < b.part AND b.part <= 6),
-rr AS (SELECT k, i, j, g, corr(x, y) AS r FROM pr JOIN dr USING (id) GROUP BY ALL), df AS (SELECT k, i, j, max(CASE WHEN g = 0 THEN r END) - max(CASE WHEN g = 1 THEN r END) AS d FROM rr GROUP BY ALL),
-p AS (SELECT i, j, max(CASE WHEN k = 0 THEN d END) AS difference, (count(*) FILTER (k > 0 AND abs(d) >= abs((SELECT d FROM df z WHERE z.k = 0 AND z.i = df.i AND z.j = df.j)) - 1e-12) + 1) / 21.0::DOUBLE AS p FROM df GROUP BY i, j),
-q AS (SELECT *, row_number() OVER (ORDER BY p, i, j) AS rk, count(*) OVER () AS m FROM p)"""
-
-
-@query(f"WITH {PERMUTE_SQL} SELECT i::INT AS i, j::INT AS j, round(difference, 6) AS difference, round(p, 6) AS p, round(least(1, min(p * m / rk) OVER (ORDER BY rk DESC)), 6) AS q FROM q")
-def correlation_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of the types' correlations of the first six parts, held against 20 random labellings and
-    adjusted. All labellings are sums of one pass; the table of pairs has 15 rows."""
-    rows = ratios(spark, sf_dir).select("id", "glass", "c").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    rows = rows.withColumn("g", F.when(F.col("k") == 0, F.col("glass").cast("long")).otherwise(F.pmod(digest(F.col("id"), F.col("k")), F.lit(2))))
-    r = comp.pairs(rows, "c", 6, "k", "g")
-    d = r.groupBy("k", "i", "j").agg((F.max(F.when(F.col("g") == 0, F.col("r"))) - F.max(F.when(F.col("g") == 1, F.col("r")))).alias("d"))
-    d = d.withColumn("difference", F.max(F.when(F.col("k") == 0, F.col("d"))).over(Window.partitionBy("i", "j")))
-    p = d.groupBy("i", "j", "difference").agg(((F.count_if((F.col("k") > 0) & (F.abs("d") >= F.abs("difference") - 1e-12)) + 1) / F.lit(21.0)).alias("p"))
-    # ties in p give the same adjusted value in any order
-    q = ranks.adjusted_p(p.withColumn("all", F.lit(1)), "p", ["all"], "q")
-    return q.select("i", "j", F.round("difference", 6).alias("difference"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
-
-
 @query(f"""WITH {CENTRE_SQL}, m AS (SELECT *, margin / 14 AS unit FROM two) SELECT id, predicted, round(margin, 6) AS margin, CASE WHEN unit >= 0.2 THEN 'high' WHEN unit >= 0.05 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN unit < 0.01 THEN 'undecided' WHEN predicted = glass THEN 'agrees' ELSE 'differs' END AS decision FROM m""")
 def candidate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sample's candidate type by the nearest centre, how sure its margin makes it, and whether that is
@@ -247,23 +225,6 @@ def marginal_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.round("others", 6).alias("others"), F.round("english", 6).alias("english"), F.round(F.col("english") - F.col("others"), 6).alias("difference"), F.round("size_effect", 6).alias("size_effect"))
 
 
-@query()
-def factor_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chi2 of language and quality, held against 200 tables drawn as if they had nothing to do with each
-    other: each row's quality is drawn from its digest at the common rate. All draws are sums of one pass."""
-    rows = answers(spark, sf_dir).select("doc_id", "lang", "y")
-    rate = rows.agg(F.avg("y").alias("rate"))  # one row
-    drawn = rows.join(F.broadcast(rate)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(200))))
-    u = digest(F.col("doc_id"), F.lit("f"), F.col("draw")) / F.lit(float(1 << 48))
-    drawn = drawn.withColumn("y", F.when(F.col("draw") == 0, F.col("y")).otherwise((u < F.col("rate")).cast("int")))
-    t = drawn.groupBy("draw", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("double")).alias("hits"))
-    own = Window.partitionBy("draw")
-    q = F.sum("hits").over(own) / F.sum("n").over(own)
-    chi = t.withColumn("q", q).groupBy("draw").agg(F.sum(F.pow(F.col("hits") - F.col("n") * F.col("q"), F.lit(2)) / F.nullif(F.col("n") * F.col("q") * (1 - F.col("q")), F.lit(0.0))).alias("chi2"))
-    base = chi.withColumn("base", F.max(F.when(F.col("draw") == 0, F.col("chi2"))).over(Window.partitionBy()))  # a row for each of 201 draws
-    return base.groupBy("base").agg(((F.count_if((F.col("draw") > 0) & (F.col("chi2") >= F.col("base") - 1e-9)) + 1) / F.lit(201.0)).alias("p")).select(F.round("base", 6).alias("chi2"), F.round("p", 6).alias("p"))
-
-
 def exact_bounds(hits: int, n: int, level: float = 0.05) -> tuple[float, float]:
     """Clopper and Pearson's interval by bisection of the binomial tails, in logs."""
     from math import lgamma
