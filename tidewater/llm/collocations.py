@@ -102,15 +102,16 @@ class Automaton(NamedTuple):
         ends = np.flatnonzero(sequence)
         symbols, alive = [], np.ones(len(ends), bool)
         for k in range(depth):  # the last symbol first; 0 where the part began later
-            symbol = np.where(alive & (ends >= k), sequence[np.maximum(ends - k, 0)], 0)
+            symbol = np.where(alive & (ends >= k), sequence[np.maximum(ends - k, 0)], sequence.dtype.type(0))
             alive &= symbol > 0
             symbols.append(symbol)
         bits = max(1, int(sequence.max(initial=0)).bit_length())
         if depth * bits < 64:
-            key = symbols[0]
+            key = symbols[0].astype(np.int64)
             for x in symbols[1:]:
                 key = key << bits | x
-            order = np.argsort(key)
+            order = np.argsort(key).astype(np.int32 if len(key) < 1 << 31 else np.int64)
+            del key
         else:
             order = np.lexsort(symbols[::-1])
         ends = ends[order]
@@ -141,7 +142,7 @@ class Automaton(NamedTuple):
 
 
 def phrases(known: DataFrame) -> DataFrame:
-    """a, b, c, n, pair of each state of two words (a is 0) or three, by shard: identifiers of its longest
+    """a, b, c, n, pair of each state of two words (a and n are 0) or three, by shard: identifiers of its longest
     substring's words, its count, and the count again where it is its last two words' state too. Rows of known:
     a shard's sequence, and the identifier of each of its words (`each`; 0 for words that no phrase told has,
     which part the pieces as their ends do)."""
@@ -149,9 +150,9 @@ def phrases(known: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                sequence = np.frombuffer(batch.column(0)[k].as_buffer(), np.uint32).astype(np.int64)
+                sequence = np.frombuffer(batch.column(0)[k].as_buffer(), np.uint32)
                 ids = np.append(0, batch.column(1).slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                dense = np.cumsum(ids != 0) * (ids != 0)
+                dense = np.cumsum(ids != 0, dtype=np.int32) * (ids != 0)
                 states = Automaton.of(dense[sequence])
                 more = np.flatnonzero(states.length >= 2)
                 pair = states.shortest() <= 2
@@ -159,7 +160,8 @@ def phrases(known: DataFrame) -> DataFrame:
                     at = more[lo : lo + 500_000]
                     place, n = states.place[at], states.count[at]
                     third = np.where(states.length[at] == 3, ids[sequence[np.maximum(place - 2, 0)]], 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (third, ids[sequence[place - 1]], ids[sequence[place]], n, np.where(pair[at], n, 0))], names=["a", "b", "c", "n", "pair"])
+                    columns = (third, ids[sequence[place - 1]], ids[sequence[place]], np.where(third != 0, n, 0), np.where(pair[at], n, 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "c", "n", "pair"])
 
     return known.mapInArrow(run, "a long, b long, c long, n long, pair long")
 
@@ -184,12 +186,13 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, cover: int
     each = each.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("id", F.lit(0)).alias("id")))), lambda x: x["id"]).alias("each"))
     each = written(each, "phrase-numbers", compression="zstd")
     told = phrases(cut.join(each, "shard").select("sequence", "each"))
-    # a phrase of three goes where its suffix of two does; pairs of two very frequent words in parts by the third
+    # a phrase of three goes where its suffix of two does; pairs of two very frequent words in parts by the third.
+    # Both uses of the sums read the same columns and filter by sums alone, so that there is one shuffle.
     salt = F.when((F.col("b") < 0) & (F.col("c") < 0), 1 + F.pmod(F.xxhash64("a"), F.lit(SALTS))).otherwise(0)
     told = told.withColumn("salt", salt).repartition("b", "c", "salt").groupBy("b", "c", "salt", "a").agg(F.sum("n").alias("n"), F.sum("pair").alias("pair"))
-    three = (F.col("a") != 0) & (F.col("n") >= least)
+    three = F.col("n") >= least
     pairs = told.groupBy("b", "c", "salt").agg(F.sum("pair").alias("n"), F.max(F.when(three, F.col("n"))).alias("most")).where((F.col("salt") != 0) | (F.col("n") >= least))
-    rows = written(told.where(three).select("a", "b", "c", "n", F.lit(None).cast("long").alias("most")).unionByName(pairs.select(F.lit(0).cast("long").alias("a"), "b", "c", "n", "most")), "phrase-counts", compression="zstd")
+    rows = written(told.where(three).select("a", "b", "c", "n", F.col("pair").alias("most")).unionByName(pairs.select(F.lit(0).cast("long").alias("a"), "b", "c", "n", "most")), "phrase-counts", compression="zstd")
     triples = rows.where("a != 0").drop("most")
     pairs = rows.where("a = 0").groupBy("b", "c").agg(F.sum("n").alias("n"), F.max("most").alias("most")).where(F.col("n") >= least)
     prefixes = triples.groupBy(F.col("a").alias("b"), F.col("b").alias("c")).agg(F.max("n").alias("more"))
