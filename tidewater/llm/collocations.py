@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import blocks, dropped, utf8, written
+from tidewater.llm.common import blocks, utf8, written
 from tidewater.llm.tokens import BREAK, INSIDE, distinct_words, word_spans
 
 SHARD = 32_000_000  #: bytes of text of one language in a shard
 PART = 3_000_000  #: bytes that are worked on at once
 HOT = 1_000  #: a word of more than one in so many of a table's words has an identifier below 0
-SALTS = 64  #: parts of a pair of two such words
+SALTS = 64  #: parts of a pair of two such words, and of a language's phrases
 #: Exact: squares of numbers of 16 digits times a million have 38 digits.
 SCORE = "cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * 1000000BD div (cast({} as decimal(19,0)) * cast({} as decimal(19,0)))"
 
@@ -212,6 +212,8 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, cover: int
     both = both.select(
         "lang", "phrase", "a", F.when(other, F.col("l2")).otherwise(F.col("l")).alias("l"), F.when(other, F.col("r2")).otherwise(F.col("r")).alias("r"), F.when(other, F.col("s2")).otherwise(F.col("s1")).alias("score")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
-    return top.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # first within parts of a language, then in all of it: no task gets all phrases of one
+    for keys in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        both = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    return both.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
