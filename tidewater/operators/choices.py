@@ -104,19 +104,3 @@ def merged_centres(centres: list[tuple[list[float], int]]) -> list[tuple[int, in
         out.append((a, b, cost))
         fresh_id += 1
     return out
-
-
-def bootstrapped_slope(df: DataFrame, id: str, x: str, y: str, draws: int) -> DataFrame:
-    """mean, low, high of the slope over `draws` resamples: each row counts a Poisson number of times, told by
-    a hash of its id, so that a draw is a sum and nothing is shuffled but sums."""
-    u = (F.pmod(F.xxhash64(id, "draw"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    cuts, p, c = [], np.exp(-1.0), 0.0
-    for k in range(7):
-        c += p
-        p /= k + 1
-        cuts.append(float(c))
-    w = reduce(Column.__add__, [(u > c).cast("int") for c in cuts])
-    rows = df.select(id, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", w)
-    s = rows.groupBy("draw").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"))
-    slope = (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"))
-    return s.select(slope.alias("s")).agg(F.avg("s").alias("mean"), F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))

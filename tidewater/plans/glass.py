@@ -196,20 +196,6 @@ def pca2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", *[F.round(score(v), 6).alias(f"pc{i + 1}") for i, v in enumerate(vectors)], *[F.lit(round(float(s), 6)).alias(f"share{i + 1}") for i, s in enumerate(share)])
 
 
-@query()
-def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the log-ratios for k from 2 to 4, with the silhouette that chooses among them."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    rows = ratios(spark, sf_dir).select("id", array_to_vector("c").alias("features"))
-    fits = [(k, KMeans(k=k, seed=7, maxIter=30).fit(rows).transform(rows)) for k in (2, 3, 4)]
-    score = {k: ClusteringEvaluator().evaluate(f) for k, f in fits}
-    best = max(score, key=lambda k: (score[k], -k))
-    return dict(fits)[best].select("id", F.col("prediction").alias("cluster"), F.lit(best).alias("k"), F.lit(round(score[best], 6)).alias("silhouette"))
-
-
 @query(f"""WITH {CLR_SQL}, d AS (SELECT a.id, a.glass, b.id AS o, b.glass AS g, sqrt(sum((a.c - b.c) ** 2)) AS d FROM clr a JOIN clr b USING (part) GROUP BY ALL), m AS (SELECT id, glass, g, CASE WHEN glass = g AND count(*) = 1 THEN 0 ELSE sum(d) / (CASE WHEN glass = g THEN count(*) - 1 ELSE count(*) END) END AS m FROM d GROUP BY id, glass, g),
 s AS (SELECT id, glass, max(CASE WHEN g = glass THEN m END) AS a, min(CASE WHEN g <> glass THEN m END) AS b FROM m GROUP BY ALL) SELECT id, glass, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""")
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:

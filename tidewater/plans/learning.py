@@ -170,13 +170,6 @@ def slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).agg(F.round(F.regr_slope("y", "size"), 6).alias("slope"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def slope_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slope's interval over 400 resamples."""
-    r = choices.bootstrapped_slope(answers(spark, sf_dir), "doc_id", "size", "y", 400)
-    return r.select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
-
-
 @query()
 def sobol_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 designs that fill the ranges of pitch and radius, rounded, duplicates dropped by a hash."""

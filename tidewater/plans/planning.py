@@ -108,16 +108,6 @@ def pruning_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where(F.col("k").isin(50, 100, 200, 400)).select(F.col("k").cast("long").alias("removed"), kept.alias("kept"), F.round(left, 4).alias("power"), F.round(left / kept, 6).alias("mean"))
 
 
-@query()
-def likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether two features say more than none: twice the gain in log-likelihood, and its chance for two
-    degrees of freedom."""
-    x = answers(spark, sf_dir).select("y", F.col("size").alias("a"), (F.col("lang") == "en").cast("double").alias("b"))
-    fits = [models.logistic(x, names, "y") for names in ([], ["a", "b"])]
-    ll = [F.sum(F.col("y") * F.log(models.sigmoid(m.column())) + (1 - F.col("y")) * F.log(1 - models.sigmoid(m.column()))) for m in fits]
-    return x.agg((2 * (ll[1] - ll[0])).alias("statistic")).select(F.round("statistic", 6).alias("statistic"), F.round(F.exp(-F.col("statistic") / 2), 6).alias("p"))
-
-
 @query(f"""WITH {pricing.POINTS_SQL}, g AS (SELECT floor(x / 0.5)::BIGINT AS i, floor(y / 0.5)::BIGINT AS j, count(*) AS n, avg(x) AS cx, avg(y) AS cy, sqrt(var_pop(x) + var_pop(y)) AS spread, sum(price) AS price, avg(completed) AS rate FROM points WHERE kind = 'task' GROUP BY 1, 2)
 SELECT i, j, n, round(cx, 6) AS cx, round(cy, 6) AS cy, round(spread, 6) AS spread, round(price, 4) AS price, round(rate, 6) AS rate, round(greatest(0, 0.38 * ln(n) + 0.12 * greatest(0, 1 - spread / 0.5) - 0.025 * (n - 1) ** 2), 6) AS bonus FROM g""")
 def cell_packages(spark: SparkSession, sf_dir: str) -> DataFrame:

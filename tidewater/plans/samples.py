@@ -29,36 +29,6 @@ def valid_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", "total", F.col("total").between(25, 55).alias("valid"), state.alias("state"))
 
 
-NAME_SQL = "CASE WHEN p1 >= 10 THEN 'rich' WHEN p2 >= p3 + 1 THEN 'second' WHEN p3 >= p2 + 1 THEN 'third' ELSE 'mixed' END"
-SUBCLASS_SQL = COMP_SQL + f""", wide AS (SELECT id, glass, id % 4 AS sub, max(CASE WHEN part = 1 THEN v END) AS p1, max(CASE WHEN part = 2 THEN v END) AS p2, max(CASE WHEN part = 3 THEN v END) AS p3 FROM comp GROUP BY ALL),
-centres AS (SELECT glass, sub, count(*) AS n, median(p1) AS p1, median(p2) AS p2, median(p3) AS p3 FROM wide GROUP BY ALL)"""
-
-
-@query(f"WITH {SUBCLASS_SQL} SELECT glass, sub, n, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, {NAME_SQL} AS name FROM centres")
-def subclass_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median centres of subclasses, named by the first rule that fits."""
-    part = lambda i: F.element_at("parts", i)
-    wide = composition(spark, sf_dir).select("glass", F.pmod("id", F.lit(4)).alias("sub"), part(1).alias("p1"), part(2).alias("p2"), part(3).alias("p3"))
-    c = wide.groupBy("glass", "sub").agg(F.count(F.lit(1)).alias("n"))
-    for p in ("p1", "p2", "p3"):
-        c = c.join(ranks.quantiles(wide, ["glass", "sub"], p, {p: 0.5}), ["glass", "sub"])
-    name = F.when(F.col("p1") >= 10, "rich").when(F.col("p2") >= F.col("p3") + 1, "second").when(F.col("p3") >= F.col("p2") + 1, "third").otherwise("mixed")
-    return c.select("glass", "sub", "n", *[F.round(p, 6).alias(p) for p in ("p1", "p2", "p3")], name.alias("name"))
-
-
-@query(f"WITH {SUBCLASS_SQL}, d AS (SELECT w.id, w.glass, w.sub, c.sub AS k, (w.p1 - c.p1) ** 2 + (w.p2 - c.p2) ** 2 + (w.p3 - c.p3) ** 2 AS d FROM wide w JOIN centres c USING (glass)), b AS (SELECT id, glass, sub, min_by(k, (d, k)) AS nearest FROM d GROUP BY ALL) SELECT glass, sub, count(*) AS n, count(*) FILTER (sub = nearest) AS kept, round(count(*) FILTER (sub = nearest) / count(*), 6) AS share FROM b GROUP BY ALL")
-def subclass_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of a subclass's samples lie nearest to its own median centre. Centres are a fixed list."""
-    part = lambda i: F.element_at("parts", i)
-    wide = composition(spark, sf_dir).select("id", "glass", F.pmod("id", F.lit(4)).alias("sub"), F.array(part(1), part(2), part(3)).alias("p"))
-    m = ranks.quantiles(wide.select("glass", "sub", F.posexplode("p").alias("i", "v")), ["glass", "sub", "i"], "v", {"m": 0.5})
-    c = m.groupBy("glass", F.col("sub").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))  # three numbers
-    d = wide.join(F.broadcast(c), "glass").withColumn("d", comp.squared("p", "c"))
-    b = d.groupBy("id", "glass", "sub").agg(F.min_by("k", F.struct("d", "k")).alias("nearest"))
-    kept = F.count_if(F.col("sub") == F.col("nearest"))
-    return b.groupBy("glass", "sub").agg(F.count(F.lit(1)).alias("n"), kept.alias("kept"), F.round(kept / F.count(F.lit(1)), 6).alias("share"))
-
-
 @query(f"WITH {ANSWERS_SQL} SELECT doc_id, (lang = 'en')::INT::DOUBLE AS lang_en, (lang = 'es')::INT::DOUBLE AS lang_es, (lang = 'fr')::INT::DOUBLE AS lang_fr, (toxic = 1)::INT::DOUBLE AS toxic_1, (lang = 'en' AND toxic = 1)::INT::DOUBLE AS en_toxic FROM answers")
 def factor_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column for each level of the factors but their references (de, not toxic), and one interaction."""
@@ -172,27 +142,6 @@ def candidate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("id", "predicted", F.round("margin", 6).alias("margin"), sure.alias("confidence"), decision.alias("decision"))
 
 
-STABLE_SQL = CLR_SQL + f""", ids AS (SELECT DISTINCT id FROM clr), w AS (SELECT id, k, {digest_sql("id", "'w'", "k")} % 2 AS w FROM ids, range(1, 11) r(k)),
-ce AS (SELECT k, glass AS g, part, avg(c) AS m FROM clr JOIN w USING (id) WHERE w = 1 GROUP BY ALL), fu AS (SELECT glass AS g, part, avg(c) AS m FROM clr GROUP BY ALL),
-da AS (SELECT id, k, g, sum((c - m) ** 2) AS d FROM clr JOIN ce USING (part) GROUP BY ALL), la AS (SELECT id, k, min_by(g, (round(d, 9), g)) AS g FROM da GROUP BY ALL),
-db AS (SELECT id, g, sum((c - m) ** 2) AS d FROM clr JOIN fu USING (part) GROUP BY ALL), lb AS (SELECT id, min_by(g, (round(d, 9), g)) AS f FROM db GROUP BY ALL)"""
-
-
-@query(f"WITH {STABLE_SQL} SELECT k::INT AS draw, count(*) AS n, round(avg((g = f)::INT), 6) AS agreement FROM la JOIN lb USING (id) GROUP BY k")
-def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many samples keep their nearest centre when centres come from random halves."""
-    rows = ratios(spark, sf_dir).select("id", "glass", "c")
-    half = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(10)))).where(F.pmod(digest(F.col("id"), F.lit("w"), F.col("draw")), F.lit(2)) == 1)
-    every = rows.withColumn("draw", F.lit(0))
-    m = comp.long(half.unionByName(every), "c", "draw", "glass").groupBy("draw", "glass", "part").agg(F.avg("v").alias("m"))
-    centres = m.groupBy("draw", F.col("glass").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "m"))), lambda x: x["m"]).alias("m"))
-    one = centres.agg(F.collect_list(F.struct("draw", "g", "m")).alias("cs"))  # 22 rows of 14 numbers
-    d = rows.join(F.broadcast(one)).select("id", "c", F.explode("cs").alias("s")).select("id", "c", "s.*").withColumn("d", comp.squared("c", "m"))
-    label = d.groupBy("id", "draw").agg(F.min_by("g", F.struct(F.round("d", 9).alias("d"), "g")).alias("g"))
-    label = label.withColumn("f", F.max(F.when(F.col("draw") == 0, F.col("g"))).over(Window.partitionBy("id"))).where("draw > 0")
-    return label.groupBy("draw").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("g") == F.col("f")).cast("double")), 6).alias("agreement"))
-
-
 @query(f"""WITH {HYDRO_SQL}, s AS (SELECT station, k, avg(flow) AS m FROM hydro, range(1, 6) r(k) WHERE {digest_sql("station", "epoch_us(ts)", "k")} % 4 > 0 GROUP BY ALL)
 SELECT station, count(*) AS seeds, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, round(avg(m) - 1.96 * stddev_samp(m), 5) AS lower FROM s GROUP BY station""")
 def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,46 +172,3 @@ def marginal_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = at(F.col("b"))
     r = x.agg(F.avg(at(F.lit(0.0))).alias("others"), F.avg(at(F.lit(1.0))).alias("english"), F.avg(p * (1 - p) * float(fit.coef[1])).alias("size_effect"))
     return r.select(F.round("others", 6).alias("others"), F.round("english", 6).alias("english"), F.round(F.col("english") - F.col("others"), 6).alias("difference"), F.round("size_effect", 6).alias("size_effect"))
-
-
-def exact_bounds(hits: int, n: int, level: float = 0.05) -> tuple[float, float]:
-    """Clopper and Pearson's interval by bisection of the binomial tails, in logs."""
-    from math import lgamma
-
-    k = np.arange(n + 1)
-    ways = lgamma(n + 1) - np.array([lgamma(i + 1) + lgamma(n - i + 1) for i in k])
-
-    def tail(p: float, upper: bool) -> float:
-        logs = ways + k * np.log(p) + (n - k) * np.log1p(-p)
-        return float(np.exp(logs[hits:] if upper else logs[: hits + 1]).sum())
-
-    def root(upper: bool) -> float:
-        low, high = 1e-12, 1 - 1e-12
-        for _ in range(60):
-            mid = (low + high) / 2
-            if (tail(mid, upper) < level / 2) == upper:
-                low = mid
-            else:
-                high = mid
-        return (low + high) / 2
-
-    return (0.0 if hits == 0 else root(True)), (1.0 if hits == n else root(False))
-
-
-@query()
-def exact_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clopper-Pearson intervals of each source's share of good documents, and Wilson's with every document
-    weighted by its size at the effective number of rows."""
-    g = answers(spark, sf_dir).groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("hits"), F.sum("size").alias("w"), F.sum(F.col("size") * F.col("size")).alias("w2"), F.sum(F.col("size") * F.col("y")).alias("wy")
-    )
-
-    def run(batches):
-        for pdf in batches:
-            found = [exact_bounds(int(h), int(n)) for h, n in zip(pdf["hits"], pdf["n"], strict=True)]
-            yield pdf.assign(low=[round(a, 8) for a, _ in found], high=[round(b, 8) for _, b in found])
-
-    rows = g.mapInPandas(run, "source string, n long, hits long, w double, w2 double, wy double, low double, high double")
-    effective = F.col("w") * F.col("w") / F.col("w2")
-    low, high = models.wilson(F.col("wy") / F.col("w") * effective, effective)
-    return rows.select("source", "n", "hits", "low", "high", F.round(effective, 6).alias("effective_n"), F.round(low, 6).alias("weighted_low"), F.round(high, 6).alias("weighted_high"))
