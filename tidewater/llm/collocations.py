@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import blocks, utf8, written
 from tidewater.llm.tokens import BREAK, INSIDE, distinct_words, word_spans
 
-SHARD = 32_000_000  #: bytes of text of one language in a shard
+SHARD = 10_000_000  #: bytes of text of one language in a shard
 PART = 3_000_000  #: bytes that are worked on at once
 HOT = 1_000  #: a word of more than one in so many of a table's words has an identifier below 0
 SALTS = 64  #: parts of a pair of two such words, and of a language's phrases
@@ -99,7 +99,8 @@ class Automaton(NamedTuple):
     @staticmethod
     def of(sequence: np.ndarray, depth: int = 3) -> Automaton:
         """Of substrings of at most `depth` symbols."""
-        ends = np.flatnonzero(sequence)
+        kind = np.int32 if len(sequence) < 1 << 31 else np.int64
+        ends = np.flatnonzero(sequence).astype(kind)
         symbols, alive = [], np.ones(len(ends), bool)
         for k in range(depth):  # the last symbol first; 0 where the part began later
             symbol = np.where(alive & (ends >= k), sequence[np.maximum(ends - k, 0)], sequence.dtype.type(0))
@@ -110,35 +111,36 @@ class Automaton(NamedTuple):
             key = symbols[0].astype(np.int64)
             for x in symbols[1:]:
                 key = key << bits | x
-            order = np.argsort(key).astype(np.int32 if len(key) < 1 << 31 else np.int64)
+            order = np.argsort(key).astype(kind)
             del key
         else:
-            order = np.lexsort(symbols[::-1])
+            order = np.lexsort(symbols[::-1]).astype(kind)
         ends = ends[order]
         groups, new = [], np.zeros(len(ends), bool)  # of each depth: the first place in order, and how many places
         new[:1] = True
         for x in symbols:
             x = x[order]
             new[1:] |= x[1:] != x[:-1]
-            every = np.flatnonzero(new)
+            every = np.flatnonzero(new).astype(kind)
             real = x[every] > 0
-            groups.append((every[real], np.diff(np.append(every, len(ends)))[real]))
-        made, parent, columns = 0, np.full(len(ends), -1, np.int64), []
+            groups.append((every[real], np.diff(np.append(every, kind(len(ends))))[real]))
+        del symbols, alive
+        made, parent, columns = 0, np.full(len(ends), -1, kind), []
         for d, (first, size) in enumerate(groups):
             if d + 1 < depth:  # a group that one below it equals is no state: the one below is longer
-                below = np.zeros(len(ends), np.int64)
+                below = np.zeros(len(ends), kind)
                 below[groups[d + 1][0]] = groups[d + 1][1]
                 own = below[first] != size
                 first, size = first[own], size[own]
-            columns.append((parent[first], np.full(len(first), d + 1), size, ends[first]))
-            rows = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            parent[rows] = np.repeat(made + np.arange(len(first)), size)
+            columns.append((parent[first], np.full(len(first), d + 1, np.int8), size, ends[first]))
+            rows = np.repeat((first - (np.cumsum(size) - size)).astype(kind), size) + np.arange(int(size.sum()), dtype=kind)
+            parent[rows] = np.repeat((made + np.arange(len(first))).astype(kind), size)
             made += len(first)
         return Automaton(*map(np.concatenate, zip(*columns, strict=True)))
 
     def shortest(self) -> np.ndarray:
         """The length of each state's shortest substring."""
-        return np.where(self.link >= 0, self.length[self.link], 0) + 1
+        return np.where(self.link >= 0, self.length[self.link], np.int8(0)) + np.int8(1)
 
 
 def phrases(known: DataFrame) -> DataFrame:
