@@ -90,17 +90,3 @@ def ridge_by(df: DataFrame, by: list[str], names: list[str], y: str, penalty: fl
 
 def predicted(names: list[str]) -> Column:
     return reduce(Column.__add__, [F.col("coef")[i + 1] * F.col(n) for i, n in enumerate(names)], F.col("coef")[0])
-
-
-def merged_centres(centres: list[tuple[list[float], int]]) -> list[tuple[int, int, float]]:
-    """Ward's agglomeration of some weighted centres (a bounded list): merged pairs and their costs."""
-    alive = {i: (np.array(c, float), n) for i, (c, n) in enumerate(centres)}
-    out, fresh_id = [], len(centres)
-    while len(alive) > 1:
-        keys = sorted(alive)
-        cost, a, b = min((alive[p][1] * alive[q][1] / (alive[p][1] + alive[q][1]) * float(((alive[p][0] - alive[q][0]) ** 2).sum()), p, q) for x, p in enumerate(keys) for q in keys[x + 1 :])
-        (ca, na), (cb, nb) = alive.pop(a), alive.pop(b)
-        alive[fresh_id] = ((ca * na + cb * nb) / (na + nb), na + nb)
-        out.append((a, b, cost))
-        fresh_id += 1
-    return out

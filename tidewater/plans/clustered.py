@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import clusters, ranks
+from tidewater.operators import clusters, hierarchy, ranks
 from tidewater.operators import compositions as comp
 from tidewater.plans.common import Plan
 from tidewater.plans.glass import ratios
@@ -90,3 +90,10 @@ def subclass_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = d.groupBy("id", "glass", "sub").agg(F.min_by("k", F.struct("d", "k")).alias("nearest"))
     kept = F.count_if(F.col("sub") == F.col("nearest"))
     return b.groupBy("glass", "sub").agg(F.count(F.lit(1)).alias("n"), kept.alias("kept"), F.round(kept / F.count(F.lit(1)), 6).alias("share"))
+
+
+@query()
+def ward_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward's hierarchy over all samples: which cluster joins which, at what cost, in the order of costs."""
+    m = hierarchy.ward(ratios(spark, sf_dir), "id", "c")
+    return m.select("a", "b", "size", F.round("cost", 6).alias("cost"))

@@ -104,19 +104,6 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
-def ward_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ward's hierarchy over the centres of twelve k-means clusters: what is merged has a fixed size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = glass.ratios(spark, sf_dir).select("id", array_to_vector("c").alias("features"))
-    model = KMeans(k=12, seed=3).fit(rows)
-    sizes = {r["prediction"]: r["count"] for r in model.transform(rows).groupBy("prediction").count().collect()}  # 12 rows
-    merges = choices.merged_centres([(c.tolist(), sizes.get(i, 1)) for i, c in enumerate(model.clusterCenters())])
-    return spark.createDataFrame([(k + 1, a, b, round(cost, 6)) for k, (a, b, cost) in enumerate(merges)], "step int, a int, b int, cost double")
-
-
 @query(f"""WITH {pricing.LOGIT_SQL}, o AS (SELECT id, p, logit + 0.06::DOUBLE * (p - price) AS z FROM (SELECT *, unnest(range(0, 21)) + 65::DOUBLE AS p FROM logits)), g AS (SELECT id, p, round(1 / (1 + exp(-z)), 9) AS gain, round(p / (1 + exp(-z)), 9) AS cost FROM o),
 b AS (SELECT sum(price / (1 + exp(-logit))) * 1.05 AS budget FROM logits), l AS (SELECT unnest(range(0, 61)) / 2000::DOUBLE AS price),
 best AS (SELECT l.price, id, max((round(gain - l.price * cost, 9), -cost, -p, gain)) AS b FROM g, l GROUP BY ALL), t AS (SELECT price, sum(-b[2]) AS total FROM best GROUP BY price), w AS (SELECT min(price) AS price FROM t, b WHERE round(total, 6) <= budget)
