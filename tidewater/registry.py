@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater.plans import bundles, clustered, details, factors, glass, intake, layouts, learning, network, planning, pricing, provenance, relational, replays, resampled, river, samples, sections, streams, validation
+from tidewater.plans import bundles, clustered, details, factors, glass, intake, layouts, learning, network, planning, policies, pricing, provenance, relational, replays, resampled, river, samples, sections, streams, validation
 
-PLANS = (network, river, validation, replays, pricing, bundles, glass, samples, resampled, clustered, factors, sections, layouts, learning, planning, provenance, intake, relational, details, streams)
+PLANS = (network, river, validation, policies, replays, pricing, bundles, glass, samples, resampled, clustered, factors, sections, layouts, learning, planning, provenance, intake, relational, details, streams)
 QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
