@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.llm import toxicity as toxicity_module
 from tidewater.llm.toxicity import Field, fit, marginals, sample, scored, toxicity, trained, words_of
 
 SF = "/root/testdata/sf0.01"
@@ -126,6 +127,35 @@ def test_held_out_recall_by_language(spark):
     assert sum(clean) / len(clean) < 0.02
 
 
+def test_choices_come_from_folds_of_the_texts_to_learn_from(spark):
+    """The choice of the least mean loss over the folds; the same whatever the order of rows."""
+    texts, toxic = made(150, 7)
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, toxic))], "id long, text string, label int")
+    got = toxicity_module.tried(rows.repartition(4))
+    order = sorted(range(150), key=lambda i: (toxic[i], {r.id: r.n for r in numbered(rows)}[i]))
+    texts, toxic = [texts[i] for i in order], [toxic[i] for i in order]
+    grid = [(p, s) for p in toxicity_module.PENALTIES for s in toxicity_module.SLACKS]
+    loss = {c: sum(toxicity_module.loss(texts, toxic, f, *c) for f in range(toxicity_module.FOLDS)) for c in grid}
+    assert got == min(grid, key=lambda c: (round(loss[c], 9), -c[0], -c[1]))
+    few = rows.where("label = 0").unionByName(rows.where("label = 1").limit(2))
+    assert toxicity_module.tried(few) == (toxicity_module.PENALTIES[1], toxicity_module.SLACKS[0])
+
+
+def numbered(rows):
+    from pyspark.sql import Window
+
+    return rows.select("id", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "id")).alias("n")).collect()
+
+
+def test_windows_cover_all_words(monkeypatch):
+    monkeypatch.setattr(toxicity_module, "WINDOW", 4)
+    n, text = toxicity_module.windows_of(np.array([0, 4, 9, 1]))
+    assert n.tolist() == [0, 4, 4, 4, 1, 1] and text.tolist() == [0, 1, 2, 2, 2, 3]
+    texts, toxic = made(200, 3)
+    score, _ = scored(texts, fit(texts, toxic))
+    assert ((score >= 0.7) == np.array(toxic)).mean() > 0.97
+
+
 def test_odd_rows(spark, odd_docs):
     docs = odd_docs.withColumns({"score": F.lit(1), "spans": F.lit("x")})
     model = fit(*made(400, 1))

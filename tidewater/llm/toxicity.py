@@ -2,9 +2,10 @@
 
 Labels are of whole texts, so words are labelled first: those of toxic texts are marked if half their
 occurrences there, or a beginning's, are more than clean texts and chance account for. The field learns
-weights of all word forms and beginnings that stand in some toxic texts, from all words. Its marginals (forward-backward) give a probability for each word;
-their sum and largest one make a text's score, and words more likely toxic than not give the offending
-offsets.
+weights of all word forms and beginnings that stand in some toxic texts, from all words. How much it is held
+back, and what counts as chance, is chosen by folds of the texts that it learns from. Its marginals
+(forward-backward) give a probability for each word; their sum and largest one make a text's score, and words
+more likely toxic than not give the offending offsets.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import M1, M2, blocks, mixed, piece_hashes, utf8
+from tidewater.llm.common import M1, M2, blocks, dropped, mixed, piece_hashes, utf8, written
 from tidewater.llm.pretokens import LETTER, classes, code_points, spans
 
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  #: lengths of word beginnings that are features, besides whole words
 LEAST = 3  #: toxic texts that a feature stands in
-PENALTY = 0.3  #: on half the squares of the field's weights
-SLACK = 1.0  #: standard deviations of a count that are not held for a sign
+PENALTIES = (0.1, 0.3, 1.0)  #: on half the squares of the field's weights: tried on the texts to learn from
+SLACKS = (1.0, 2.0)  #: standard deviations of a count that are not held for a sign: tried likewise
+FOLDS = 3
+TRIED = (600, 300)  #: clean and toxic texts at most that penalties and slacks are tried on
+WINDOW = 256  #: words of a text that the field learns from as one chain
 BATCH = 150_000  #: words that the field learns from at once: some 15 MB of arrays
 PART = 250_000  #: code points that features are found in at once: some 25 MB of arrays
 BLOCK = 500_000  #: bytes scored at once: some 50 MB of arrays
@@ -205,7 +209,25 @@ def batches_of(counts: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(batch[1:] != batch[:-1]) + 1)
 
 
-def excess(rows: np.ndarray, of: np.ndarray, text: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+def chains(of: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of chains of words: which chains, their words' rows, the place in the batch of each word's chain,
+    and the words of each chain."""
+    begins = np.cumsum(counts) - counts
+    for those in batches_of(counts):
+        n = counts[those]
+        text = np.repeat(np.arange(len(those)), n)
+        yield those, of[np.repeat(begins[those], n) + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)], text, n
+
+
+def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each window of WINDOW words at most, and the text that it is of."""
+    n = np.maximum(1, -(-counts // WINDOW))
+    text = np.repeat(np.arange(len(counts)), n)
+    first = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return np.minimum(WINDOW, counts[text] - first * WINDOW), text
+
+
+def excess(rows: np.ndarray, of: np.ndarray, text: np.ndarray, y: np.ndarray, size: int, slack: float) -> np.ndarray:
     """For each row of features 1 if at least half a feature's occurrences in toxic texts are beyond its rate
     in clean ones and chance, or else 0. A word's repeats in one text count as log2(1 + n)."""
     pair, n = np.unique(text.astype(np.int64) * len(rows) + of, return_counts=True)
@@ -216,14 +238,15 @@ def excess(rows: np.ndarray, of: np.ndarray, text: np.ndarray, y: np.ndarray, si
         sums.append((np.bincount(rows.ravel(), np.repeat(each, rows.shape[1]), size + 1), each.sum()))
     (clean, all_clean), (there, all_there) = sums
     ratio = all_there / max(1.0, all_clean)
-    share = (there - SLACK * np.sqrt(there) - (clean + 1) * ratio) / np.maximum(there, 1.0)
+    share = (there - slack * np.sqrt(there) - (clean + 1) * ratio) / np.maximum(there, 1.0)
     share[0] = 0.0
     return (share[rows].max(1) >= 0.5).astype(np.float64)
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 80) -> Field:
+def fit(texts: list[str], toxic: list[int], penalty: float = PENALTIES[1], slack: float = SLACKS[0], rounds: int = 80) -> Field:
     """The field from texts and their labels. Without texts of both kinds, or features of toxic texts, every
-    text gets the share of toxic ones as its score."""
+    text gets the share of toxic ones as its score. The field learns from windows of texts, so that a long text
+    takes no more steps than a short one; scores are of whole texts."""
     y = np.array(toxic, np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.05, 0.01, 0.99))
     model = Field(np.zeros(0, np.uint64), np.zeros(0), score=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
@@ -234,38 +257,33 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80) -> Field:
         return model
     size = len(model.keys)
     rows, of, word_counts = typed(texts, model)
-    marks = excess(rows, of, np.repeat(np.arange(len(texts), dtype=np.int32), word_counts), y, size)
-    begins = np.cumsum(word_counts) - word_counts
+    marks = excess(rows, of, np.repeat(np.arange(len(texts), dtype=np.int32), word_counts), y, size, slack)
     parts, wanted, steps = [], np.zeros(len(rows)), np.zeros(3)
-    for those in batches_of(word_counts):
-        counts = word_counts[those]
-        text = np.repeat(np.arange(len(those)), counts)
-        at = np.repeat(begins[those], counts) + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-        kinds = of[at]
-        label = marks[kinds] * y[those][text]
+    window_counts, owner = windows_of(word_counts)
+    for those, kinds, text, counts in chains(of, window_counts):
+        label = marks[kinds] * y[owner[those]][text]
         wanted += np.bincount(kinds, label, len(rows))
         inner = text[1:] == text[:-1]
         l0, l1 = label[:-1][inner], label[1:][inner]
         steps += [((1 - l0) * l1).sum(), (l0 * (1 - l1)).sum(), (l0 * l1).sum()]
-        parts.append((those, kinds, text, counts))
-    del of, begins
+        parts.append((kinds, counts))
     x = np.concatenate([np.ones(size), [-4.0], np.zeros(3)])
     m, v = np.zeros_like(x), np.zeros_like(x)
     for k in range(1, rounds + 1):
         model.weights, model.bias, model.moves = x[:size], float(x[size]), x[size + 1 :]
         e = model.emissions(rows)
         errors, moved = wanted.copy(), steps.copy()
-        for _, kinds, _, counts in parts:
+        for kinds, counts in parts:
             p, there = marginals(e[kinds], counts, model.moves, pairs=True)
             errors -= np.bincount(kinds, p, len(rows))
             moved -= there
         g = np.bincount(rows.ravel(), np.repeat(errors, rows.shape[1]), size + 1)[1:]
-        g = np.concatenate([g, [errors.sum()], moved]) - PENALTY * x
+        g = np.concatenate([g, [errors.sum()], moved]) - penalty * x
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x + 0.3 * (1 - k / (rounds + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights, model.bias, model.moves = x[:size], float(x[size]), x[size + 1 :]
     e, z = model.emissions(rows), np.zeros((len(texts), 3))
-    for those, kinds, text, counts in parts:
+    for those, kinds, text, counts in chains(of, word_counts):
         p, _ = marginals(e[kinds], counts, model.moves)
         z[those] = summaries(p, text, len(those))
     model.score = _logistic(z, y)
@@ -303,6 +321,22 @@ def scored(texts: list[str], model: Field) -> tuple[np.ndarray, list[list[dict]]
     return score, out
 
 
+def loss(texts: list[str], toxic: list[int], fold: int, penalty: float, slack: float) -> float:
+    """The mean log-loss of one fold's texts under a field fitted to the others. Folds take every FOLDS-th text of
+    each kind."""
+    y = np.array(toxic)
+    place = np.empty(len(y), np.int64)
+    for v in (0, 1):
+        place[y == v] = np.arange((y == v).sum())
+    there = place % FOLDS == fold
+    model = fit([t for t, out in zip(texts, there) if not out], y[~there].tolist(), penalty, slack, rounds=40)
+    total = 0.0
+    for t, v in ((t, v) for t, v, out in zip(texts, toxic, there) if out):
+        p = min(1 - 1e-6, max(1e-6, float(scored([t], model)[0][0])))
+        total -= np.log(p if v else 1 - p)
+    return total / max(1, int(there.sum()))
+
+
 def held_out(id: Column) -> Column:
     """Rows that nothing is learned from; a null id is not one of them."""
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -323,18 +357,49 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, m
     return own.join(chosen, F.col("id") == F.col("_id")).select("id", "text", F.col("_label").alias("label"))
 
 
+def tried(rows: DataFrame) -> tuple[float, float]:
+    """The penalty and slack of the least loss over FOLDS folds of the texts to learn from, of at most TRIED of
+    them: each fold and choice is a task. Of equal losses the larger ones; the middle penalty
+    and the least slack where a fold would have no toxic text."""
+    number = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "id"))  # of a bounded sample
+    few = rows.withColumn("_n", number).where(F.col("_n") <= F.when(F.col("label") == 1, TRIED[1]).otherwise(TRIED[0])).select("text", "label", "_n")
+    grid = [(f, p, s) for p in PENALTIES for s in SLACKS for f in range(FOLDS)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list] = {}
+        for b in batches:
+            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own.setdefault(k, []).append(row)
+        for k, found in own.items():
+            found.sort(key=lambda r: (r[1], r[2], r[0]))
+            toxic = [r[1] for r in found]
+            x = loss([r[0] for r in found], toxic, *grid[k]) if min(sum(toxic), len(toxic) - sum(toxic)) >= FOLDS else float("nan")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x])], names=["k", "loss"])
+
+    each = few.select(F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("k"), "text", "label", "_n").repartition(len(grid), "k").mapInArrow(run, "k int, loss double").collect()
+    sums: dict[tuple[float, float], float] = {}
+    for r in each:
+        sums[grid[r.k][1:]] = sums.get(grid[r.k][1:], 0.0) + r.loss
+    if not sums or any(np.isnan(x) for x in sums.values()):
+        return PENALTIES[1], SLACKS[0]
+    return min(sums, key=lambda c: (round(sums[c], 9), -c[0], -c[1]))
+
+
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: tuple[int, int] = (3000, 1000), longest: int = 20_000) -> Field:
     """The field fitted to a sample of at most `most` clean and toxic labelled texts of `longest` bytes at
-    most, in one task: 80 MB of texts and some 200 MB of arrays there in any case. The driver gets the field
-    alone, about 1 MB. Texts to be scored are scored whole, whatever their length."""
+    most, in one task: 80 MB of texts and some 200 MB of arrays there in any case; its penalty and slack are
+    tried on folds of the same sample. The driver gets the field alone, about 1 MB. Texts to be scored are
+    scored whole, whatever their length."""
+    rows = written(sample(docs, labels, text, id, label, most, longest).select("id", "text", F.col("label").cast("int").alias("label")), "toxicity-sample")
+    penalty, slack = tried(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)})
-        model = fit([r[1] for r in rows], [r[2] for r in rows])
+        model = fit([r[1] for r in rows], [r[2] for r in rows], penalty, slack)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["field"])
 
-    rows = sample(docs, labels, text, id, label, most, longest)
-    found = rows.select("id", "text", F.col("label").cast("int").alias("label")).repartition(1).mapInArrow(run, "field binary").collect()
+    found = rows.repartition(1).mapInArrow(run, "field binary").collect()
+    dropped(rows)
     return pickle.loads(found[0]["field"]) if found else fit([], [])
 
 
