@@ -88,11 +88,11 @@ def top_of_each(df: DataFrame, by: list[str], n: int, *order: Column, rank: str
 RANGES = 1024  #: into which the values between a group's least and largest are dealt
 
 
-def running(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by..., value, n, below, total: of each distinct value how many rows have it, a smaller one, and any.
-    Null values are left out. Sums run over RANGES ranges of values and within each range, so that no
+def running(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """by..., value, n, below, total: of each distinct value how many rows have it, a smaller one, and any (with
+    `weight`, the sums of the rows' weights). Null values are left out. Sums run over RANGES ranges of values and within each range, so that no
     task sorts a group's all rows; equal rows are summed up before they are shuffled."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     span = counts.groupBy(*by).agg(F.min(value).cast("double").alias("_a"), F.max(value).cast("double").alias("_b"))
     rows = counts.join(span, by) if by else counts.join(F.broadcast(span))
     part = F.when(F.col("_b") > F.col("_a"), F.least(F.lit(RANGES - 1), F.floor((F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a")) * RANGES))).otherwise(0)
@@ -125,3 +125,10 @@ def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]
         return a + (b - a) * F.max(h - lo)
 
     return r.groupBy(*by).agg(*[at(p).alias(name) for name, p in wanted.items()])
+
+
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, wanted: dict[str, float]) -> DataFrame:
+    """by..., and for each wanted share the least value up to which that share of all weight lies."""
+    r = running(df, by, value, weight)
+    at = lambda p: F.min(F.when((F.col("below") + F.col("n")) / F.col("total") >= p - 1e-9, F.col(value)))
+    return r.groupBy(*by).agg(*[at(p).alias(name) for name, p in wanted.items()])
