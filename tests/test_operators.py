@@ -227,3 +227,19 @@ def test_ranks_and_quantiles_over_ranges(spark):
     for g, own in pdf.dropna().groupby("g")["v"]:
         assert all(abs(x - y) < 1e-6 for x, y in zip((q[g].a, q[g].b, q[g].c), own.quantile([0.0, 0.37, 1.0])))
     assert ranks.quantiles(df.limit(0), [], "v", {"a": 0.5}).first()["a"] is None
+
+
+def test_weighted_quantiles_as_a_loop(spark):
+    import numpy as np
+
+    from tidewater.operators import ranks
+
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 3)), float(rng.integers(0, 40)), float(rng.random())) for _ in range(400)] + [(7, 2.0, 1.0), (8, None, 1.0)]
+    df = spark.createDataFrame(rows, "g int, v double, w double")
+    got = {r.g: (r.low, r.high) for r in ranks.weighted_quantiles(df, ["g"], "v", "w", {"low": 0.3, "high": 0.75}).collect()}
+    for g in (0, 1, 2, 7):
+        own = sorted((v, w) for k, v, w in rows if k == g)
+        total = np.cumsum([w for _, w in own])
+        assert got[g] == tuple(own[int(np.searchsorted(total, q * total[-1] - 1e-9 * total[-1]))][0] for q in (0.3, 0.75))
+    assert set(got) == {0, 1, 2, 7}

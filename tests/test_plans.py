@@ -117,9 +117,9 @@ def test_overloads_against_their_draws(spark):
 def test_exact_intervals_by_binomial_sums(spark):
     from math import comb
 
-    from tidewater.plans import samples
+    from tidewater.plans import factors
 
-    for r in samples.exact_intervals(spark, LARGER).collect():
+    for r in factors.exact_intervals(spark, LARGER).collect():
         n, k, low, high = r["n"], r["hits"], r["low"], r["high"]
         at_least = lambda p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
         at_most = lambda p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
@@ -159,13 +159,6 @@ def test_marginal_effects_as_numpy(spark):
     assert models and all(abs(a - w) < 2e-6 for a, w in zip(r, want))
 
 
-def test_factor_bootstrap_against_its_statistic(spark):
-    from tidewater.plans import glass, samples
-
-    r = samples.factor_bootstrap(spark, LARGER).first()
-    assert abs(r["chi2"] - glass.chi_square(spark, LARGER).first()["chi2"]) < 1e-4 and 1 / 201 - 1e-6 <= r["p"] <= 1
-
-
 def test_principal_scores_as_numpy(spark):
     rows = sorted((r["id"], r["c"]) for r in glass.ratios(spark, SF).collect())
     x = np.array([c for _, c in rows])
