@@ -28,8 +28,10 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.replayed(spark, sf_dir, events.sessions, "sessions")
 
 
-@query("""WITH j AS (SELECT user_id, ts, coalesce(abs(ln(1 + value) - lag(ln(1 + value)) OVER w), 0) AS jump FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, ts, round(jump, 6) AS jump, coalesce(max(jump >= 1.5) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), FALSE) AS action FROM j""")
+@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 10 DAY, FALSE) AS new FROM events),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g),
+j AS (SELECT user_id, s, ts, event_id, coalesce(abs(ln(1 + value) - lag(ln(1 + value)) OVER w), 0) AS jump FROM s WINDOW w AS (PARTITION BY user_id, s ORDER BY ts, event_id))
+SELECT user_id, ts, round(jump, 6) AS jump, coalesce(max(jump >= 1.5) OVER (PARTITION BY user_id, s ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), FALSE) AS action FROM j""")
 def stream_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = events.replayed(spark, sf_dir, events.jumps, "jumps", "append")
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("jump", 6).alias("jump"), "action")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewater.sources.shared import fresh
 from tidewater.sources.tables import table
@@ -53,26 +53,57 @@ def distinct_events(events: DataFrame) -> DataFrame:
     return e.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]) if e.isStreaming else e.dropDuplicates(["event_id"])
 
 
-def jumps(events: DataFrame, threshold: float = 1.5, follow: int = 2) -> DataFrame:
-    """user_id, ts, jump, action: a jump of the log of a user's value by the threshold asks for action on
-    the next `follow` events, in whichever batch these come. The state is the last value and what is still
-    to follow. Within a batch a user's events are taken by time."""
+class Jumps(StatefulProcessor):
+    """A user's last value, its time, and how many events are still to follow a jump. Events of a batch are
+    taken by time. A user of whom nothing comes for `idle` starts anew: a timer of event time deletes what is
+    kept, and an event that comes later still takes nothing from before."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, pending = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    def __init__(self, threshold: float, follow: int, idle: int):
+        self.threshold, self.follow, self.idle = threshold, follow, idle  # idle: microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "last double, at long, pending int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, at, pending = self.kept.get() if self.kept.exists() else (None, None, 0)
+        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
         out = []
-        for ts, value in zip(rows["ts"], rows["value"], strict=True):
+        for ts, now_at, value in zip(batch["ts"], batch["at"].tolist(), batch["value"].tolist(), strict=True):
+            if at is not None and now_at - at > self.idle:
+                last, pending = None, 0
             now = math.log1p(value)
             jump = 0.0 if last is None else abs(now - last)
             out.append((key[0], ts, jump, pending > 0))
-            pending = follow if jump >= threshold else max(0, pending - 1)
-            last = now
-        state.update((last, pending))
+            pending = self.follow if jump >= self.threshold else max(0, pending - 1)
+            last, at = now, now_at
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.kept.update((last, at, pending))
+        self.handle.registerTimer((at + self.idle) // 1000 + 1)
         yield pd.DataFrame(out, columns=["user_id", "ts", "jump", "action"])
 
-    e = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return e.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp, jump double, action boolean", "last double, pending int", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def jumps(events: DataFrame, threshold: float = 1.5, follow: int = 2, idle_days: int = 10) -> DataFrame:
+    """user_id, ts, jump, action: a jump of the log of a user's value by the threshold asks for action on the
+    next `follow` events, in whichever batch these come. Nothing is kept of users idle for `idle_days`."""
+    spark = events.sparkSession
+    # keys' values and timers live in a store on disk that writes its changes to the checkpoint
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value").withColumn("at", F.unix_micros("ts")).withWatermark("ts", LATE)
+    return e.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Jumps(threshold, follow, idle_days * 86_400_000_000),
+        outputStructType="user_id long, ts timestamp, jump double, action boolean",
+        outputMode="append",
+        timeMode="eventTime",
+    )
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
