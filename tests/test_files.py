@@ -1,3 +1,4 @@
+import hashlib
 import json
 import zipfile
 
@@ -63,3 +64,10 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(df).first()["table"].split("\n")[2] == "| a | 1.5000 |"
     m = json.loads(sinks.manifest(files.files(spark, str(tmp_path / "t")).where(F.col("path").endswith(".parquet")), question="q1").first()["manifest"])
     assert m["question"] == "q1" and m["n_inputs"] == len(m["inputs"])
+    n = sinks.write_counted(df, str(tmp_path / "u"))
+    (tmp_path / "a.py").write_text("x = 1")
+    (tmp_path / "b.py").write_text("y = 2")
+    code = files.files(spark, str(tmp_path)).where(F.col("path").endswith(".py"))
+    m = json.loads(sinks.manifest(files.files(spark, str(tmp_path / "u")), code, {"u": n}).first()["manifest"])
+    each = sorted(f"{k}\0{hashlib.sha256(v).hexdigest()}" for k, v in (("a.py", b"x = 1"), ("b.py", b"y = 2")))
+    assert n == 2 and m["rows"] == {"u": 2} and m["code_sha256"] == hashlib.sha256("\0".join(each).encode()).hexdigest() and m["spark"].startswith(spark.version)

@@ -195,3 +195,28 @@ def test_mirrors_keep_their_distance(spark):
 def test_bootstrap_intervals_hold_the_mean(spark):
     rows = river.block_bootstrap(spark, SF).collect()
     assert rows and all(r["low"] <= r["mean"] <= r["high"] for r in rows)
+
+
+def test_event_settings_against_loops(spark):
+    """27 settings' events by a loop over each station's scores; matches within two days both ways."""
+    days = river.calendar(spark, SF).toPandas().sort_values(["station", "day"])
+    events = {}
+    for w, t, g in river.SETTINGS:
+        own = set()
+        for station, d in days.groupby("station"):
+            x, day = np.log1p(d["flow"].to_numpy()), d["day"].tolist()
+            c = {k: x[k : k + w].mean() - x[k - w : k].mean() for k in range(w, len(x) - w + 1)}
+            sd = np.std(list(c.values()), ddof=1) or 1.0
+            taken = []
+            for k in sorted((k for k in c if abs(c[k] / sd) >= t), key=lambda k: (-abs(c[k] / sd), k)):
+                if len(taken) < 15 and all(abs((day[k] - day[j]).days) >= g for j in taken):
+                    taken.append(k)
+            own |= {(station, day[k]) for k in taken}
+        events[w, t, g] = own
+    base = events[3, 1.2, 5]
+    hit = lambda e, others: any(s == e[0] and abs((d - e[1]).days) <= 2 for s, d in others)
+    got = {(r.station, r.day): (r.matched, r.settings) for r in river.event_stability(spark, SF).collect()}
+    assert got == {e: (sum(hit(e, events[s]) for s in river.SETTINGS), 27) for e in base}
+    for r in river.event_settings(spark, SF).collect():
+        own = events[r.width, r.threshold, r.gap]
+        assert r.events == len(own) and abs(r.coverage - sum(hit(e, own) for e in base) / len(base)) < 1e-6 and abs(r.matched - sum(hit(e, base) for e in own) / len(own)) < 1e-6

@@ -23,21 +23,30 @@ def abrupt(days: DataFrame, by: list[str], day: str, values: list[str], width: i
     return rows.withColumn("score", score).withColumn("main", main).select(*by, day, *[f"{v}_z" for v in values], "score", "main")
 
 
+def spaced(rows: pd.DataFrame, day: str, gap: int, most: int) -> list[tuple]:
+    """(day, score) of the highest scores that are `gap` days apart, the earlier day first among equals."""
+    taken: list = []
+    for d, score in rows.sort_values(["score", day], ascending=[False, True])[[day, "score"]].itertuples(index=False):
+        if len(taken) < most and all(abs((d - t).days) >= gap for t, _ in taken):
+            taken.append((d, score))
+    return sorted(taken)
+
+
 def selected(scores: DataFrame, by: list[str], day: str, threshold: float, gap: int, most: int) -> DataFrame:
     """The highest scores of each key that are `gap` days apart, at most `most` of them. Each pick depends on
     all before it, so a key's days above the threshold are one group; they are as many as days at most."""
+    return selected_settings(scores.withColumns({"threshold": F.lit(float(threshold)), "gap": F.lit(gap)}), by, day, most).drop("threshold", "gap")
+
+
+def selected_settings(scores: DataFrame, by: list[str], day: str, most: int) -> DataFrame:
+    """by..., threshold, gap, day, score: the same for each threshold and gap that the rows have as columns."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list = []
-        for r in rows.sort_values(["score", day], ascending=[False, True]).itertuples():
-            d = getattr(r, day)
-            if len(taken) < most and all(abs((d - t).days) >= gap for t, _ in taken):
-                taken.append((d, r.score))
-        out = pd.DataFrame([(*key, d, s) for d, s in sorted(taken)], columns=[*by, day, "score"])
-        return out
-
-    kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in by)
-    return scores.where(F.col("score") >= threshold).select(*by, day, "score").groupBy(*by).applyInPandas(run, f"{kinds}, {day} date, score double")
+        return pd.DataFrame([(*key, d, s) for d, s in spaced(rows, day, key[-1], most)], columns=[*by, "threshold", "gap", day, "score"])
+
+    kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in [*by, "threshold", "gap"])
+    rows = scores.where(F.col("score") >= F.col("threshold")).select(*by, "threshold", "gap", day, "score")
+    return rows.groupBy(*by, "threshold", "gap").applyInPandas(run, f"{kinds}, {day} date, score double")
 
 
 def autocorrelation(days: DataFrame, by: list[str], day: str, value: str, lags: list[int]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import forecast, ordered, ranks, relations, signals
 from tidewater.plans.common import Plan
+from tidewater.sources.shared import written
 from tidewater.sources.tables import HYDRO_SQL, LANES_SQL, hydro, lane_days
 
 plan = Plan()
@@ -184,20 +185,43 @@ def event_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.selected(scores(spark, sf_dir), KEY, "day", 1.2, 5, 15)
 
 
+SETTINGS = [(w, t, g) for w in (2, 3, 4) for t in (1.0, 1.2, 1.4) for g in (3, 5, 7)]  #: width, threshold, gap
+
+
+def settings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """station, width, threshold, gap, day, score: the events of each of 27 settings."""
+    days, found = calendar(spark, sf_dir), None
+    for width in sorted({w for w, _, _ in SETTINGS}):
+        of = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(g).alias("gap")) for w, t, g in SETTINGS if w == width])
+        s = signals.abrupt(days, KEY, "day", ["flow"], width).select("station", F.lit(width).alias("width"), "day", "score", F.explode(of).alias("o")).select("station", "width", "day", "score", "o.*")
+        found = s if found is None else found.unionByName(s)
+    return signals.selected_settings(found, ["station", "width"], "day", 15)
+
+
 @query()
 def event_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of 8 parameter sets (width, threshold, gap) find each event of the basic one within 2 days."""
+    """How many of the 27 settings find each event of the basic one (3, 1.2, 5) within 2 days."""
     base = event_select(spark, sf_dir)
-    days = calendar(spark, sf_dir)
-    found = None
-    for w in (2, 3):
-        s = signals.abrupt(days, KEY, "day", ["flow"], w)
-        for t in (1.0, 1.4):
-            for gap in (4, 7):
-                e = signals.selected(s, KEY, "day", t, gap, 15).withColumn("setting", F.lit(f"{w}-{t}-{gap}"))
-                found = e if found is None else found.unionByName(e)
-    near = relations.within(base, found.select("station", F.col("day").alias("other"), "setting"), KEY, "day", "other", 2, "left")
-    return near.groupBy("l.station", "l.day").agg((F.count_distinct("r.setting") / 8).alias("stability"))
+    found = settings_events(spark, sf_dir).select("station", F.col("day").alias("other"), F.concat_ws("-", "width", "threshold", "gap").alias("setting"))
+    near = relations.within(base, found, KEY, "day", "other", 2, "left")
+    return near.groupBy("l.station", "l.day").agg(F.count_distinct("r.setting").alias("matched"), F.lit(len(SETTINGS)).alias("settings"), (F.count_distinct("r.setting") / len(SETTINGS)).alias("stability"))
+
+
+@query()
+def event_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each setting: its events, the share of basic events that it finds within 2 days, and the share of its
+    events that are basic ones."""
+    base = event_select(spark, sf_dir)
+    n = base.agg(F.count(F.lit(1)).alias("n"))  # one row
+    found = written(settings_events(spark, sf_dir), "event-settings")
+    key = ["width", "threshold", "gap"]
+    matched = relations.within(found, base.select("station", F.col("day").alias("other")), KEY, "day", "other", 2, "left")
+    own = matched.groupBy("l.station", *[f"l.{c}" for c in key], "l.day").agg(F.max(F.col("r.other").isNotNull().cast("int")).alias("hit"))
+    own = own.groupBy(*key).agg(F.count(F.lit(1)).alias("events"), F.avg("hit").alias("matched"))
+    covered = relations.within(base, found.select("station", F.col("day").alias("other"), *key), KEY, "day", "other", 2)
+    covered = covered.groupBy(*[f"r.{c}" for c in key]).agg(F.count_distinct("l.station", "l.day").alias("k"))
+    out = own.join(covered, key, "left").join(F.broadcast(n))
+    return out.select(*key, "events", F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 6).alias("coverage"), F.round("matched", 6).alias("matched"))
 
 
 @query(f"""WITH {CAL_SQL}, a AS (SELECT station, day FROM days WHERE flow >= 60), b AS (SELECT station, day FROM days WHERE n >= 4)

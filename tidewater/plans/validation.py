@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.digests import digest, digest_sql
-from tidewater.operators import forecast, ordered, signals
+from tidewater.operators import forecast, ordered, ranks, signals
 from tidewater.plans.common import Plan
 from tidewater.plans.river import CAL_SQL, MONTHS_SQL, PAIRS_SQL, POOL_SQL, calendar, months, pool
 from tidewater.sources.shared import written
@@ -218,6 +218,17 @@ def dominant_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("power > 1e-9").select("station", "span", F.round("period", 6).alias("period"), F.round("power", 5).alias("power"), F.round(F.col("week") / F.col("power"), 5).alias("week_share"))
 
 
+@query(f"""WITH {CYCLES_SQL}, band AS (SELECT station, k, n / k AS period, power, sum(power) OVER (PARTITION BY station) AS whole FROM pw WHERE s = 'all' AND n / k BETWEEN 2 AND 20),
+o AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY round(power / whole, 9) DESC, k) AS rank FROM band WHERE whole > 1e-9)
+SELECT station, rank::INT AS rank, round(period, 6) AS period, round(power / whole, 6) AS share FROM o WHERE rank <= 10""")
+def strongest_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each station's ten strongest periods between 2 and 20 days, with their shares of the band's power."""
+    p = signals.periodogram(calendar(spark, sf_dir), ["station"], "day", "flow").where("period BETWEEN 2 AND 20")
+    p = p.withColumn("whole", F.sum("power").over(Window.partitionBy("station"))).where("whole > 1e-9").withColumn("share", F.col("power") / F.col("whole"))
+    top = ranks.top_of_each(p, ["station"], 10, F.round("share", 9).desc(), F.col("cycles"))
+    return top.select("station", "rank", F.round("period", 6).alias("period"), F.round("share", 6).alias("share"))
+
+
 @query(f"""WITH {MONTHS_SQL}, y AS (SELECT origin, dest, year, sum(total) AS v FROM months GROUP BY ALL), r AS (SELECT origin, dest, year, ln(v) - lag(ln(v)) OVER (PARTITION BY origin, dest ORDER BY year) AS rate FROM y),
 p AS (SELECT avg(rate) AS rate, stddev_samp(rate) / sqrt(count(*)) AS se, avg(rate) FILTER (year < 2000) AS before, stddev_samp(rate) FILTER (year < 2000) AS spread FROM r WHERE rate IS NOT NULL)
 SELECT a.origin, a.dest, round(a.v * exp(rate), 4) AS forecast, round(a.v * exp(rate - 1.96 * se), 4) AS low, round(a.v * exp(rate + 1.96 * se), 4) AS high, round(b.v * exp(before), 4) AS hindcast, round(a.v, 4) AS actual,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -19,11 +19,25 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def manifest(inputs: DataFrame, **facts: str) -> DataFrame:
-    """One row: a JSON text of the inputs (path, size, sha256: a list of files that were declared), and facts."""
+def write_counted(df: DataFrame, path: str, kind: str = "parquet", **options: str) -> int:
+    """write_once(), and how many rows were written: counted on the way, not by another pass."""
+    seen = Observation()
+    write_once(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, kind, **options)
+    return seen.get["rows"]
+
+
+def manifest(inputs: DataFrame, code: DataFrame | None = None, rows: dict[str, int] | None = None, **facts: str) -> DataFrame:
+    """One row: a JSON text of the inputs (path, size, sha256: a list of files that were declared), how many rows
+    each output has, one hash over the code's files (the same columns) by their names and hashes, Spark's version,
+    and facts."""
     files = F.array_sort(F.collect_list(F.struct("path", "size", "sha256")))
-    body = F.struct(files.alias("inputs"), F.count(F.lit(1)).alias("n_inputs"), *[F.lit(v).alias(k) for k, v in facts.items()])
-    return inputs.agg(F.to_json(body).alias("manifest"))
+    counts = F.create_map(*[F.lit(x) for item in sorted((rows or {}).items()) for x in item]) if rows else F.lit(None).cast("map<string,int>")
+    body = [files.alias("inputs"), F.count(F.lit(1)).alias("n_inputs"), counts.alias("rows"), F.version().alias("spark")]
+    if code is not None:
+        each = F.concat_ws("\0", F.element_at(F.split("path", "/"), -1), "sha256")
+        code = F.broadcast(code.agg(F.sha2(F.concat_ws("\0", F.array_sort(F.collect_list(each))), 256).alias("_code")))
+        inputs, body = inputs.join(code), [*body, F.first("_code").alias("code_sha256")]
+    return inputs.agg(F.to_json(F.struct(*body, *[F.lit(v).alias(k) for k, v in facts.items()])).alias("manifest"))
 
 
 def markdown(df: DataFrame, digits: int = 4) -> DataFrame:
