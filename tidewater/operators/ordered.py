@@ -91,3 +91,15 @@ def segments(rows: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
     at = lambda t: F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col(t) - F.col("a")) / (F.col("b") - F.col("a"))
     area = (at("lo") + at("hi")) / 2 * ((F.col("hi") - F.col("lo")) / 1e6)
     return pieces.select(*by, "day", area.alias("area"), ((F.col("hi") - F.col("lo")) / 1e6).alias("seconds"), ((F.col("b") - F.col("a")) / 3.6e9).alias("gap"))
+
+
+def adjacent(rows: DataFrame, by: list[str], at: str, day: str) -> DataFrame:
+    """rows with _before and _after: `at` of the row before and after in its key. Rows are dealt by key and day, and
+    what a day begins and ends with is carried over; values of `at` are unlike within a key."""
+    keys = [*by, day]
+    own = Window.partitionBy(*keys).orderBy(at)
+    rows = rows.withColumns({"_before": F.lag(at).over(own), "_after": F.lead(at).over(own)})
+    over = Window.partitionBy(*by).orderBy(day)
+    ends = rows.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+    ends = ends.select(*keys, F.lag("_b").over(over).alias("_carried"), F.lead("_a").over(over).alias("_coming"))
+    return rows.join(ends, keys).withColumns({"_before": F.coalesce("_before", "_carried"), "_after": F.coalesce("_after", "_coming")}).drop("_carried", "_coming")

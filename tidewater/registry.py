@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import bundles, clustered, details, factors, glass, intake, layouts, learning, network, planning, policies, pricing, provenance, relational, replays, resampled, river, samples, seasons, sections, streams, validation
+from tidewater.plans import bundles, clustered, details, factors, glass, intake, integrals, layouts, learning, network, planning, policies, pricing, provenance, relational, replays, resampled, river, samples, seasons, sections, streams, validation
 
-PLANS = (network, river, validation, seasons, policies, replays, pricing, bundles, glass, samples, resampled, clustered, factors, sections, layouts, learning, planning, provenance, intake, relational, details, streams)
+PLANS = (network, river, validation, integrals, seasons, policies, replays, pricing, bundles, glass, samples, resampled, clustered, factors, sections, layouts, learning, planning, provenance, intake, relational, details, streams)
 #: Plans over generated layouts: they read no table, so they are library code and not queries.
 GENERATED = {
     "hex_layout", "solar_states", "field_efficiency", "zone_stats", "geometry_checks", "ray_efficiency", "mooring", "design_pareto", "worst_cases",
