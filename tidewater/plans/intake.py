@@ -71,14 +71,22 @@ def structure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("package", F.explode(found).alias("problem"))
 
 
-@query("""WITH s AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'verified' ELSE 'rejected' END AS status, n_chars, source FROM labels JOIN documents USING (doc_id))
-SELECT doc_id, status, CASE WHEN status = 'verified' AND n_chars < 200 THEN 'verified without evidence' WHEN status = 'rejected' AND n_chars > 5000 THEN 'rejected with much evidence' ELSE 'consistent' END AS finding FROM s""")
+@query("""WITH e AS (SELECT l_orderkey AS route, count(DISTINCT l_suppkey) AS sources, count(*) AS records FROM lineitem GROUP BY 1),
+s AS (SELECT o_orderkey AS route, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'rejected' ELSE 'draft' END AS status, coalesce(sources, 0) AS sources, coalesce(records, 0) AS records FROM orders LEFT JOIN e ON route = o_orderkey)
+SELECT route, status, sources, records, CASE WHEN status = 'verified' AND sources < 2 THEN 'verified without a second source' WHEN status = 'rejected' AND sources >= 5 THEN 'rejected with much evidence' WHEN status = 'draft' AND records = 0 THEN 'draft without records' ELSE 'consistent' END AS finding FROM s""")
 def status_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a status goes with how much evidence (text) there is."""
-    s = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    s = s.select("doc_id", F.when(F.col("quality") == 1, "verified").otherwise("rejected").alias("status"), "n_chars")
-    finding = F.when((F.col("status") == "verified") & (F.col("n_chars") < 200), "verified without evidence").when((F.col("status") == "rejected") & (F.col("n_chars") > 5000), "rejected with much evidence").otherwise("consistent")
-    return s.select("doc_id", "status", finding.alias("finding"))
+    """Whether a route's status goes with its evidence: the distinct sources of its records, counted before they
+    are joined to it."""
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("route")).agg(F.count_distinct("l_suppkey").alias("sources"), F.count(F.lit(1)).alias("records"))
+    status = F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderstatus") == "O", "rejected").otherwise("draft")
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("route"), status.alias("status")).join(e, "route", "left").fillna(0, ["sources", "records"])
+    finding = (
+        F.when((F.col("status") == "verified") & (F.col("sources") < 2), "verified without a second source")
+        .when((F.col("status") == "rejected") & (F.col("sources") >= 5), "rejected with much evidence")
+        .when((F.col("status") == "draft") & (F.col("records") == 0), "draft without records")
+        .otherwise("consistent")
+    )
+    return s.select("route", "status", "sources", "records", finding.alias("finding"))
 
 
 @query("""WITH r AS (SELECT o_custkey AS package, o_orderkey AS route FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%'), b AS (SELECT c_custkey AS package, 'banned: ' || coalesce(string_agg(o_orderkey::VARCHAR, ', '), '') || ' end' AS section FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderkey % 3 > 0 GROUP BY c_custkey)
