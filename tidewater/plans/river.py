@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import forecast, ordered, ranks, relations, signals
+from tidewater.operators import forecast, integrals, ordered, ranks, relations, signals
 from tidewater.plans.common import Plan
 from tidewater.sources.shared import written
 from tidewater.sources.tables import HYDRO_SQL, LANES_SQL, hydro, lane_days
@@ -52,13 +52,16 @@ around AS (SELECT n.station, n.i, a.i AS ia, a.v AS va, b.i AS ib, b.v AS vb FRO
 
 @query(f"WITH {ROWS_SQL} SELECT station, i::INT AS place, round(CASE WHEN va IS NULL OR vb IS NULL OR ia = ib THEN coalesce(va, vb) ELSE va + (vb - va) * (i - ia) / (ib - ia) END + 1e-9, 6) AS sediment FROM around")
 def interp_linear_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the place of rows instead of their time."""
-    own = Window.partitionBy("station").orderBy("ts")
-    rows = hydro(spark, sf_dir).withColumn("place", F.row_number().over(own))
-    known = F.when(F.col("sediment").isNotNull(), F.struct(F.col("place").alias("i"), F.col("sediment").alias("v")))
-    by = Window.partitionBy("station").orderBy("place")
-    rows = rows.withColumns({"a": F.last(known, True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(known, True).over(by.rowsBetween(0, Window.unboundedFollowing))})
-    line = F.when(F.col("a.i") < F.col("b.i"), F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("place") - F.col("a.i")) / (F.col("b.i") - F.col("a.i"))).otherwise(F.coalesce("a.v", "b.v"))
+    """The same by the place of rows instead of their time. Places come from counts over ranges of time, neighbours
+    from a row's own day and what is carried into it, so that no task has a station's whole series."""
+    rows = hydro(spark, sf_dir).withColumn("t", ordered.micros("ts"))
+    below = ranks.running(rows, KEY, "t").select(*KEY, "t", "below")
+    tie = F.row_number().over(Window.partitionBy("station", "t").orderBy("flow"))
+    rows = rows.join(below, [*KEY, "t"]).withColumn("place", (F.col("below") + tie).cast("int"))
+    rows = rows.withColumn("k", F.when(F.col("sediment").isNotNull(), F.struct(F.col("place").alias("i"), F.col("sediment").alias("v"))))
+    rows = ordered.neighbours(rows, KEY, "ts", "k", "k", first=["place"])
+    a, b = F.col("k_before.v"), F.col("k_after.v")
+    line = F.when(a["i"] < b["i"], a["v"] + (b["v"] - a["v"]) * (F.col("place") - a["i"]) / (b["i"] - a["i"])).otherwise(F.coalesce(a["v"], b["v"]))
     return rows.select("station", "place", F.round(line + 1e-9, 6).alias("sediment"))
 
 
@@ -104,28 +107,30 @@ def trapz_day_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("station", "day").agg(F.round(F.sum("area"), 3).alias("volume"), F.round(F.sum("seconds"), 3).alias("seconds"), F.round(F.max("gap"), 6).alias("max_gap"))
 
 
-@query(f"""WITH {HYDRO_SQL}, e AS (SELECT station, flow, epoch_us(ts) / 1e6 AS t, epoch_us(TIMESTAMP '2024-01-01') / 1e6 AS a, epoch_us(TIMESTAMP '2024-02-01') / 1e6 AS b FROM hydro),
+@query(f"""WITH {HYDRO_SQL}, p AS (SELECT epoch_us(date_trunc('month', min(ts))::TIMESTAMP) / 1e6 AS a, epoch_us((date_trunc('month', max(ts)) + INTERVAL 1 MONTH)::TIMESTAMP) / 1e6 AS b FROM hydro),
+e AS (SELECT station, flow, epoch_us(ts) / 1e6 AS t, a, b FROM hydro, p),
 n AS (SELECT *, lag(t) OVER w AS before, lead(t) OVER w AS after FROM e WINDOW w AS (PARTITION BY station ORDER BY t)),
 w AS (SELECT station, flow, (CASE WHEN after IS NULL THEN 2 * b - t ELSE after END - CASE WHEN before IS NULL THEN 2 * a - t ELSE before END) / 2 AS weight FROM n)
 SELECT station, count(*) AS n, round(sum(flow * weight), 2) AS total, round(sum(weight), 2) AS seconds FROM w GROUP BY station""")
 def trapz_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The integral over a whole period as a weighted sum: each value counts for half of both gaps, the
+    """The integral over the table's whole months as a weighted sum: each value counts for half of both gaps, the
     first and last one up to the period's ends."""
-    first, last = "2024-01-01", "2024-02-01"
-    rows = ordered.neighbours(hydro(spark, sf_dir).withColumn("t", ordered.micros("ts") / 1e6), KEY, "ts", "flow", "f")
-    own = Window.partitionBy("station").orderBy("t")
-    a, b = (F.unix_date(F.lit(d).cast("date")) * 86400.0 for d in (first, last))
-    weight = (F.coalesce(F.lead("t").over(own), 2 * b - F.col("t")) - F.coalesce(F.lag("t").over(own), 2 * a - F.col("t"))) / 2
-    rows = rows.withColumn("w", weight)
+    rows = hydro(spark, sf_dir)
+    ends = rows.agg(F.date_trunc("month", F.min("ts")).cast("timestamp_ntz").alias("a"), (F.date_trunc("month", F.max("ts")) + F.expr("INTERVAL 1 MONTH")).cast("timestamp_ntz").alias("b"))
+    ends = ends.select(ordered.micros("a").alias("a"), ordered.micros("b").alias("b")).first()
+    rows = integrals.weighted(rows.select("station", "flow", ordered.micros("ts").alias("t")), KEY, ends.a or 0, ends.b or 0)
     return rows.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("flow") * F.col("w")), 2).alias("total"), F.round(F.sum("w"), 2).alias("seconds"))
 
 
 @query(f"""WITH {HYDRO_SQL}, g AS (SELECT station, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY station ORDER BY ts))) / 3.6e9 AS gap FROM hydro)
 SELECT station, count(gap) AS gaps, round(median(gap), 6) AS median_gap, round(max(gap), 6) AS max_gap, round(quantile_cont(gap, 0.95), 6) AS p95_gap FROM g GROUP BY station""")
 def gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hydro(spark, sf_dir).withColumn("t", ordered.micros("ts"))
-    rows = rows.withColumn("gap", (F.col("t") - F.lag("t").over(Window.partitionBy("station").orderBy("t"))) / 3.6e9)
-    return rows.groupBy("station").agg(F.count("gap").alias("gaps"), F.round(F.median("gap"), 6).alias("median_gap"), F.round(F.max("gap"), 6).alias("max_gap"), F.round(F.percentile("gap", 0.95), 6).alias("p95_gap"))
+    """Hours between a station's measurements; quantiles from counts over ranges of gaps."""
+    rows = hydro(spark, sf_dir).select("station", ordered.micros("ts").alias("t"), F.to_date("ts").alias("day"))
+    rows = ordered.adjacent(rows, KEY, "t", "day").withColumn("gap", (F.col("t") - F.col("_before")) / 3.6e9)
+    whole = rows.groupBy("station").agg(F.count("gap").alias("gaps"), F.round(F.max("gap"), 6).alias("max_gap"))
+    q = ranks.quantiles(rows, KEY, "gap", {"median_gap": 0.5, "p95_gap": 0.95})
+    return whole.join(q, KEY, "left").select("station", "gaps", F.round("median_gap", 6).alias("median_gap"), "max_gap", F.round("p95_gap", 6).alias("p95_gap"))
 
 
 CAL_SQL = HYDRO_SQL + """, daily AS (SELECT station, ts::DATE AS day, avg(flow) AS flow, sum(flow) AS total, count(*) AS n FROM hydro GROUP BY 1, 2),

@@ -121,8 +121,8 @@ def completed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     within quantiles of what was measured; flagged."""
     h = hydro(spark, sf_dir)
     k = h.where("sediment IS NOT NULL").select("station", F.log1p("flow").alias("x"), F.log1p("sediment").alias("y"), "sediment")
-    f = k.groupBy("station").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.percentile("sediment", 0.01).alias("lo"), F.percentile("sediment", 0.99).alias("hi"), F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("spread"))
-    f = f.where("n >= 3 AND spread > 0")
+    f = k.groupBy("station").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("spread"))
+    f = f.where("n >= 3 AND spread > 0").join(ranks.quantiles(k, ["station"], "sediment", {"lo": 0.01, "hi": 0.99}), "station")
     s = k.join(f, "station").groupBy("station").agg(F.avg(F.exp(F.col("y") - (F.col("a") + F.col("b") * F.col("x")))).alias("smear"))
     model = F.exp(F.least(F.lit(50.0), F.greatest(F.lit(-50.0), F.col("a") + F.col("b") * F.log1p("flow")))) * F.col("smear") - 1
     bounded = F.least(F.col("hi"), F.greatest(F.col("lo"), model))
