@@ -118,7 +118,9 @@ def trapz_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hydro(spark, sf_dir)
     ends = rows.agg(F.date_trunc("month", F.min("ts")).cast("timestamp_ntz").alias("a"), (F.date_trunc("month", F.max("ts")) + F.expr("INTERVAL 1 MONTH")).cast("timestamp_ntz").alias("b"))
     ends = ends.select(ordered.micros("a").alias("a"), ordered.micros("b").alias("b")).first()
-    rows = integrals.weighted(rows.select("station", "flow", ordered.micros("ts").alias("t")), KEY, ends.a or 0, ends.b or 0)
+    rows = ordered.adjacent(rows.select("station", "flow", (ordered.micros("ts") / 1e6).alias("t"), F.to_date("ts").alias("day")), KEY, "t", "day")
+    a, b = (ends.a or 0) / 1e6, (ends.b or 0) / 1e6
+    rows = rows.withColumn("w", (F.coalesce("_after", 2 * b - F.col("t")) - F.coalesce("_before", 2 * a - F.col("t"))) / 2)
     return rows.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("flow") * F.col("w")), 2).alias("total"), F.round(F.sum("w"), 2).alias("seconds"))
 
 
