@@ -243,3 +243,11 @@ def test_weighted_quantiles_as_a_loop(spark):
         total = np.cumsum([w for _, w in own])
         assert got[g] == tuple(own[int(np.searchsorted(total, q * total[-1] - 1e-9 * total[-1]))][0] for q in (0.3, 0.75))
     assert set(got) == {0, 1, 2, 7}
+
+
+def test_price_steps_of_tasks_hardly_ever_done(spark):
+    """Logits far below -35 still have gains and costs, so their steps are had while the budget lasts."""
+    rows = spark.createDataFrame([(1, 70.0, -60.0), (2, 70.0, -300.0), (3, 70.0, 1.0)], "id long, price double, logit double")
+    got = {r["id"]: r for r in spatial.price_steps(rows, 0.05, 0.5, 65.0, 85.0, 5.0, 0.06).collect()}
+    assert got[1]["price"] > 65.0 and got[1]["price"] == got[2]["price"]
+    assert got[3]["spent"] <= got[3]["limit"] + 1e-6
