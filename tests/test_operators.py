@@ -251,3 +251,22 @@ def test_price_steps_of_tasks_hardly_ever_done(spark):
     got = {r["id"]: r for r in spatial.price_steps(rows, 0.05, 0.5, 65.0, 85.0, 5.0, 0.06).collect()}
     assert got[1]["price"] > 65.0 and got[1]["price"] == got[2]["price"]
     assert got[3]["spent"] <= got[3]["limit"] + 1e-6
+
+
+def test_settings_select_without_a_python_group_each(spark):
+    """Equal scores, gaps and the most of a key, against a loop; no Python worker for each key and setting."""
+    import random
+
+    rng = random.Random(5)
+    start = D(2024, 1, 1)
+    rows = [(s, start + dt.timedelta(days=i), rng.choice([0.5, 1.0, 1.5, 2.0]), t, g) for s in range(6) for i in range(40) for t, g in ((1.0, 3), (1.4, 7))]
+    found = signals.selected_settings(spark.createDataFrame(rows, "station int, day date, score double, threshold double, gap int"), ["station"], "day", 4)
+    want = set()
+    for s, t, g in {(r[0], r[3], r[4]) for r in rows}:
+        taken = []
+        for d, score in sorted(((r[1], r[2]) for r in rows if (r[0], r[3], r[4]) == (s, t, g) and r[2] >= t), key=lambda r: (-r[1], r[0])):
+            if len(taken) < 4 and all(abs((d - o).days) >= g for o in taken):
+                taken.append(d)
+                want.add((s, t, g, d, score))
+    assert {tuple(r) for r in found.select("station", "threshold", "gap", "day", "score").collect()} == want
+    assert "Pandas" not in found._jdf.queryExecution().toString()

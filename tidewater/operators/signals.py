@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +22,11 @@ def abrupt(days: DataFrame, by: list[str], day: str, values: list[str], width: i
     return rows.withColumn("score", score).withColumn("main", main).select(*by, day, *[f"{v}_z" for v in values], "score", "main")
 
 
-def spaced(rows: pd.DataFrame, day: str, gap: int, most: int) -> list[tuple]:
-    """(day, score) of the highest scores that are `gap` days apart, the earlier day first among equals."""
-    taken: list = []
-    for d, score in rows.sort_values(["score", day], ascending=[False, True])[[day, "score"]].itertuples(index=False):
-        if len(taken) < most and all(abs((d - t).days) >= gap for t, _ in taken):
-            taken.append((d, score))
-    return sorted(taken)
+def spaced(ordered: Column, gap: Column, most: int) -> Column:
+    """Of an array of structs (below, the negative score; day) in order those that are `gap` days from all taken
+    before them, `most` at most."""
+    free = lambda taken, x: (F.size(taken) < most) & F.forall(taken, lambda t: F.abs(F.datediff(x["day"], t["day"])) >= gap)
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
 
 
 def selected(scores: DataFrame, by: list[str], day: str, threshold: float, gap: int, most: int) -> DataFrame:
@@ -41,12 +38,10 @@ def selected(scores: DataFrame, by: list[str], day: str, threshold: float, gap:
 def selected_settings(scores: DataFrame, by: list[str], day: str, most: int) -> DataFrame:
     """by..., threshold, gap, day, score: the same for each threshold and gap that the rows have as columns."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, d, s) for d, s in spaced(rows, day, key[-1], most)], columns=[*by, "threshold", "gap", day, "score"])
-
-    kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in [*by, "threshold", "gap"])
-    rows = scores.where(F.col("score") >= F.col("threshold")).select(*by, "threshold", "gap", day, "score")
-    return rows.groupBy(*by, "threshold", "gap").applyInPandas(run, f"{kinds}, {day} date, score double")
+    keys = [*by, "threshold", "gap"]
+    rows = scores.where(F.col("score") >= F.col("threshold")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), F.col(day).alias("day")))).alias("_o"))
+    picked = rows.select(*keys, F.explode(spaced(F.col("_o"), F.col("gap"), most)).alias("_p"))
+    return picked.select(*keys, F.col("_p.day").alias(day), (-F.col("_p.below")).alias("score"))
 
 
 def autocorrelation(days: DataFrame, by: list[str], day: str, value: str, lags: list[int]) -> DataFrame:
