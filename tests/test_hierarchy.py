@@ -52,3 +52,32 @@ def test_equal_rows_and_few_rows(spark):
     got = m.ward(points(spark, x), "id", "v").collect()
     assert len(got) == 4 and {r.cost for r in got} == {0.0}
     assert m.ward(points(spark, x).limit(1), "id", "v").collect() == [] == m.ward(points(spark, x).limit(0), "id", "v").collect()
+
+
+def test_rounds_over_tiles_are_those_of_one_task(spark, monkeypatch):
+    """Rounds that meet in tiles merge what one task merges, with copies of rows among them; no round meets rows in cells."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 9))
+    x[300:] = x[:100] + rng.normal(size=(100, 9)) * 1e-7
+    x[390:] = x[:10]
+    told = lambda: sorted((r.a, r.b, r.cost, r.size) for r in m.ward(points(spark, x), "id", "v").collect())
+    once = told()
+    monkeypatch.setattr(m, "FEW", 20)
+    rounds = told()
+    assert len(once) == 399 and [t[:2] + t[3:] for t in once] == [t[:2] + t[3:] for t in rounds]
+    assert np.allclose([t[2] for t in once], [t[2] for t in rounds], rtol=1e-12, atol=0)
+
+
+def test_silhouettes_of_copies_and_of_all_pairs(spark):
+    from tidewater.operators import compositions
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 5)) + 1e3
+    x[60:] = x[:30]
+    g = np.arange(90) % 3
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    rows = spark.createDataFrame([(i, int(g[i]), v.tolist()) for i, v in enumerate(x)], "id long, g int, v array<double>")
+    got = {r.id: r.silhouette for r in compositions.silhouettes(rows, "id", "g", "v", each=16).collect()}
+    for i in range(90):
+        a, b = d[i, g == g[i]].sum() / 29, min(d[i, g == k].mean() for k in range(3) if k != g[i])
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-9

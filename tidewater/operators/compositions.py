@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,30 +82,46 @@ def best_threshold(df: DataFrame, score: str, y: str, *by: str) -> DataFrame:
     return best.select(*by, (-F.col("b.t")).alias("threshold"), "b.youden", "b.accuracy")
 
 
+def tiled(rows: DataFrame, count: int, id: str, *columns: Column | str) -> DataFrame:
+    """s, t: arrays of structs, every row's struct meeting every other one's in one of the tiles; so many blocks there
+    are, a few dozen however many rows, so that a row is shuffled that often and not once for each block of a size."""
+    tiles = max(1, min(count, 24), math.ceil(count / 200))
+    blocks = rows.groupBy(F.pmod(F.xxhash64(id), F.lit(tiles)).cast("int").alias("b")).agg(F.collect_list(F.struct(*columns)).alias("s"))
+    other = blocks.select(F.col("b").alias("o"), F.col("s").alias("t"))
+    pairs = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).repartition(min(tiles * tiles, 144), "b", "o")
+    return pairs.join(other.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).repartition(min(tiles * tiles, 144), "b", "o"), ["b", "o"]).select("s", "t")
+
+
 def silhouettes(rows: DataFrame, id: str, group: str, values: str, each: int = 256) -> DataFrame:
     """id, group, silhouette under Euclidean distances. By definition every row meets every other one: rows
-    are dealt to blocks of about `each`, and a task adds up the distances between two blocks, so that what
-    is shuffled are blocks and sums, not pairs of rows."""
-    import numpy as np
-    import pandas as pd
-
-    count = max(1, -(-rows.count() // each))
-    block = F.pmod(F.xxhash64(id), F.lit(count)).cast("int")
-    blocks = rows.select(block.alias("b"), F.struct(F.col(id).alias("id"), F.col(group).alias("g"), F.col(values).alias("v")).alias("s")).groupBy("b").agg(F.collect_list("s").alias("s"))
-    pairs = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(blocks.select(F.col("b").alias("o"), F.col("s").alias("t")), "o")
+    are dealt to tiles, and a task adds up the distances between two of them by products of matrices, so that what
+    is shuffled are tiles and sums, not pairs of rows."""
     kinds = [rows.schema[c].dataType.simpleString() for c in (id, group)]
+    pairs = tiled(rows, max(1, -(-rows.count() // each)), id, F.col(id).alias("id"), F.col(group).alias("g"), F.col(values).alias("v"))
 
     def run(batches):
-        for pdf in batches:
-            for s, t in zip(pdf["s"], pdf["t"], strict=True):
-                x, y = (np.array([list(r["v"]) for r in part]) for part in (s, t))
-                d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(2))
-                groups = np.array([r["g"] for r in t])
-                for g in sorted(set(groups.tolist())):
-                    own = d[:, groups == g]
-                    yield pd.DataFrame({"id": [r["id"] for r in s], "g": [r["g"] for r in s], "k": g, "d": own.sum(1), "n": own.shape[1]})
-
-    sums = pairs.select("s", "t").mapInPandas(run, f"id {kinds[0]}, g {kinds[1]}, k {kinds[1]}, d double, n long").groupBy("id", "g", "k").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+        for b in batches:
+            for k in range(b.num_rows):
+                s, t = (b.column(c).slice(k, 1).flatten() for c in ("s", "t"))
+                if not len(s) or not len(t):
+                    continue
+                x, y = (v.field("v").flatten().to_numpy().reshape(len(v), -1) for v in (s, t))
+                groups, at = np.unique(t.field("g").to_numpy(zero_copy_only=False), return_inverse=True)
+                one = (at[:, None] == np.arange(len(groups))[None, :]).astype(np.float64)
+                xx, yy, sums, step = (x * x).sum(1), (y * y).sum(1), np.empty((len(x), len(groups))), max(1, 1_000_000 // len(y))
+                for lo in range(0, len(x), step):
+                    scale = xx[lo : lo + step, None] + yy[None, :]
+                    d = scale - 2 * x[lo : lo + step] @ y.T
+                    # of rows so near that the product has few digits left, from their differences
+                    i, j = np.nonzero(d < 1e-6 * scale)
+                    for p in range(0, len(i), 1_000_000):
+                        e = x[lo + i[p : p + 1_000_000]] - y[j[p : p + 1_000_000]]
+                        d[i[p : p + 1_000_000], j[p : p + 1_000_000]] = (e * e).sum(1)
+                    sums[lo : lo + step] = np.sqrt(d, out=d) @ one
+                for q, g in enumerate(groups):
+                    yield pa.RecordBatch.from_arrays([s.field("id"), s.field("g"), pa.array([g.item()] * len(s), s.field("g").type), pa.array(sums[:, q].copy()), pa.array([int(one[:, q].sum())] * len(s), pa.int64())], names=["id", "g", "k", "d", "n"])
+
+    sums = pairs.mapInArrow(run, f"id {kinds[0]}, g {kinds[1]}, k {kinds[1]}, d double, n long").groupBy("id", "g", "k").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own = F.col("g") == F.col("k")
     mean = F.when(own & (F.col("n") == 1), 0.0).otherwise(F.col("d") / (F.col("n") - own.cast("int")))
     s = sums.withColumn("m", mean).groupBy("id", "g").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
