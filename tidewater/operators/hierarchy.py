@@ -1,66 +1,84 @@
 """Ward's hierarchy over all rows: in each round all pairs of clusters that are each other's nearest merge.
 
 Merging two clusters never brings a third nearer to them than it was to one of the two, so that the rounds
-merge the same pairs as one merge after another does, cheapest first. A cluster finds its nearest by grids:
-clusters stand in cells of several widths of a plane in which distances are at most as large as in full. Some
-cluster of a shared cell bounds the cost of the nearest, the bound gives a radius, and only clusters of the
-cells of a width of about the radius are met.
+merge the same pairs as one merge after another does, cheapest first. In many dimensions no grid tells clusters
+apart, so all meet all in a round, as tiles by products of matrices; only tiles and each tile's nearest are shuffled.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.compositions import squared
-from tidewater.operators.models import principal
+from tidewater.operators.compositions import tiled
 from tidewater.sources.shared import dropped, written
 
 ROUNDS = 200
-
-
-def _cost(n: Column, m: Column, d: Column) -> Column:
-    return n * m / (n + m) * d
-
-
-def _planed(clusters: DataFrame, axes: list[list[float]]) -> DataFrame:
-    along = lambda v: F.aggregate(F.zip_with("c", F.array(*map(F.lit, v)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return clusters.withColumns({"x": along(axes[0]), "y": along(axes[1])})
-
-
-def extent(clusters: DataFrame) -> Row:
-    """Least and largest places on the plane, and the number of clusters."""
-    return clusters.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-
-
-def nearest(clusters: DataFrame, span: Row) -> DataFrame:
-    """id, a, b, cost: for each cluster (id, n, c, x, y) the pair of ids with the nearest other one and its cost;
-    of equal costs the pair of least ids."""
-    widest = max(span[1] - span[0], span[3] - span[2], 1e-12) * (1 + 1e-9)
-    # from one cell for all to about one cell for each, each level's cells half as wide as the one's before
-    levels = 2 + math.ceil(math.log2(max(2, span[4])))
-    width = lambda level: F.lit(widest) / F.pow(F.lit(2.0), level)
-    cell = lambda v, low, level: F.floor((F.col(v) - F.lit(low)) / width(level)).cast("long")
-    of = {"i": cell("x", span[0], F.col("level")), "j": cell("y", span[2], F.col("level"))}
-    placed = clusters.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns(of)
-    one = F.struct("id", "n", "c")
-    ends = placed.groupBy("level", "i", "j").agg(F.min_by(one, "id").alias("p"), F.max_by(one, "id").alias("q")).where("p.id <> q.id")
-    other = F.when(F.col("id") == F.col("p.id"), F.col("q")).otherwise(F.col("p"))
-    bound = placed.join(ends, ["level", "i", "j"]).withColumn("o", other).groupBy("id").agg(F.min(_cost(F.col("n"), F.col("o.n"), squared("c", "o.c"))).alias("most"))
-    # the cost is at least n / (n + 1) of the squared distance, the other having one row at least
-    reach = F.sqrt(F.col("most") * (F.col("n") + 1) / F.col("n")) * (1 + 1e-9) + 1e-300
-    fit = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.floor(F.log2(F.lit(widest) / F.col("reach"))).cast("int")))
-    asked = clusters.join(bound, "id").withColumn("reach", reach).withColumn("level", fit).withColumns(of)
-    around = F.array(*[F.struct((F.col("i") + dx).alias("i"), (F.col("j") + dy).alias("j")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    asked = asked.select("id", "n", "c", "x", "y", "reach", "level", F.explode(around).alias("s")).select("*", "s.i", "s.j").drop("s")
-    there = placed.select("level", "i", "j", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("c").alias("oc"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = asked.join(there, ["level", "i", "j"]).where((F.col("id") != F.col("oid")) & (F.abs(F.col("x") - F.col("ox")) <= F.col("reach")) & (F.abs(F.col("y") - F.col("oy")) <= F.col("reach")))
-    # the same sum from either side, so that two clusters agree on their cost
-    cost = _cost(F.col("n"), F.col("on"), F.when(F.col("id") < F.col("oid"), squared("c", "oc")).otherwise(squared("oc", "c")))
-    found = near.select("id", F.struct(cost.alias("cost"), F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).alias("e")).groupBy("id").agg(F.min("e").alias("e"))
-    return found.select("id", "e.a", "e.b", "e.cost")
+FEW = 2048  #: clusters that one task merges to the end
+
+
+def nearest(clusters: DataFrame, count: int, each: int = 2048) -> DataFrame:
+    """id, a, b, cost: for each cluster (id, n, c) the pair of ids with the nearest other one and its cost; of equal
+    costs the pair of least ids. Costs from products of matrices tell which others can be nearest, and only of these
+    the cost is summed up, the same from either side."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ids, n, x), (oids, m, y) = (
+                    (v.field("id").to_numpy(), v.field("n").to_numpy().astype(np.float64), v.field("c").flatten().to_numpy().reshape(len(v), -1)) for v in (batch.column(c).slice(k, 1).flatten() for c in ("s", "t"))
+                )
+                xx, yy, step = (x * x).sum(1), (y * y).sum(1), max(1, 500_000 // len(y))
+                for lo in range(0, len(x), step):
+                    hi = min(len(x), lo + step)
+                    scale, w = xx[lo:hi, None] + yy[None, :], n[lo:hi, None] * m[None, :] / (n[lo:hi, None] + m[None, :])
+                    d, slack = scale - 2 * x[lo:hi] @ y.T, 1e-12 * scale
+                    most = np.where(ids[lo:hi, None] == oids[None, :], np.inf, w * (d + slack)).min(1)
+                    i, j = np.nonzero((w * (d - slack) <= most[:, None]) & (ids[lo:hi, None] != oids[None, :]))
+                    exact = np.zeros(len(i))
+                    for c in range(x.shape[1]):
+                        e = x[lo + i, c] - y[j, c]
+                        exact += e * e
+                    cost, a, b = w[i, j] * exact, np.minimum(ids[lo + i], oids[j]), np.maximum(ids[lo + i], oids[j])
+                    order = np.lexsort((b, a, cost, i))
+                    first = order[np.unique(i[order], return_index=True)[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + i[first]]), pa.array(cost[first]), pa.array(a[first]), pa.array(b[first])], names=["id", "cost", "a", "b"])
+
+    found = tiled(clusters, -(-count // each), "id", "id", "n", "c").mapInArrow(run, "id long, cost double, a long, b long")
+    return found.groupBy("id").agg(F.min(F.struct("cost", "a", "b")).alias("e")).select("id", "e.a", "e.b", "e.cost")
+
+
+def finished(clusters: DataFrame) -> DataFrame:
+    """a, b, cost, size: the rounds of at most FEW clusters (id, n, c), in one task: what is left of any table."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("id").to_numpy(), b.column("n").to_numpy().astype(np.float64), b.column("c").flatten().to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        ids, n, x = (np.concatenate(v) for v in zip(*parts, strict=True))
+        order = np.argsort(ids)
+        ids, n, x = ids[order], n[order], x[order]
+        while len(ids) > 1:
+            d = np.zeros((len(ids), len(ids)))
+            for c in range(x.shape[1]):
+                e = x[:, None, c] - x[None, :, c]
+                d += e * e
+            d *= n[:, None] * n[None, :] / (n[:, None] + n[None, :])
+            np.fill_diagonal(d, np.inf)
+            near = d.argmin(1)  # of equal costs the pair of least ids, which are in order
+            a = np.flatnonzero((near[near] == np.arange(len(ids))) & (np.arange(len(ids)) < near))
+            b = near[a]
+            both = n[a] + n[b]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d[a, b]), pa.array(both.astype(np.int64))], names=["a", "b", "cost", "size"])
+            x[a], n[a] = (x[a] * n[a, None] + x[b] * n[b, None]) / both[:, None], both
+            keep = np.setdiff1d(np.arange(len(ids)), b)
+            ids, n, x = ids[keep], n[keep], x[keep]
+
+    return clusters.repartition(1).mapInArrow(run, "a long, b long, cost double, size long")
 
 
 def ward(rows: DataFrame, id: str, values: str) -> DataFrame:
@@ -69,17 +87,13 @@ def ward(rows: DataFrame, id: str, values: str) -> DataFrame:
     size = len(rows.select(values).first()[0]) if rows.limit(1).count() else 0
     if size < 1:
         return rows.sparkSession.createDataFrame([], "a long, b long, cost double, size long")
-    if size == 1:
-        axes = [[1.0], [0.0]]
-    else:
-        axes = [v.tolist() for v in principal(rows, values, size)[1]]
     start = rows.select(F.col(id).cast("long").alias("id"), F.lit(1).cast("long").alias("n"), F.col(values).alias("c"))
-    alive, merges = written(_planed(start, axes), "ward", compression="zstd"), []
+    alive, merges = written(start, "ward", compression="zstd"), []
     for _ in range(ROUNDS):
-        span = extent(alive)
-        if span[4] < 2:
+        count = alive.count()
+        if count <= FEW:
             break
-        both = nearest(alive, span).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("cost").alias("cost")).where("k = 2")
+        both = nearest(alive, count).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("cost").alias("cost")).where("k = 2")
         one, two = (alive.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}")) for s in ("a", "b"))
         joined = both.join(one, "a").join(two, "b")
         n = F.col("na") + F.col("nb")
@@ -88,15 +102,14 @@ def ward(rows: DataFrame, id: str, values: str) -> DataFrame:
         merges.append(merged)
         gone = merged.select(F.explode(F.array("a", "b")).alias("id"))
         rest = alive.select("id", "n", "c").join(gone, "id", "left_anti").unionByName(merged.select(F.col("a").alias("id"), "n", "c"))
-        last, alive = alive, written(_planed(rest, axes), "ward", compression="zstd")
+        last, alive = alive, written(rest, "ward", compression="zstd")
         dropped(last)
     else:
         raise RuntimeError(f"not one cluster after {ROUNDS} rounds")
-    out = None
+    out = finished(alive)
     for m in merges:
-        own = m.select("a", "b", "cost", F.col("n").alias("size"))
-        out = own if out is None else out.unionByName(own)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "a long, b long, cost double, size long")
+        out = out.unionByName(m.select("a", "b", "cost", F.col("n").alias("size")))
+    return out
 
 
 def cut(rows: DataFrame, id: str, merges: DataFrame, clusters: int) -> DataFrame:
