@@ -1,12 +1,13 @@
 """k-means of many models at once, against loops over one model."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
 
 from tidewater.operators import clusters as m
-from tidewater.operators.resampling import row_number
+from tidewater.operators.resampling import place, row_number
 
 
 def table(spark, n=180, k=3, size=4, seed=5, parts=4):
@@ -113,6 +114,27 @@ def test_weights_are_poisson(spark):
     assert (w[:, 0] == 1).all() and abs(w[:, 1:].mean() - 1) < 0.02 and abs(w[:, 1:].var() - 1) < 0.04
 
 
+def test_passes_run_on_all_cores(spark):
+    """A table of one file is dealt to as many tasks as there are cores, and each works on its own rows."""
+    rows, x, _ = table(spark, 180, parts=1)
+    n = spark.sparkContext.defaultParallelism
+    assert n > 1 and rows.rdd.getNumPartitions() == n
+    import os
+
+    def work(id, h, v):
+        return np.array([[float(os.getpid()), len(id)]])
+
+    found = m._passed(rows, work, lambda a, b: np.concatenate([a, b]))
+    assert found[:, 1].sum() == len(x) and len(set(found[:, 0])) > 1
+
+
+def test_weights_are_those_of_the_cumulated_chances():
+    h, draws = np.arange(5000) * 858_993 % (1 << 32), np.array([0, 1, 2, 7])
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
+    want = np.where(draws[None, :] > 0, np.searchsorted(steps, place(h, draws) / float(1 << 32), "right"), 1)
+    assert (m.weights(h, draws) == want).all()
+
+
 def test_no_rows(spark):
     empty = m.kept(spark.createDataFrame([], "id long, v array<double>"), "id", "v")
     with pytest.raises(ValueError):

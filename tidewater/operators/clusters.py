@@ -1,7 +1,8 @@
 """k-means with many starts, numbers of clusters and weighted draws in one pass a round.
 
-Rows stay where they are: a pass takes a block of rows against the centres of all models as one product of
-matrices, and what leaves a task are sums for each centre. The driver holds centres, never rows.
+Rows are dealt to all cores once and stay there: a pass takes a block of rows against the centres of some models
+at a time as products of matrices, and what leaves a task are sums for each centre. The driver holds centres,
+never rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tidewater.sources.shared import written
 BLOCK = 512  #: rows of a product
 ROUNDS = 100
 SEEDING = 3  #: rounds in which rows are drawn as candidates for seeds
+MODELS = 64  #: models that a block of rows meets at a time
+MERGED = 16  #: tasks whose sums one task adds up
 DRAWN = 12  #: candidates that a round draws for a start, on average
 
 
@@ -42,19 +45,27 @@ class Model:
 
 
 def kept(rows: DataFrame, id: str, values: str) -> DataFrame:
-    """id, h, v as a table that all passes read; h names a row in draws."""
-    return written(rows.select(F.col(id).alias("id"), row_number(id).alias("h"), F.col(values).alias("v")), "cluster-rows", compression="zstd")
+    """id, h, v as a table that all passes read, in a file for each core: a pass has as many tasks as the table has
+    files, however few the input had; h names a row in draws."""
+    own = rows.select(F.col(id).alias("id"), row_number(id).alias("h"), F.col(values).alias("v"))
+    return written(own.repartition(rows.sparkSession.sparkContext.defaultParallelism), "cluster-rows", compression="zstd")
 
 
 @functools.cache
-def _steps() -> np.ndarray:
-    """Where the number of a row begins to stand for one more copy of it: a Poisson variable of mean 1."""
-    return np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
+def _steps() -> list[int]:
+    """Numbers of a row from which on they stand for one more copy of it: a Poisson variable of mean 1."""
+    at = np.ceil(np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)]) * (1 << 32))
+    return [int(a) for a in at if a < 1 << 32]
 
 
 def weights(h: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """How often each row (down) is in each draw (across); draw 0 has every row once."""
-    return np.where(draws[None, :] > 0, np.searchsorted(_steps(), place(h, draws) / float(1 << 32), "right"), 1).astype(np.float64)
+    u = place(h, draws)
+    copies = np.zeros(u.shape, np.uint8)
+    for a in _steps():
+        copies += u >= np.uint32(a)
+    copies[:, draws == 0] = 1
+    return copies.astype(np.float64)
 
 
 def _passed(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> np.ndarray | None:
@@ -80,10 +91,10 @@ def _passed(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([list(out.shape)], pa.list_(pa.int64()))], names=["data", "shape"])
 
     kind = "data binary, shape array<long>"
-    # in two levels: of as many tasks as there are, about the root of them, one
+    # a shuffle and not coalesce(), which would run the work itself in that few tasks
     found = rows.mapInArrow(run, kind)
-    n = math.isqrt(max(1, rows.rdd.getNumPartitions()))
-    found = (found.coalesce(n).mapInArrow(joined, kind) if n > 1 else found).repartition(1).mapInArrow(joined, kind).collect()
+    n = rows.rdd.getNumPartitions() // MERGED
+    found = (found.repartition(n).mapInArrow(joined, kind) if n > 1 else found).repartition(1).mapInArrow(joined, kind).collect()
     return np.frombuffer(found[0].data, np.float64).reshape(found[0].shape) if found else None
 
 
@@ -92,46 +103,62 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2) if len(centres) * x.size < 4_000_000 else np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :], 0.0)
 
 
-def _updated(rows: DataFrame, models: list[Model]) -> list[tuple[np.ndarray, np.ndarray, float, np.ndarray]]:
-    """Of each model: its clusters' weights, their sums, the cost, and the row furthest from its centre."""
-    draws = np.array([m.draw for m in models])
-    most = max(m.k for m in models)
-    size = models[0].centres.shape[1]
-    every = np.full((len(models), most, size), np.nan)
+def _updated(rows: DataFrame, models: list[Model]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Of each model: its clusters' weights, their sums, and the cost."""
+    numbers, draw = np.unique([m.draw for m in models], return_inverse=True)
+    most, size = max(m.k for m in models), models[0].centres.shape[1]
+    # for products with (x, 1): squared distances less x's own square; centres that a model lacks are nowhere near
+    flat = np.zeros((most, len(models), size + 1))
+    flat[:, :, size] = np.inf
     for i, m in enumerate(models):
-        every[i, : m.k] = m.centres
-    flat = np.nan_to_num(every.reshape(-1, size))
-    absent = np.isnan(every[:, :, 0])
-    wide = most * (size + 1)
+        flat[: m.k, i, :size] = -2 * m.centres
+        flat[: m.k, i, size] = (m.centres * m.centres).sum(1)
+    parts = [(lo, min(lo + MODELS, len(models)), max(m.k for m in models[lo : lo + MODELS])) for lo in range(0, len(models), MODELS)]
 
     def work(id: np.ndarray, h: np.ndarray, x: np.ndarray) -> np.ndarray:
-        d = squared(x, flat).reshape(len(x), len(models), most)
-        d[:, absent] = np.inf
-        label, least, w = d.argmin(2), d.min(2), weights(h, draws)
-        out = np.zeros((len(models), wide + 3 + size))
-        with_one = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-        for j in range(most):
-            out[:, j * (size + 1) : (j + 1) * (size + 1)] = (w * (label == j)).T @ with_one
-        out[:, wide] = (w * least).sum(0)
-        there = np.where(w > 0, least, -1.0)
-        # of rows as far as each other the least identifier
-        order = np.argsort(id, kind="stable")
-        far = order[there[order].argmax(0)]
-        out[:, wide + 1] = there[far, np.arange(len(models))]
-        out[:, wide + 2] = id[far].astype(np.int64).view(np.float64)
-        out[:, wide + 3 :] = x[far]
+        one = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+        across, own = np.ascontiguousarray(one.T), (x * x).sum(1)
+        w = np.ascontiguousarray(weights(h, numbers).T) if numbers.any() else None
+        out = np.zeros((len(models), most * (size + 1) + 1))
+        for lo, hi, k in parts:
+            least = flat[0, lo:hi] @ across
+            label = np.zeros(least.shape, np.uint8)
+            for j in range(1, k):
+                d = flat[j, lo:hi] @ across
+                np.maximum(label, (d < least).view(np.uint8) * np.uint8(j), out=label)  # j is above all labels so far
+                np.minimum(least, d, out=least)
+            least = np.maximum(least + own, 0.0)
+            often = None if w is None else w[draw[lo:hi]]
+            for j in range(k):
+                mine = (label == j).astype(np.float64) if often is None else often * (label == j)
+                out[lo:hi, j * (size + 1) : (j + 1) * (size + 1)] = mine @ one
+            out[lo:hi, -1] = least.sum(1) if often is None else (often * least).sum(1)
         return out
 
-    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = a + b
-        ids = lambda t: np.ascontiguousarray(t[:, wide + 2]).view(np.int64)
-        first = (a[:, wide + 1] > b[:, wide + 1]) | (a[:, wide + 1] == b[:, wide + 1]) & (ids(a) <= ids(b))
-        out[:, wide + 1 :] = np.where(first[:, None], a[:, wide + 1 :], b[:, wide + 1 :])
+    found = _passed(rows, work)
+    sums = found[:, :-1].reshape(len(models), most, size + 1)
+    return [(sums[i, : m.k, size], sums[i, : m.k, :size], float(found[i, -1])) for i, m in enumerate(models)]
+
+
+def _furthest(rows: DataFrame, models: list[Model]) -> np.ndarray:
+    """Of each model the row furthest from its centre; of rows as far as each other the least identifier's."""
+    draws = np.array([m.draw for m in models])
+
+    def work(id: np.ndarray, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+        w, order = weights(h, draws), np.argsort(id, kind="stable")
+        out = np.zeros((len(models), 2 + x.shape[1]))
+        for i, m in enumerate(models):
+            there = np.where(w[:, i] > 0, squared(x, m.centres).min(1), -1.0)
+            far = order[there[order].argmax()]
+            out[i, 0], out[i, 1], out[i, 2:] = there[far], id[far].astype(np.int64).view(np.float64), x[far]
         return out
 
-    found = _passed(rows, work, merge)
-    parts = found[:, :wide].reshape(len(models), most, size + 1)
-    return [(parts[i, : m.k, 0], parts[i, : m.k, 1:], float(found[i, wide]), found[i, wide + 3 :]) for i, m in enumerate(models)]
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ids = lambda t: np.ascontiguousarray(t[:, 1]).view(np.int64)
+        first = (a[:, 0] > b[:, 0]) | (a[:, 0] == b[:, 0]) & (ids(a) <= ids(b))
+        return np.where(first[:, None], a, b)
+
+    return _passed(rows, work, merge)[:, 2:]
 
 
 def refined(rows: DataFrame, models: list[Model], rounds: int = ROUNDS) -> list[Model]:
@@ -141,10 +168,13 @@ def refined(rows: DataFrame, models: list[Model], rounds: int = ROUNDS) -> list[
         going = [m for m in models if not m.done]
         if not going:
             break
-        for m, (n, sums, cost, far) in zip(going, _updated(rows, going), strict=True):
+        found = _updated(rows, going)
+        empty = [i for i, (n, _, _) in enumerate(found) if (n == 0).any()]
+        far = dict(zip(empty, _furthest(rows, [going[i] for i in empty]), strict=True)) if empty else {}
+        for i, (m, (n, sums, cost)) in enumerate(zip(going, found, strict=True)):
             new = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-300)[:, None], m.centres)
-            if (n == 0).any():
-                new[int((n == 0).argmax())] = far
+            if i in far:
+                new[int((n == 0).argmax())] = far[i]
             m.done = np.allclose(new, m.centres, rtol=0, atol=1e-10)
             m.centres, m.cost, m.sizes = (m.centres if m.done else new), cost, n
     return models
@@ -177,16 +207,19 @@ def seeds(rows: DataFrame, ks: Iterable[int], starts: int) -> list[Model]:
     candidates = [found[[s], 1:] for s in range(starts)]
 
     def nearest(x: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        centres, own = np.concatenate(sets), (x * x).sum(1)
+        d, lo = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T, 0
         for c in sets:
-            d = squared(x, c)
-            yield d.argmin(1), d.min(1)
+            at = d[:, lo : lo + len(c)].argmin(1)
+            yield at, np.maximum(d[np.arange(len(x)), lo + at] + own, 0.0)
+            lo += len(c)
 
     for r in range(SEEDING):
         sets = list(candidates)
         cost = _passed(rows, lambda id, h, x: np.array([d.sum() for _, d in nearest(x, sets)]))
 
         def drawn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (whole.slice(lo, BLOCK) for whole in batches for lo in range(0, whole.num_rows, BLOCK)):
                 h, x = b.column("h").to_numpy(), b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
                 u = place(h, numbers + r + 1) / float(1 << 32)
                 for s, (_, d) in enumerate(nearest(x, sets)):

@@ -9,7 +9,7 @@ from tidewater.operators import clusters, hierarchy, ranks
 from tidewater.operators import compositions as comp
 from tidewater.plans.common import Plan
 from tidewater.plans.glass import ratios
-from tidewater.sources.shared import dropped
+from tidewater.sources.shared import dropped, written
 from tidewater.sources.tables import composition
 
 plan = Plan()
@@ -66,7 +66,7 @@ def subclasses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The samples' first three parts with their subclasses, and the subclasses' medians."""
     part = lambda i: F.element_at("parts", i).alias(f"p{i}")
-    wide = composition(spark, sf_dir).select("id", part(1), part(2), part(3)).join(subclasses(spark, sf_dir), "id")
+    wide = written(composition(spark, sf_dir).select("id", part(1), part(2), part(3)).join(subclasses(spark, sf_dir), "id"), "subclasses")
     c = wide.groupBy("glass", "sub").agg(F.count(F.lit(1)).alias("n"))
     for p in ("p1", "p2", "p3"):
         c = c.join(ranks.quantiles(wide, ["glass", "sub"], p, {p: 0.5}), ["glass", "sub"])
