@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from tidewater import registry
 from tidewater.plans import glass, layouts, learning, network, pricing, river
 
 SF = "/root/testdata/sf0.001"
@@ -220,3 +221,10 @@ def test_event_settings_against_loops(spark):
     for r in river.event_settings(spark, SF).collect():
         own = events[r.width, r.threshold, r.gap]
         assert r.events == len(own) and abs(r.coverage - sum(hit(e, own) for e in base) / len(base)) < 1e-6 and abs(r.matched - sum(hit(e, base) for e in own) / len(own)) < 1e-6
+
+
+def test_flows_are_joined_once(spark):
+    """Plans over lane days read them as a table, however often they do; the largest tables are joined once."""
+    for name in ("compare_by_site", "lag_roll_features"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lane-days" in " ".join(registry.QUERIES[name](spark, SF).inputFiles()) and "l_orderkey" not in plan
