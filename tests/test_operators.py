@@ -270,3 +270,44 @@ def test_settings_select_without_a_python_group_each(spark):
                 want.add((s, t, g, d, score))
     assert {tuple(r) for r in found.select("station", "threshold", "gap", "day", "score").collect()} == want
     assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
+def test_block_totals_of_arrays_are_those_of_rows(spark):
+    """Pools held as arrays, pools with a row for each block, and a loop over the draws."""
+    import numpy as np
+    import pandas as pd
+
+    from tidewater.operators import signals
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.integers(0, 5, 200), "v": rng.normal(10, 3, 200).round(3)})
+    rows = spark.createDataFrame(pdf)
+    got = {most: {r.g: (r["mean"], r.low, r.high) for r in signals.block_totals(rows, ["g"], "v", 40, 7, most=most).collect()} for most in (4096, 40, 0)}
+    at = spark.range(5).selectExpr("id AS g", "explode(sequence(1, 40)) AS d").selectExpr("*", "explode(sequence(1, 7)) AS s").selectExpr("g", "d", "xxhash64(g, d, s, 1) AS h").toPandas()
+    order = rows.selectExpr("g", "v", "xxhash64(v, 1) AS h").toPandas().sort_values(["g", "h", "v"])
+    for g, own in order.groupby("g"):
+        v = own["v"].to_numpy()
+        total = at[at.g == g].groupby("d").apply(lambda t: sum(v[int(h) % len(v)] for h in t.h), include_groups=False)
+        want = (total.mean(), *np.quantile(total, [0.025, 0.975]))
+        assert all(np.allclose(got[most][g], want) for most in got)
+
+
+def test_hours_of_several_values_join_rows_once(spark):
+    """Each value's days come from one table: no value multiplies the reading of the rows."""
+    from tidewater.operators import ordered
+
+    rows = spark.sql("SELECT 1 AS k, TIMESTAMP '2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, CAST(id AS INT)) AS ts, CAST(id AS DOUBLE) AS a, IF(id % 2 = 0, CAST(id AS DOUBLE), NULL) AS b, IF(id % 3 = 0, CAST(id AS DOUBLE), NULL) AS c FROM range(60)")
+    found = ordered.on_hours(rows, ["k"], "ts", ["a", "b", "c"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") <= 2
+    alone = {v: {r.ts: (r[f"{v}_before"], r[f"{v}_after"]) for r in ordered.on_hours(rows, ["k"], "ts", [v]).collect()} for v in "abc"}
+    for r in found.collect():
+        assert all((r[f"{v}_before"], r[f"{v}_after"]) == alone[v][r.ts] for v in "abc")
+
+
+def test_prices_are_tried_where_options_are(spark):
+    """No row for each option and price is grouped."""
+    from tidewater.operators import choices
+
+    o = spark.createDataFrame([(k, float(p), 0.1 * p, float(p)) for k in range(3) for p in range(1, 4)], "k long, p double, gain double, cost double")
+    plan = choices.priced_choice(o, "k", "p", "gain", "cost", 7.0, [0.0, 0.05, 0.1, 0.2])._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [price" in line and "k#" in line]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,15 +78,34 @@ def triggered(days: DataFrame, by: list[str], day: str, value: str, interval: in
     return rows.select(*by, day, "jump", "trigger", "planned", "followed", (F.col("planned") | F.col("followed")).alias("sampled"), (F.col("followed") & ~F.col("planned")).alias("extra"))
 
 
-def block_totals(blocks: DataFrame, by: list[str], value: str, draws: int, slots: int, seed: int = 1) -> DataFrame:
+POOL = 4_096  #: blocks of a key that are held as an array
+
+
+def block_totals(blocks: DataFrame, by: list[str], value: str, draws: int, slots: int, seed: int = 1, most: int = POOL) -> DataFrame:
     """Totals of `slots` blocks drawn with replacement from each key's pool, `draws` times, and their 95 %
-    interval. Draws come from hashes: the same in every run, and each is made where its block is."""
-    own = Window.partitionBy(*by)
-    pool = blocks.withColumn("_i", F.row_number().over(own.orderBy(F.xxhash64(value, F.lit(seed)), value)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
-    sizes = pool.groupBy(*by).agg(F.max("_n").alias("_n"))
-    wanted = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(slots))))
-    wanted = wanted.withColumn("_i", F.pmod(F.xxhash64(*by, "draw", "slot", F.lit(seed)), F.col("_n")).cast("int"))
+    interval. Draws come from hashes: the same in every run. A pool of up to `most` blocks is an array and is drawn
+    from in its row; only larger pools, of which there are few for as many rows, have a row for each block that a
+    draw takes."""
+    pool = blocks.select(*by, F.col(value).alias("_v"), F.xxhash64(value, F.lit(seed)).alias("_h"))
+    sizes = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    few = sizes.where(F.col("_n") <= most).select(*by)
+    small = pool.join(few, by).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_v"))), lambda s: s["_v"]).alias("_p"))
+    place = lambda n, d, s: F.pmod(F.xxhash64(*by, d, s, F.lit(seed)), n).cast("int")
+    one = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(slots)), F.lit(0.0), lambda t, s: t + F.coalesce(F.get("_p", place(F.size("_p").cast("long"), d, s)), F.lit(0.0)))
+    small = small.select(*by, F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(draws)), one)).alias("_t"))
+
+    large = sizes.where(F.col("_n") > most)
+    own = Window.partitionBy(*by).orderBy("_h", "_v")
+    ranked = pool.join(large, by).withColumn("_i", F.row_number().over(own) - 1)
+    wanted = large.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(slots))))
     # the same block drawn often by one draw counts once, with a weight
-    wanted = wanted.groupBy(*by, "draw", "_i").agg(F.count(F.lit(1)).alias("_w"))
-    totals = wanted.join(pool.select(*by, "_i", value), [*by, "_i"]).groupBy(*by, "draw").agg(F.sum(F.col(value) * F.col("_w")).alias("total"))
-    return totals.groupBy(*by).agg(F.avg("total").alias("mean"), F.percentile("total", 0.025).alias("low"), F.percentile("total", 0.975).alias("high"))
+    wanted = wanted.withColumn("_i", place(F.col("_n"), F.col("draw"), F.col("slot"))).groupBy(*by, "draw", "_i").agg(F.count(F.lit(1)).alias("_w"))
+    totals = wanted.join(ranked.select(*by, "_i", "_v"), [*by, "_i"]).groupBy(*by, "draw").agg(F.sum(F.col("_v") * F.col("_w")).alias("_t"))
+    totals = small.unionByName(totals.groupBy(*by).agg(F.array_sort(F.collect_list("_t")).alias("_t")))  # `draws` numbers a key
+
+    def quantile(p: float) -> Column:
+        at = (draws - 1) * p
+        low, high = math.floor(at), math.ceil(at)
+        return F.get("_t", F.lit(low)) if low == high else (high - at) * F.get("_t", F.lit(low)) + (at - low) * F.get("_t", F.lit(high))
+
+    return totals.select(*by, (F.aggregate("_t", F.lit(0.0), lambda a, x: a + x) / draws).alias("mean"), quantile(0.025).alias("low"), quantile(0.975).alias("high"))
