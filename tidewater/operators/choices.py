@@ -55,14 +55,20 @@ def independent(nodes: DataFrame, conflicts: DataFrame, id: str, *order: Column,
 
 def priced_choice(options: DataFrame, key: str, option: str, gain: str, cost: str, budget: float, prices: list[float]) -> DataFrame:
     """key, option, gain, cost: of each key the option of most gain less its price for cost, at the least
-    price that keeps the budget (Lagrange's bound for choosing one option of each). All prices are tried in
-    one pass. Nothing comes back where no price does."""
-    rows = options.withColumn("price", F.explode(F.array(*map(F.lit, sorted(prices)))))
-    value = F.round(F.col(gain) - F.col("price") * F.col(cost), 9)
-    best = rows.groupBy("price", key).agg(F.max(F.struct(value.alias("v"), (-F.col(cost)).alias("c"), (-F.col(option)).alias("o"), F.col(gain).alias("g"))).alias("b"))
-    best = best.select("price", key, (-F.col("b.o")).alias(option), F.col("b.g").alias(gain), (-F.col("b.c")).alias(cost))
-    least = best.groupBy("price").agg(F.sum(cost).alias("total")).where(F.round("total", 6) <= budget).agg(F.min("price").alias("price"))  # one row
-    return best.join(F.broadcast(least), "price")
+    price that keeps the budget (Lagrange's bound for choosing one option of each). A key's options, few for each,
+    are an array, and a price's best one is found in its row: only options are shuffled, and sums for each price.
+    Nothing comes back where no price does."""
+    keys = options.groupBy(key).agg(F.collect_list(F.struct(F.col(gain).alias("g"), F.col(cost).alias("c"), F.col(option).alias("o"))).alias("_all"))
+    keys = written(keys.repartition(options.sparkSession.sparkContext.defaultParallelism), "options")  # a row costs much
+
+    def best(price: Column) -> Column:
+        value = lambda s: F.struct(F.round(s["g"] - price * s["c"], 9).alias("v"), (-s["c"]).alias("c"), (-s["o"]).alias("o"), s["g"].alias("g"))
+        return F.array_max(F.transform("_all", value))
+
+    tried = keys.select(F.explode(F.array(*map(F.lit, sorted(prices)))).alias("price"), "_all").select("price", best(F.col("price")).alias("b"))
+    least = tried.groupBy("price").agg(F.sum(-F.col("b.c")).alias("total")).where(F.round("total", 6) <= budget).agg(F.min("price").alias("price"))  # one row
+    found = keys.join(F.broadcast(least.where("price IS NOT NULL"))).select("price", key, best(F.col("price")).alias("b"))
+    return found.select("price", key, (-F.col("b.o")).alias(option), F.col("b.g").alias(gain), (-F.col("b.c")).alias(cost))
 
 
 def ridge_by(df: DataFrame, by: list[str], names: list[str], y: str, penalty: float) -> DataFrame:

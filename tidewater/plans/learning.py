@@ -11,6 +11,7 @@ from tidewater.operators import choices, ranks, spatial
 from tidewater.plans import glass, layouts, pricing, river, sections
 from tidewater.plans.common import Plan
 from tidewater.sources import files
+from tidewater.sources.shared import written
 from tidewater.sources.tables import ANSWERS_SQL, LANES_SQL, answers
 
 plan = Plan()
@@ -110,7 +111,7 @@ best AS (SELECT l.price, id, max((round(gain - l.price * cost, 9), -cost, -p, ga
 SELECT id, -b[3] AS p, round(b[4], 6) AS gain, round(-b[2], 6) AS cost FROM best JOIN w USING (price)""")
 def price_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One price for each task: most expected completions within 1.05 times today's payout."""
-    l = pricing.logits(spark, sf_dir)
+    l = written(pricing.logits(spark, sf_dir), "logits")
     budget = l.agg(F.sum(F.col("price") / (1 + F.exp(-F.col("logit"))))).first()[0] or 0.0  # one number
     o = l.withColumn("p", F.explode(F.transform(F.sequence(F.lit(65), F.lit(85)), lambda k: k.cast("double"))))
     z = F.col("logit") + 0.06 * (F.col("p") - F.col("price"))
