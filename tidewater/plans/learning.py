@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.rounding import half_up
 from tidewater.operators import choices, ranks, spatial
 from tidewater.plans import glass, layouts, pricing, river, sections
 from tidewater.plans.common import Plan
@@ -123,8 +125,8 @@ def price_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bundle_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles of two that share no task, the best bonus for the way first."""
-    b = pricing.bundle_pairs(spark, sf_dir).where("factor = 1.0")
-    return choices.matched(b, "i", "j", -F.col("bonus"))
+    bonus = lambda d: half_up(np.maximum(0.0, 0.38 * math.log(2.0) + 0.12 * (1 - d / 0.3) - 0.025), 6)
+    return spatial.matched_near(pricing.tasks(spark, sf_dir).select("id", "x", "y"), 0.3, bonus)
 
 
 @query()
