@@ -1,13 +1,17 @@
+import glob
 import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from oracle import same
 from tidewater.llm import lexical_search, queries
 from tidewater.llm.lexical_search import best, ranked
+from tidewater.sources import shared
 
 
 def terms(text):
@@ -64,6 +68,39 @@ def test_passes_and_small_blocks(spark, monkeypatch):
     assert blocks.count() > 10 and rows(ranked(one, items, 5)) == want
 
 
+def test_blocks_are_read_one_at_a_time(spark, monkeypatch):
+    """Row groups of the postings hold few blocks and a worker's batch one, though one task reads all of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    want, groups, told = rows(ranked(docs, items, 5)), [], []
+
+    def spied(df, label, conf=None, **options):
+        if label == "search-best":
+            sizes = df.sparkSession.read.parquet(tables[0].written_at).coalesce(1).select("df").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+            told.extend(r.n for r in shared.written(sizes, "batches", conf=conf).collect())
+        out = shared.written(df, label, conf=conf, **options)
+        if label == "postings":
+            tables.append(out)
+            files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{out.written_at.removeprefix('file:')}/*.parquet")]
+            groups.extend(f.row_group(g).num_rows for f in files for g in range(f.num_row_groups))
+        return out
+
+    tables = []
+    monkeypatch.setattr(lexical_search, "BLOCK", 20_000)
+    monkeypatch.setitem(lexical_search.GROUPS, "parquet.block.size", "20000")
+    monkeypatch.setattr(lexical_search, "written", spied)
+    before = {k: spark.conf.get(k) for k in shared.WIDE}
+    assert rows(ranked(docs, items, 5)) == want
+    assert sum(groups) > 10 and max(groups) <= 2 and told == [1] * sum(groups)
+    assert {k: spark.conf.get(k) for k in shared.WIDE} == before
+
+
+def test_counts_keep_their_values():
+    for x in ([], [0], [255], [256, 1], [65535], [65536], [(1 << 31) - 1, 3]):
+        raw = lexical_search.packed(np.array(x, np.int64))
+        assert lexical_search.unpacked(pa.array([raw], pa.binary())[0]).tolist() == x
+
+
 def test_early_stop_keeps_the_first_k():
     """Random postings, more than a step of them: what is found holds the first k, with whole scores."""
     rng = np.random.default_rng(4)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tidewater.sources.shared import dropped, written
+from tidewater.sources.shared import WIDE, dropped, written
 
-__all__ = ["dropped", "written"]  # steps are tables in the shared folder
+__all__ = ["WIDE", "dropped", "written"]  # steps are tables in the shared folder
 
 FIRST = -(1 << 63)  #: the place of null ids in the order of ids
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

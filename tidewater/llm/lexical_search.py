@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewater.llm.common import FIRST, blocks, utf8, written
+from tidewater.llm.common import FIRST, WIDE, blocks, utf8, written
 from tidewater.llm.tokens import ALNUM, distinct_words, pattern_words, word_spans
 
-BLOCK = 6_000_000  #: bytes of text in a block of postings
+BLOCK = 3_000_000  #: bytes of text in a block of postings
 TERMS = 500_000  #: terms of items that are ranked in one pass
 STEP = 512  #: postings of the first step; each later one doubles what was taken
 EXACT = 1 << 53  #: sums of whole numbers below this are exact in doubles
+#: A block is a row of megabytes: row groups of the table of postings hold few, however much a task reads.
+GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def added(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -37,6 +39,17 @@ def added(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Counts as bytes in the least width that holds them all, which comes first."""
+    width = next(w for w in (1, 2, 4) if not len(x) or w == 4 or int(x.max()) < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpacked(value: pa.Scalar) -> np.ndarray:
+    raw = value.as_buffer()
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each block of texts: its ids (a null id as the least number) and their numbers of terms; its
     distinct terms, how many of its texts have each (`df`), and of each term in turn the places of these texts
@@ -57,8 +70,8 @@ def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
                         pa.array([n], pa.list_(pa.int64())),
                         pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms),
                         pa.array([np.bincount(term, minlength=len(terms))], pa.list_(pa.int32())),
-                        pa.array([place.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([times.astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([packed(place)], pa.binary()),
+                        pa.array([packed(times)], pa.binary()),
                     ],
                     names=["ids", "lengths", "terms", "df", "places", "times"],
                 )
@@ -134,7 +147,7 @@ def _ranked(blocks: DataFrame, queries: list, n_texts: int, n_terms: int, k: int
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, lengths, df = (batch.column(c).slice(r, 1).flatten().to_numpy().astype(np.int64) for c in ("ids", "lengths", "df"))
-                place, times = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int32).astype(np.int64) for c in ("places", "times"))
+                place, times = (unpacked(batch.column(c)[r]) for c in ("places", "times"))
                 at = pc.fill_null(pc.index_in(terms, value_set=batch.column("terms").slice(r, 1).flatten()), -1).to_numpy()
                 some = np.flatnonzero(at >= 0)  # the items' terms that the block has
                 n = np.zeros(len(terms), np.int64)
@@ -176,18 +189,20 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50, id: str = "doc_id", t
     too; a null id comes before all others and is given as null. Rows of one item_id are one item with the terms of
     all its rows. Without docs or items there are no rows. Other columns are not read, whatever their names.
 
-    At most about `most` terms of items are held in a task; more items take more passes over the postings."""
-    blocks = written(postings(docs, id, text), "postings", compression="zstd")
+    At most about `most` terms of items are held in a task; more items take more passes over the postings. A task
+    holds one block at a time of those it reads."""
+    blocks = written(postings(docs, id, text), "postings", compression="zstd", **GROUPS)
     sums = blocks.select(F.expr("size(filter(lengths, x -> x > 0))").alias("n"), F.expr("aggregate(lengths, 0L, (s, x) -> s + x)").alias("l")).agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
     n, l = sums.n or 0, sums.l or 0
     wanted = items.select(F.col(f"`{item}`").alias("item"), F.explode(F.expr(pattern_words(f"`{item_text}`"))).alias("term")).distinct()
     df = blocks.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select("x.terms", "x.df")
     df = df.join(wanted.select(F.col("term").alias("terms")).distinct(), "terms").groupBy("terms").agg(F.sum("df").alias("df"))
     weights = df.select(F.col("terms").alias("term"), F.floor(F.lit(1000) * F.log((F.lit(2 * n + 2)) / (2 * F.col("df") + 1))).cast("long").alias("w"))
-    queries = written(wanted.join(weights, "term"), "search-terms")
+    queries = written(wanted.join(weights, "term"), "search-terms", conf=WIDE)
     passes = max(1, -(-queries.count() // most))
     kind = items.schema[item].dataType
-    parts = [_ranked(blocks, queries.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p).collect(), n, l, k, kind) for p in range(passes)]
+    of = lambda p: queries.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p).collect()
+    parts = [written(_ranked(blocks, of(p), n, l, k, kind), "search-best", conf=WIDE) for p in range(passes)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
