@@ -68,6 +68,38 @@ def test_rounds_over_tiles_are_those_of_one_task(spark, monkeypatch):
     assert np.allclose([t[2] for t in once], [t[2] for t in rounds], rtol=1e-12, atol=0)
 
 
+def test_nearest_by_single_precision_is_that_of_full_sums():
+    """Blocks of several sizes, copies, rows far from the origin and of great values; who has no other has no cost."""
+    rng = np.random.default_rng(5)
+    for scale, offset in ((1.0, 0.0), (1e-9, 0.0), (1.0, 1e4), (1e25, 0.0)):
+        x = rng.normal(size=(230, 5)) * scale + offset
+        x[200:] = x[:30]
+        n, ids = rng.integers(1, 4, 230).astype(float), rng.permutation(1000)[:230]
+        d = np.zeros((230, 230))
+        for c in range(5):
+            e = x[:, None, c] - x[None, :, c]
+            d += e * e
+        d = n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * d
+        np.fill_diagonal(d, np.inf)
+        some = rng.permutation(230)[:90]
+        cost, a, b = m.least(ids[some], n[some], x[some], ids, n, x, rows=16, columns=32)
+        want = [min((d[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for j in range(230)) for i in some]
+        assert [*zip(cost, a, b)] == want
+    assert np.isinf(m.least(ids[:1], n[:1], x[:1], ids[:1], n[:1], x[:1])[0]).all()
+
+
+def test_only_those_look_whose_nearest_has_merged(spark, monkeypatch):
+    """After the first round fewer clusters look for their nearest than there are, and merges stay the same."""
+    x = np.random.default_rng(6).normal(size=(300, 4))
+    looks = []
+    monkeypatch.setattr(m, "FEW", 40)
+    monkeypatch.setattr(m, "nearest", lambda s, t, some, count, f=m.nearest: looks.append((s.count(), t.count(), some, count)) or f(s, t, some, count))
+    got = sorted((r.cost, r.a, r.b, r.size) for r in m.ward(points(spark, x), "id", "v").collect())
+    assert [t[1:] for t in got] == [(a, b, s) for a, b, _, s in plain(x)]
+    assert looks[0] == (300, 300, 300, 300) and len(looks) > 3
+    assert all((a, b) == (some, count) and some < 0.8 * count for a, b, some, count in looks[1:])
+
+
 def test_silhouettes_of_copies_and_of_all_pairs(spark):
     from tidewater.operators import compositions
 
